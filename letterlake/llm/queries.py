@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import decontaminate
+from letterlake.llm import decontaminate, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,46 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
+
+
+@registered
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures of every document and the verdict of the adaptive rules."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.quality(docs, keep_text=False).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def _sql_quality(source: str = "documents") -> str:
+    """Measures, sketches and verdict of op8 over a relation, all columns of it kept."""
+    words = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+    rates = {"symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
+    low = lambda q: f"(CASE WHEN {q} < 16 THEN {q} ELSE CAST((16 + {q} % 16) * pow(2, {q} // 16 - 1) AS BIGINT) END)"
+    parts = []
+    for k, keys in ((2, "lang, source,"), (1, "lang,"), (0, "")):
+        group = keys.rstrip(",")
+        parts.append(f"""
+q{k} AS (SELECT {keys} measure, max(al) AS docs, min(bucket) FILTER (upto * 4 >= al) AS q1, min(bucket) FILTER (upto * 4 >= al * 3) AS q3
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} measure) AS al
+        FROM (SELECT {keys} measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {keys} measure),
+f{k} AS (SELECT {keys} max(docs) AS docs, """ + ", ".join(f"max({low('q3')} + {quality.SPREAD} * ({low('q3')} - {low('q1')}) + {m}) FILTER (measure = '{c}') AS {c}_hi" for c, m in quality.MARGINS.items()) + f" FROM q{k}" + (f" GROUP BY {group})" if group else ")"))
+    beyond = " OR ".join(f"{c} > CASE WHEN f2.docs >= {quality.MIN_DOCS} THEN f2.{c}_hi WHEN f1.docs >= {quality.MIN_DOCS} THEN f1.{c}_hi ELSE f0.{c}_hi END" for c in rates)
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS r, * FROM {source}),
+w AS (SELECT r, {words} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(text, '') AS t FROM doc),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM win) WHERE c > 1) GROUP BY r),
+base AS (SELECT r, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
+m AS (SELECT doc.* EXCLUDE (r), base.*, {", ".join(f"{e} AS {c}" for c, e in rates.items())} FROM doc JOIN base USING (r)),
+sketch AS (SELECT lang, source, measure, CASE WHEN v < 16 THEN v ELSE (length(bin(v)) - 5) * 16 + (v // CAST(pow(2, length(bin(v)) - 5) AS BIGINT)) END AS bucket, count(*) AS n
+  FROM (SELECT lang, source, unnest([{", ".join(f"'{c}'" for c in rates)}]) AS measure, unnest([{", ".join(rates)}]) AS v FROM m) GROUP BY ALL),
+{",".join(parts)}
+SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR {beyond}) AS kept
+FROM m JOIN f2 ON m.lang IS NOT DISTINCT FROM f2.lang AND m.source IS NOT DISTINCT FROM f2.source
+  JOIN f1 ON m.lang IS NOT DISTINCT FROM f1.lang CROSS JOIN f0
+"""
+
+
+SQL["op8_quality_rules"] = f"SELECT doc_id, {', '.join(quality.BASE)}, base_failed, kept FROM ({_sql_quality()})"
