@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import decontaminate, quality
+from letterlake.llm import decontaminate, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,49 @@ FROM m JOIN f2 ON m.lang IS NOT DISTINCT FROM f2.lang AND m.source IS NOT DISTIN
 
 
 SQL["op8_quality_rules"] = f"SELECT doc_id, {', '.join(quality.BASE)}, base_failed, kept FROM ({_sql_quality()})"
+
+
+@registered
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of the sources takes from each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _sql_filled(name: str, rows: str, keys: str) -> str:
+    """``rows`` has lim, weight, total: adds words, as mixing.filled()."""
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"""
+{name}_a AS (SELECT *, lim / weight AS ratio, sum(weight) OVER ({part}) - coalesce(sum(weight) OVER ({part} ORDER BY lim / weight, lim, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  coalesce(sum(lim) OVER ({part} ORDER BY lim / weight, lim, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM {rows}),
+{name}_b AS (SELECT *, (total - CAST(used AS DOUBLE)) / rest AS level FROM {name}_a),
+{name}_c AS (SELECT *, min(CASE WHEN CAST(lim AS DOUBLE) >= level * weight THEN struct_pack(a := ratio, b := level) END) OVER ({part}) AS lv FROM {name}_b),
+{name} AS (SELECT * EXCLUDE (ratio, rest, used, level, lv), CASE WHEN lv IS NULL OR lim < lv.b * weight THEN CAST(lim AS DOUBLE) ELSE lv.b * weight END AS words FROM {name}_c)"""
+
+
+def _sql_mix(source: str = "documents") -> str:
+    return f"""
+WITH doc AS (SELECT *, CAST(len(coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])) AS BIGINT) AS size,
+  md5(concat_ws('|', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS k FROM {source}),
+cls AS (SELECT source, CAST(length(bin(size)) - 1 AS BIGINT) AS class, CAST(sum(size) AS BIGINT) AS class_size FROM doc GROUP BY ALL),
+src AS (SELECT source, CAST(sum(class_size) AS BIGINT) AS source_size FROM cls GROUP BY source),
+s1 AS (SELECT source, source_size, source_size * {mixing.MOST} AS lim, [{', '.join(map(str, mixing.WEIGHTS))}][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(mixing.WEIGHTS)}] AS weight,
+  CAST(sum(source_size) OVER () AS DOUBLE) * {mixing.SHARE} AS total FROM src),
+s2 AS (SELECT * FROM s1 WHERE source_size > 0), {_sql_filled('s3', 's2', '')},
+tgt AS (SELECT source, source_size, words AS target FROM s3 UNION ALL SELECT source, source_size, 0.0 FROM s1 WHERE source_size = 0),
+c1 AS (SELECT cls.*, source_size, target, target AS total, class_size * {mixing.MOST} AS lim, class_size * (class + 8) AS weight FROM cls JOIN tgt ON cls.source IS NOT DISTINCT FROM tgt.source),
+c2 AS (SELECT * FROM c1 WHERE class_size > 0), {_sql_filled('c3', 'c2', 'source')},
+c4 AS (SELECT source, class, class_size, source_size, target, words / class_size AS expected FROM c3 UNION ALL SELECT source, class, class_size, source_size, target, 0.0 FROM c1 WHERE class_size = 0),
+plan AS (SELECT *, expected - floor(expected) AS p, CAST(floor(expected) AS BIGINT) AS certain FROM c4),
+goal AS (SELECT source, least(max(target) - sum(class_size * certain), CAST(coalesce(sum(class_size) FILTER (p > 0), 0) AS DOUBLE)) AS goal FROM plan GROUP BY source),
+r0 AS (SELECT doc.*, class, source_size, target, certain, p, goal, (CAST('0x' || substr(k, 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u
+  FROM doc JOIN plan ON doc.source IS NOT DISTINCT FROM plan.source AND length(bin(size)) - 1 = class JOIN goal ON doc.source IS NOT DISTINCT FROM goal.source),
+r AS (SELECT *, CASE WHEN p > 0 AND size > 0 AND goal > 0 THEN u / (1 - u) * (1 - p) / p END AS q FROM r0),
+al AS (SELECT source, k, q, size, goal, sum(size) AS words FROM r WHERE q IS NOT NULL GROUP BY ALL),
+o AS (SELECT *, goal - coalesce(sum(words) OVER (PARTITION BY source ORDER BY q, k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= words / 2 AS inside FROM al)
+SELECT r.* EXCLUDE (k, class, certain, p, goal, u, q), certain + CAST(coalesce(inside, false) AS BIGINT) AS copies, CAST(r.size * (certain + CAST(coalesce(inside, false) AS BIGINT)) AS BIGINT) AS taken
+FROM r LEFT JOIN o ON r.source IS NOT DISTINCT FROM o.source AND r.k = o.k AND r.size = o.size
+"""
+
+
+SQL["op5_mix_sources"] = f"SELECT doc_id, size, source_size, target, taken FROM ({_sql_mix()})"
