@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import decontaminate, mixing, quality
+from letterlake.llm import decontaminate, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -147,3 +147,25 @@ FROM r LEFT JOIN o ON r.source IS NOT DISTINCT FROM o.source AND r.k = o.k AND r
 
 
 SQL["op5_mix_sources"] = f"SELECT doc_id, size, source_size, target, taken FROM ({_sql_mix()})"
+
+
+@registered
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filtered(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+_FITS = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{{k}}}'" for k, (_, h, p) in sorted(enumerate(urls.RULES), key=lambda x: -len(x[1][1] + x[1][2])))
+_LISTED = r"(^|[.-])(" + "|".join(urls.LISTED_WORDS) + r")([.-]|$)"
+
+SQL["op2_url_filters"] = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+s AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest[length(raw) + 1:], '^[^?#]*') AS path FROM h),
+listed AS (SELECT DISTINCT host FROM s WHERE regexp_matches(host, '{_LISTED}')),
+bad AS (SELECT DISTINCT s.host FROM s JOIN listed l ON s.host = l.host OR ends_with(s.host, '.' || l.host))
+SELECT page_id, host, path, CASE {_FITS.format(*(h + p for _, h, p in urls.RULES))} END AS rule,
+  CASE {_FITS.format(*(v for v, _, _ in urls.RULES))} WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict
+FROM s
+"""
