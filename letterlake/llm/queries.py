@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import decontaminate, mixing, quality, urls
+from letterlake.llm import decontaminate, licenses, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,3 +169,11 @@ SELECT page_id, host, path, CASE {_FITS.format(*(h + p for _, h, p in urls.RULES
   CASE {_FITS.format(*(v for v, _, _ in urls.RULES))} WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict
 FROM s
 """
+
+
+@registered
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scanned(docs)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
