@@ -5,11 +5,11 @@ from its characters (hexadecimal, upper- or lower-case letters and digits, or ba
 tests ask whether it looks drawn at random from that alphabet: chi-squared uniformity of its
 characters, the number of runs of low and high symbols, and the correlation of neighbours.
 
-Short tokens pass such tests by chance, so discoveries are controlled by length: tokens of letters
-only are known text, and the share of them that passes estimates how many ordinary tokens of the
-same or smaller length class pass.  A length class counts only where the false ones expected at
-that rate are at most ``FALSE_SHARE`` of those that pass.  The counts are one small table per
-length class over the whole corpus.
+Short tokens pass such tests by chance, so discoveries are controlled by length: each token has a
+decoy, as many letters of its own document's prose, read in the same alphabet.  The share of decoys
+that pass estimates how many ordinary tokens of that encoding and length class do.  A class counts
+only where the false ones expected at that rate are at most ``FALSE_SHARE`` of those that pass.
+The counts are one small table per encoding and length class over the whole corpus.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ LEAST = 16
 TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST
 #: Share of false discoveries that a length class may have.
 FALSE_SHARE = 0.05
-#: Letter-only tokens assumed beyond those seen: this many, of which one passes.
+#: Decoys assumed beyond those seen: this many, of which one passes.
 ASSUMED = 40
 #: Standard deviations within which a test passes: uniformity (one-sided), runs, correlation.
 LIMITS = (2.33, 2.58, 2.58)
@@ -38,22 +38,35 @@ KINDS = (
 )
 
 
-def alphabet(token: Column) -> Column:
-    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-    return (
-        F.when(token.rlike(r"^[a-z]+\z"), lower)
-        .when(token.rlike(r"^[0-9a-f]+\z"), digits + lower[:6])
-        .when(token.rlike(r"^[0-9A-F]+\z"), digits + lower[:6].upper())
-        .when(token.rlike(r"^[a-z0-9]+\z"), digits + lower)
-        .when(token.rlike(r"^[A-Z0-9]+\z"), digits + lower.upper())
-        .otherwise(lower.upper() + lower + digits + "+/")
-    )
+_DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {
+    "hex": _DIGITS + _LOWER[:6],
+    "HEX": _DIGITS + _LOWER[:6].upper(),
+    "alnum": _DIGITS + _LOWER,
+    "ALNUM": _DIGITS + _LOWER.upper(),
+    "base64": _LOWER.upper() + _LOWER + _DIGITS + "+/",
+}
 
 
-def looks_random(token: Column) -> Column:
-    """Whether ``token`` passes the battery."""
-    plain = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
-    return bound(F.struct(plain.alias("t"), alphabet(plain).alias("a")), lambda v: _battery(v["t"], v["a"]))
+def plain(token: Column) -> Column:
+    """Without padding, and with the url-safe letters of base 64 as the usual ones."""
+    return F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
+
+
+def encoding(token: Column) -> Column:
+    """The first of ``ALPHABETS`` that has all characters of ``plain(token)``."""
+    out = F.lit("base64")
+    for name in reversed(list(ALPHABETS)[:-1]):
+        out = F.when(F.translate(plain(token), ALPHABETS[name], "") == "", name).otherwise(out)
+    return out
+
+
+def looks_random(token: Column, name: Column) -> Column:
+    """Whether ``token``, read in the alphabet ``name``, passes the battery; false if it does not fit."""
+    letters = F.lit(None).cast("string")
+    for k, v in ALPHABETS.items():
+        letters = F.when(name == k, v).otherwise(letters)
+    return bound(F.struct(plain(token).alias("t"), letters.alias("a")), lambda v: (F.translate(v["t"], ALPHABETS["base64"], "") == "") & _battery(v["t"], v["a"]))
 
 
 def _battery(t: Column, a: Column) -> Column:
@@ -80,7 +93,7 @@ def _battery(t: Column, a: Column) -> Column:
         # too few kinds of symbols for a test: not random
         return F.coalesce((one > n) & (spread > 0) & (F.abs(runs) <= LIMITS[1]) & (F.abs(tied) <= LIMITS[2]), F.lit(False))
 
-    return (n >= LEAST) & (uniform <= LIMITS[0]) & bound(symbols, of_symbols)
+    return (n >= LEAST) & ~F.exists(symbols, lambda x: x == 0) & (uniform <= LIMITS[0]) & bound(symbols, of_symbols)
 
 
 def is_mixed(token: Column) -> Column:
@@ -93,19 +106,25 @@ def length_class(token: Column) -> Column:
     return F.floor(F.log2(F.length(token).cast("double")) * 4).cast("int")
 
 
-def accepted_classes(docs: DataFrame, text: str = "text") -> list[int]:
-    """The length classes in which passing tokens count: from one row per class over the corpus."""
-    tokens = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("t"))
-    letters = F.col("t").rlike(r"^[A-Z]?[a-z]+\z")
-    judged = tokens.where(letters | is_mixed(F.col("t"))).select(length_class(F.col("t")).alias("c"), letters.alias("text"), looks_random(F.when(letters, F.lower("t")).otherwise(F.col("t"))).alias("ok"))
-    counts = judged.groupBy("c").agg(F.count_if("text").alias("texts"), F.count_if(F.col("text") & F.col("ok")).alias("texts_ok"), F.count_if(~F.col("text")).alias("mixed"), F.count_if(~F.col("text") & F.col("ok")).alias("mixed_ok"))
-    # at most a few classes per power of two of the longest token; longer classes pass less often by chance
-    out, texts, passed = [], ASSUMED, 1
-    for c, own, own_ok, mixed, mixed_ok in sorted(tuple(r) for r in counts.collect()):
-        texts, passed = texts + own, passed + own_ok
-        if mixed_ok and mixed * passed / texts <= FALSE_SHARE * mixed_ok:
-            out.append(c)
-    return out
+def token_class(token: Column) -> Column:
+    return F.concat_ws(":", encoding(token), length_class(token))
+
+
+def accepted_classes(docs: DataFrame, text: str = "text") -> list[str]:
+    """The classes (encoding and length class) in which passing tokens count."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    some = docs.where(body.rlike(r"[0-9]")).select(body.alias("body"), F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), is_mixed).alias("tokens"))
+    # the letters of the document's words, without its tokens
+    some = some.where(F.size("tokens") > 0).select(F.lower(F.regexp_replace("body", "[A-Za-z0-9+/_=-]*[0-9+/_=-][A-Za-z0-9+/_=-]*|[^A-Za-z]+", "")).alias("prose"), F.posexplode("tokens").alias("i", "t"))
+    size = F.length(plain(F.col("t")))
+    # each token of a document gets the next piece of its prose, from the start again at its end
+    begin = F.pmod(F.col("i") * size, F.greatest(F.length("prose") - size + 1, F.lit(1))) + 1
+    decoy = F.when(F.length("prose") >= size, F.substring(F.col("prose"), begin, size))
+    decoy = F.when(encoding(F.col("t")).isin("HEX", "ALNUM"), F.upper(decoy)).otherwise(decoy)
+    judged = some.select(token_class(F.col("t")).alias("c"), looks_random(F.col("t"), encoding(F.col("t"))).alias("ok"), looks_random(decoy, encoding(F.col("t"))).alias("decoy_ok"))
+    counts = judged.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok"), F.count("decoy_ok").alias("decoys"), F.count_if("decoy_ok").alias("decoys_ok"))
+    # a few rows per encoding and power of two of the longest token
+    return [c for c, n, ok, decoys, decoys_ok in counts.collect() if ok and n * (decoys_ok + 1) / (decoys + ASSUMED) <= FALSE_SHARE * ok]
 
 
 def scanned(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -128,8 +147,8 @@ def scanned(docs: DataFrame, text: str = "text", keep_text: bool = True) -> Data
     df = df.withColumn("__all", F.when(F.col("__some"), placed(body, TOKEN, F.col("__tokens"), "random", len(KINDS))).otherwise(no_spans()))
     free = F.filter("__all", lambda s: is_mixed(s["match"]) & ~F.exists("base_spans", lambda b: overlaps(s, b)))
     df = df.withColumn("__free", F.when(F.col("__some"), free).otherwise(no_spans()))
-    accepted = F.array(*map(F.lit, classes)) if classes else F.array().cast("array<int>")
-    found = F.filter("__free", lambda s: F.array_contains(accepted, length_class(s["match"])) & looks_random(s["match"]))
+    accepted = F.array(*map(F.lit, classes)) if classes else F.array().cast("array<string>")
+    found = F.filter("__free", lambda s: F.array_contains(accepted, token_class(s["match"])) & looks_random(s["match"], encoding(s["match"])))
     df = df.withColumn("spans", F.array_sort(F.concat("base_spans", F.when(F.size("__free") > 0, found).otherwise(no_spans()))))
     if not keep_text:
         return df.select(*kept, "base_spans", "spans")
