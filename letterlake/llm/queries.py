@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import decontaminate, licenses, mixing, quality, secrets, urls
+from letterlake.llm import decontaminate, licenses, mixing, pii, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -184,3 +184,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of known forms and random tokens in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scanned(docs, keep_text=False))
+
+
+@registered
+def op7_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the words that would give it away."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.sanitised(docs, keep_text=False))
