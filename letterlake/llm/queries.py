@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import decontaminate, licenses, mixing, pii, quality, secrets, urls
+from letterlake.llm import decontaminate, jaccard, licenses, mixing, pii, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -191,3 +191,30 @@ def op7_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, and the words that would give it away."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.sanitised(docs, keep_text=False))
+
+
+@registered
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_classes(docs, keep_text=False).select("doc_id", "class_id", "n_links")
+
+
+def _sql_jaccard(source: str = "documents") -> str:
+    """r (row number over the source), class_id and n_links."""
+    return f"""
+jd AS (SELECT row_number() OVER () AS r, * FROM {source}),
+jw AS (SELECT r, doc_id, coalesce({SQL_WORDS.format("text")}, []) AS w FROM jd),
+js AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM jw WHERE len(w) > 0)),
+jk AS (SELECT r, doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM js GROUP BY r, doc_id),
+jc AS (SELECT k, any_value(n) AS n, count(*) AS copies, min(doc_id) AS rep, min(r) AS r FROM jk GROUP BY k),
+jg AS (SELECT jc.k, jc.n, js.g FROM jc JOIN js ON jc.r = js.r),
+jp AS (SELECT a.k AS a, b.k AS b FROM jg a JOIN jg b ON a.g = b.g AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+jr AS (SELECT k AS node, k AS reach FROM jc UNION SELECT jr.node, jp.b FROM jr JOIN jp ON jr.reach = jp.a),
+jx AS (SELECT node AS k, min(rep) AS class_id FROM jr JOIN jc ON jr.reach = jc.k GROUP BY node),
+jl AS (SELECT a AS k, sum(copies) AS links FROM jp JOIN jc ON jp.b = jc.k GROUP BY a),
+jaccard AS (SELECT jd.r, coalesce(class_id, jd.doc_id) AS class_id, CAST(coalesce(copies - 1 + coalesce(links, 0), 0) AS BIGINT) AS n_links
+  FROM jd LEFT JOIN jk USING (r) LEFT JOIN jc ON jk.k = jc.k LEFT JOIN jx ON jk.k = jx.k LEFT JOIN jl ON jk.k = jl.k)"""
+
+
+SQL["op6_ngram_jaccard"] = f"WITH RECURSIVE {_sql_jaccard()} SELECT jd.doc_id, class_id, n_links FROM jaccard JOIN jd USING (r)"
