@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import decontaminate, jaccard, licenses, mixing, pii, quality, secrets, urls
+from letterlake.llm import decontaminate, jaccard, licenses, lines, mixing, pii, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -218,3 +218,11 @@ jaccard AS (SELECT jd.r, coalesce(class_id, jd.doc_id) AS class_id, CAST(coalesc
 
 
 SQL["op6_ngram_jaccard"] = f"WITH RECURSIVE {_sql_jaccard()} SELECT jd.doc_id, class_id, n_links FROM jaccard JOIN jd USING (r)"
+
+
+@registered
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that each document loses to equal or nearly equal lines that stand before."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.deduplicated(docs)
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
