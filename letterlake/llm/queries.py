@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import decontaminate, jaccard, licenses, lines, mixing, pii, quality, secrets, urls
+from letterlake.llm import decontaminate, jaccard, langid, licenses, lines, mixing, pii, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -226,3 +226,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = lines.deduplicated(docs)
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@registered
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learned(docs.where(~langid.is_held_out(F.col("doc_id"))).select("text", "lang"))
+    found = langid.predicted(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(langid.is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
