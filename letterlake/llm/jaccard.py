@@ -188,22 +188,8 @@ def _linked(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iter
             yield pa.RecordBatch.from_arrays([items.take(pa.array(some)), pa.array((near[some] @ copies).astype(np.int64)), items.take(pa.array(root[some]))], names=["item", "links", "to"])
 
 
-def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``class_id``, ``n_links``, ``n_copies`` and ``first_copy``.
-
-    Two documents are linked if the Jaccard similarity of their n-gram sets is at least
-    ``threshold`` (documents with equal sets always are).  ``class_id`` is the smallest id in the
-    document's connected component, ``n_links`` the number of other documents linked to it, and
-    ``n_copies`` that of documents with its n-gram set (itself included).  ``first_copy`` is true
-    for rows whose own id is ``class_id``.
-
-    Null and empty texts, and those without words, have no n-grams: each is its own class with no
-    links.  Repeated rows count as documents with the same id.  Null ids are ignored as class ids
-    where another id is there.  Input columns named like results are replaced; an empty table
-    gives an empty result.
-    """
-    names = ["class_id", "n_links", "n_copies", "first_copy"]
-    kept = [c for c in without(docs, names) if keep_text or c != text]
+def _classes(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float, recall: float) -> DataFrame:
+    """id, digest (of the text), class_id, class_key, n_links and n_copies of every row."""
     number, rows = bands(threshold, recall)
     digest = F.xxhash64(F.col(text))
     base = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id"), digest.alias("digest"), F.octet_length(F.col(text)).cast("long").alias("bytes"))
@@ -224,17 +210,53 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
     found = components(linked.select(F.col("item").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "key")
     reps = found.join(sets.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("class"))
     links = linked.groupBy(F.col("item").alias("key")).agg(F.sum("links").alias("links"))
-    classes = sets.join(found.join(reps, "root").drop("root"), "key", "left").join(links, "key", "left")
-    classes = classes.select("key", F.coalesce("class", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies"))
+    classes = sets.join(found.join(reps, "root"), "key", "left").join(links, "key", "left")
+    classes = classes.select("key", F.coalesce("root", "key").alias("class_key"), F.coalesce("class", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies"))
     by_row = signed.select("id", "digest", "key").join(classes, "key", "left")
-    result = [F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")]
-    own = F.coalesce(F.col("class_id") == F.col("id"), F.col("class_id").isNull())
-    if not keep_text and set(kept) <= {doc_id}:
-        return by_row.select("id", *result).withColumn("first_copy", own).withColumnRenamed("id", doc_id)
-    by_row = materialise(by_row.select("id", "digest", *result).distinct(), "jaccard-rows")
-    rest = docs.select(*kept, F.col(doc_id).alias("id"), digest.alias("digest"))
-    rest = rest.alias("d").join(by_row.alias("r"), (F.col("d.digest") == F.col("r.digest")) & F.col("d.id").eqNullSafe(F.col("r.id")), "left")
-    rest = rest.select(*(F.col(f"d.{c}") for c in kept), F.col("d.id").alias("id"), "class_id", "n_links", "n_copies")
-    return rest.withColumn("first_copy", own).drop("id")
+    return by_row.select("id", "digest", F.coalesce("class_id", "id").alias("class_id"), "class_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``class_id``, ``n_links`` and ``n_copies``.
 
+    Two documents are linked if the Jaccard similarity of their n-gram sets is at least
+    ``threshold`` (documents with equal sets always are).  ``class_id`` is the smallest id in the
+    document's connected component, ``n_links`` the number of other documents linked to it, and
+    ``n_copies`` that of documents with its n-gram set (itself included).
 
+    Null and empty texts, and those without words, have no n-grams: each is its own class with no
+    links.  Repeated rows count as documents with the same id.  Null ids are ignored as class ids
+    where another id is there.  Input columns named like results are replaced; an empty table
+    gives an empty result.  ``keep_text=False`` leaves the text out.
+    """
+    names = ["class_id", "n_links", "n_copies"]
+    kept = [c for c in without(docs, names) if keep_text or c != text]
+    found = _classes(docs, text, doc_id, n, threshold, recall)
+    if set(kept) <= {doc_id}:
+        return found.select(F.col("id").alias(doc_id), *names)
+    found = small(materialise(found.distinct(), "jaccard-rows")).alias("r")
+    rest = docs.select(*kept, F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__digest")).alias("d")
+    return rest.join(found, (F.col("__digest") == F.col("digest")) & F.col("__id").eqNullSafe(F.col("id")), "left").select(*(F.col(f"d.{c}") for c in kept), *names)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one document of each class: the one with the smallest id (then text digest).
+
+    Documents without n-grams are classes of their own and all stay; of repeated rows with the
+    same id and text one stays.  Only documents of classes with links are looked up; the others
+    pass without a shuffle of their texts.
+    """
+    found = materialise(_classes(docs, text, doc_id, n, threshold, recall).where("class_key IS NOT NULL AND n_links > 0"), "jaccard-linked")
+    place = F.struct(F.col("id").isNull(), "id", "digest")
+    first = found.groupBy("class_key").agg(F.min(place).alias("first"))
+    rows = found.groupBy("class_key", "id", "digest").agg(F.count(F.lit(1)).alias("n")).join(first, "class_key")
+    rows = rows.select("id", "digest", (place == F.col("first")).alias("stays"), "n")
+    marked = materialise(rows.where("NOT stays OR n > 1").groupBy("id", "digest").agg(F.max("stays").alias("__stays")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__stays"), "jaccard-marked")
+    own = docs.withColumn("__own", F.xxhash64(F.col(text)))
+    same = (F.col("__own") == F.col("__digest")) & F.col(doc_id).eqNullSafe(F.col("__id"))
+    out = own.join(small(marked), same, "left_anti").drop("__own")
+    again = marked.where("__stays")
+    if again.isEmpty():
+        return out
+    repeated = own.join(small(again), same, "left_semi")
+    return out.unionByName(repeated.dropDuplicates([doc_id, "__own"]).drop("__own"))

@@ -95,8 +95,9 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
 
 def fences(sketch: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
     """The highest allowed value of each measure, by lang and source: one row per group."""
-    levels = []
-    for keys in (["lang", "source"], ["lang"], []):
+    sketch, levels = sketch.withColumn("__one", F.lit(1)), []
+    # the key __one makes the whole corpus a group like others
+    for keys in (["lang", "source"], ["lang"], ["__one"]):
         merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
         over = W.partitionBy(*keys, "measure")
         ranked = merged.withColumn("upto", F.sum("n").over(over.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(over))
@@ -106,10 +107,11 @@ def fences(sketch: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) ->
             F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bucket"))).alias("q3"),
         )
         high = bucket_low(F.col("q3")) + F.lit(spread) * (bucket_low(F.col("q3")) - bucket_low(F.col("q1")))
-        k = len(keys)
+        k = len(keys) if keys != ["__one"] else 0
         levels.append(quartiles.groupBy(*keys).agg(F.max("docs").alias(f"docs{k}"), *(F.max(F.when(F.col("measure") == m, high + margin)).alias(f"{m}{k}") for m, margin in MARGINS.items())))
     both, by_lang, whole = levels
-    joined = both.alias("a").join(by_lang.alias("b"), F.expr("a.lang <=> b.lang")).select("a.*", *(F.col(f"b.{c}") for c in by_lang.columns[1:])).crossJoin(F.broadcast(whole))
+    joined = both.alias("a").join(by_lang.alias("b"), F.expr("a.lang <=> b.lang")).select("a.*", *(F.col(f"b.{c}") for c in by_lang.columns[1:]))
+    joined = joined.withColumn("__one", F.lit(1)).join(whole, "__one")
     chosen = lambda m: F.when(F.col("docs2") >= min_docs, F.col(f"{m}2")).when(F.col("docs1") >= min_docs, F.col(f"{m}1")).otherwise(F.col(f"{m}0"))
     return joined.select("lang", "source", *(chosen(m).alias(f"max_{m}") for m in MARGINS))
 
@@ -122,7 +124,9 @@ def judged(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: s
     beyond = F.lit(False)
     for m in MARGINS:
         beyond = beyond | (F.col(m) > F.col(f"max_{m}"))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~(failed | F.coalesce(beyond, F.lit(False)))).drop("__lang", "__source", *(f"max_{m}" for m in MARGINS))
+    # one expression that a filter on it cannot take apart: part of it below the join would repeat the measuring
+    kept = F.when(failed, False).when(beyond, False).otherwise(True)
+    return df.withColumn("base_failed", failed).withColumn("kept", kept).drop("__lang", "__source", *(f"max_{m}" for m in MARGINS))
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, keep_text: bool = True) -> DataFrame:
