@@ -97,17 +97,24 @@ def disclosing(docs: DataFrame, near: DataFrame, text: str = "text", disclosed:
     n = pairs.count()
     if not n:
         return pairs.select("entity", "word")
+    total = float(docs.count())
+    once = lambda *keys: near.groupBy(*keys, "key").agg(F.lit(1).alias("one")).groupBy(*keys)
     both = near.join(small(pairs, n), ["entity", "word"], "left_semi").groupBy("entity", "word", "key").agg(F.lit(1).alias("one")).groupBy("entity", "word").agg(F.count("one").alias("n_both"))
-    entities = near.groupBy("entity", "key").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("one").alias("n_entity"))
-    # documents of each candidate word, over the whole corpus
+    both = both.join(once("entity").agg(F.count("one").alias("n_entity")), "entity")
+
+    def gives_away(n_word: str) -> Column:
+        """Mutual information >= disclosed * information of the entity, for a word in that many documents."""
+        own = F.log(total / F.col("n_entity"))
+        return (own > 0) & (F.log(F.col("n_both") * total / (F.col("n_entity").cast("double") * F.col(n_word))) >= own * disclosed)
+
+    # a word stands in no fewer documents than it has among all contexts: what fails already there need not be counted
+    both = both.join(once("word").agg(F.count("one").alias("n_near")), "word").where(gives_away("n_near"))
+    both = materialise(both, "pii-candidates")
+    if not both.count():
+        return both.select("entity", "word")
     every = docs.select(F.explode(words_of(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    words = every.join(small(pairs.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
-    total = docs.count()
-    joined = both.join(words, "word").join(entities, "entity")
-    # mutual information >= disclosed * information of the entity
-    mutual = F.log(F.col("n_both") * float(total) / (F.col("n_entity").cast("double") * F.col("n_word")))
-    own = F.log(float(total) / F.col("n_entity"))
-    return joined.where((own > 0) & (mutual >= own * disclosed)).select("entity", "word")
+    words = every.join(small(both.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
+    return both.join(words, "word").where(gives_away("n_word")).select("entity", "word")
 
 
 def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", disclosed: float = DISCLOSED, support: int = SUPPORT, keep_text: bool = True) -> DataFrame:
