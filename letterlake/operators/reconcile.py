@@ -60,7 +60,7 @@ def _with_place(df: DataFrame, places: DataFrame, flag: str) -> DataFrame:
 
 def _sequential(listing: pd.DataFrame, archived: pd.DataFrame) -> pd.DataFrame:
     left = dict(zip(archived["mid"], archived["n"]))
-    long_ids = [m for m in archived["mid"] if len(m) > LONG]
+    long_ids = sorted(m for m in archived["mid"] if len(m) > LONG)
     out = []
     listing = listing.sort_values("ord", kind="stable")
     for mid in listing["mid"]:
