@@ -226,3 +226,60 @@ def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("parsed_headers", _threads, """
 SELECT conv_id, turn, '<' || conv_id || '.' || turn || '@t>' AS email_id, '2026-02-20T12:00:0' || turn % 10 || '+01:00' AS date, 'turn ' || turn AS subject,
   lower(coalesce(role, 'nobody')) || '@example.com' AS senders, 'all@example.org' AS recipients FROM conversations""")
+
+
+# --- functions over columns, and what is left ---------------------------------------------------
+
+
+def _message_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from letterlake.functions.mail import message_id_key
+
+    raw = F.concat(F.lit(" <Order."), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "@MAIL.Example>").otherwise("@mail.example>\r\n "))
+    return adapters.table(spark, sf_dir, "orders").select("o_orderkey", message_id_key(raw).alias("mid"))
+
+
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from letterlake.functions.mail import date_text
+
+    zone = F.when(F.col("o_orderkey") % 3 == 0, " +9900").when(F.col("o_orderkey") % 3 == 1, " +0200").otherwise("")
+    raw = F.concat(F.lit("Thur, "), F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss"), zone)
+    return adapters.table(spark, sf_dir, "orders").select("o_orderkey", date_text(raw).alias("date"))
+
+
+def _repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claimed = reconcile.claims(_li(spark, sf_dir), _ar(spark, sf_dir))
+    fetched = _li(spark, sf_dir).select("mailbox", "folder", "ord", F.when(F.col("ord") % 5 != 0, F.sha2((F.col("ord") % 700).cast("string"), 256)).alias("store_id"))
+    there = adapters.table(spark, sf_dir, "events").where("event_id < 350").select(F.sha2(F.col("event_id").cast("string"), 256).alias("store_id"))
+    return reconcile.repairs(claimed, fetched, there)
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from letterlake.sources.archive import classified
+
+    e = adapters.table(spark, sf_dir, "events")
+    own = F.sha2(F.col("event_id").cast("string"), 256)
+    name = F.element_at(F.array(F.concat(own, F.lit(".eml")), F.concat(own, F.lit(".eml.zst")), F.concat(own, F.lit(".eml.q1.tmp")), F.concat(own, F.lit(".eml.corrupt.2")), F.lit("state.json.x.tmp")), (F.col("event_id") % 5 + 1).cast("int"))
+    listing = e.select(name.alias("name"), F.col("ts").alias("modified"))
+    return classified(listing, F.lit("2024-01-15").cast("timestamp")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("message_id_keys", _message_ids, "SELECT o_orderkey, 'order.' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '@mail.example' ELSE '@mail.example' END AS mid FROM orders")
+query("date_texts", _dates, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 3 = 1 THEN '+02:00' ELSE '' END AS date FROM orders")
+query("reconcile_repairs", _repairs, f"""WITH {LISTING},
+g AS (SELECT mailbox, folder, claim, CASE WHEN ord % 5 <> 0 THEN sha256(CAST(ord % 700 AS VARCHAR)) END AS store_id, ord FROM claimed WHERE claim <> 'TAKEN'),
+k AS (SELECT *, CASE WHEN store_id IS NULL THEN 'failed' WHEN claim = 'ABSENT' THEN 'restored' WHEN store_id NOT IN (SELECT sha256(CAST(event_id AS VARCHAR)) FROM events WHERE event_id < 350) THEN 'recovered' ELSE 'known' END AS kind FROM g)
+SELECT mailbox, folder, count(*) FILTER (kind = 'restored') AS restored, count(*) FILTER (kind = 'recovered') AS recovered, count(*) FILTER (kind = 'known') AS known, count(*) FILTER (kind = 'failed') AS failed FROM k GROUP BY ALL""")
+query("classified_files", _kinds, """SELECT CASE WHEN event_id % 5 < 2 THEN 'entry' WHEN event_id % 5 = 2 AND ts <= TIMESTAMP '2024-01-14' THEN 'stale' WHEN event_id % 5 = 2 THEN 'live' WHEN event_id % 5 = 3 THEN 'quarantined' ELSE 'foreign' END AS kind,
+count(*) AS n FROM events GROUP BY 1""")
+query("usable_resume_points", lambda s, d: adapters.table(s, d, "events").select(text.usable_resume(F.concat(F.lit('{"kind": '), F.when(F.col("event_id") % 3 == 0, '"imap-uid"').when(F.col("event_id") % 3 == 1, '""').otherwise("7"), F.lit(', "uid": 1}'))).alias("usable")).groupBy("usable").agg(F.count(F.lit(1)).alias("n")),
+      "SELECT event_id % 3 = 0 AS usable, count(*) AS n FROM events GROUP BY 1")
+query("attribution_counts", lambda s, d: attribution.attribution_counts(_legacy_messages(s, d), *_legacy(s, d)[:2], attribution.witnesses(*_legacy(s, d))), f"""WITH {LEGACY},
+own AS (SELECT folder, mailbox FROM l_fold JOIN single USING (message_id) UNION SELECT folder, mailbox FROM l_snap),
+sure AS (SELECT message_id, folder, min(mailbox) AS mailbox FROM l_fold JOIN own USING (folder) JOIN l_mail USING (message_id, mailbox) GROUP BY message_id, folder HAVING count(*) = 1)
+SELECT (SELECT count(*) FROM orders) AS messages, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT message_id FROM l_mail)) + (SELECT count(*) FROM l_mail ANTI JOIN sure USING (message_id, mailbox)) AS placeless,
+  (SELECT count(*) FROM l_fold) - (SELECT count(*) FROM sure) AS undecidable""")
+query("attribution_owners", lambda s, d: attribution.owners(*_legacy(s, d), check._cut))
+
+
+def _legacy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("message_id"), F.col("o_orderkey").cast("string").alias("store_id"))
