@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup side may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a lookup side may be broadcast (some ten MB of short rows); beyond it the join shuffles.
+BROADCAST_ROWS = 250_000
 #: Bytes of text that a task turns into arrays at once.
 CHUNK_BYTES = 2_000_000
 
@@ -33,10 +33,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (shuffled join)."""
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows, else as it is (shuffled join)."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def without(df: DataFrame, names: list[str]) -> list[str]:

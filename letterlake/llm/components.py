@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterlake.llm.common import materialise
+from letterlake.llm.common import materialise, small
 
 #: Rounds after which something must be wrong: each shortens paths by a constant factor.
 MOST_ROUNDS = 60
@@ -41,9 +41,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """Edges ``u``, ``v`` from each ``item`` to the smallest item of each ``bucket`` it is in; buckets of one item give none."""
+    """Edges ``u``, ``v`` from each ``item`` to the smallest item of each ``bucket`` it is in; buckets of one item give none.
+
+    Only smallest and largest items of the buckets are shuffled; few buckets have two items, so
+    the members mostly meet them in a broadcast (beyond its bound in a shuffled join).
+    """
     hubs = members.groupBy("bucket").agg(F.min("item").alias("v"), F.max("item").alias("far")).where("v <> far").drop("far")
-    return members.join(hubs, "bucket").where("item <> v").select(F.col("item").alias("u"), "v")
+    hubs = small(materialise(hubs, "components-hubs"))
+    return members.join(hubs, "bucket").where("item <> v").select(F.col("item").alias("u"), "v").distinct()
 
 
 def in_blocks(members: DataFrame, rows: int, size: int) -> DataFrame:

@@ -199,9 +199,11 @@ def _classes(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float,
     # one row per n-gram set: the text with the smallest digest stands for it
     sets = with_key.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("digest").alias("digest"), F.max("bytes").alias("bytes"))
     sets = materialise(sets, "jaccard-sets")
-    members = with_key.select(F.col("key").alias("item"), F.explode("buckets").alias("bucket")).distinct()
-    near = components(stars(members)).withColumnRenamed("node", "item")
-    near = materialise(near.join(sets.withColumnRenamed("key", "item"), "item"), "jaccard-candidates")
+    # candidates by a short hash of the key: two keys that share one are candidates too, and are compared
+    members = with_key.select(F.xxhash64("key").alias("item"), F.explode("buckets").alias("bucket"))
+    near = small(components(stars(members)))
+    near = sets.join(near, F.xxhash64("key") == F.col("node")).withColumnRenamed("key", "item").drop("node")
+    near = materialise(near, "jaccard-candidates")
     texts = docs.select(digest.alias("digest"), F.col(text).alias("text")).join(small(near.select("digest")), "digest", "left_semi")
     texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
     groups = in_blocks(near.select("root", "item", "bytes", "copies", "digest"), BLOCK_ROWS, BLOCK_BYTES).join(texts, "digest")

@@ -400,3 +400,17 @@ def test_sketch_buckets_are_ordered_and_close(spark):
     for r in df:
         assert r.low <= r.id <= r.low * (1 + 1 / 16) + 1
     assert all(a.b <= b.b for a, b in zip(df, df[1:]))
+
+
+def test_shuffled_joins_give_what_broadcasts_give(spark, sf, monkeypatch):
+    from letterlake.llm import common
+
+    names = ["op5_mix_sources", "op6_ngram_jaccard", "op7_sanitise_pii", "op8_quality_rules", "op9_line_dedup"]
+    before = {n: sorted(map(repr, queries.QUERIES[n](spark, str(sf / "full")).collect())) for n in names}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert before == {n: sorted(map(repr, queries.QUERIES[n](spark, str(sf / "full")).collect())) for n in names}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
