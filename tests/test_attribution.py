@@ -1,0 +1,49 @@
+"""The attribution query against a plain version of the elimination, over items of every line number."""
+
+import random
+
+from letterlake.queries import QUERIES
+
+
+def brute_owners(items):
+    """Owners of each folder, message by message in order of its id, over all items."""
+    mailboxes, folders, owners = {}, {}, {"f0": {"mb0"}}
+    for order, line, supplier in items:
+        mailboxes.setdefault(order, set()).add(f"mb{supplier % 6}")
+        folders.setdefault(order, set()).add(f"f{supplier % 6}" + ("x" if line == 2 else ""))
+    for m, boxes in mailboxes.items():
+        if len(boxes) == 1:
+            for f in folders[m]:
+                owners.setdefault(f, set()).update(boxes)
+    learnt = True
+    while learnt:
+        learnt = False
+        for m in sorted(mailboxes):
+            if len(mailboxes[m]) < 2:
+                continue
+            fits = {f: owners.get(f, set()) & mailboxes[m] for f in folders[m]}
+            missing = mailboxes[m].difference(*(own for own in fits.values() if len(own) == 1))
+            orphans = [f for f, own in fits.items() if not own]
+            if len(missing) == 1 and len(orphans) == 1:
+                owners.setdefault(orphans[0], set()).update(missing)
+                learnt = True
+    return {(f, m) for f, own in owners.items() for m in own}
+
+
+def owners_of(spark, root, items):
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{root}/lineitem.parquet")
+    return {tuple(r) for r in QUERIES["attribution_owners"](spark, str(root)).select("folder", "mailbox").collect()}
+
+
+def test_owners_of_items_beyond_the_second(spark, tmp_path):
+    # only the third line names f3, and only lines three and four let f4 be eliminated
+    items = [(1, 3, 3), (2, 3, 3), (2, 4, 4), (3, 1, 1), (3, 2, 1)]
+    got = owners_of(spark, tmp_path, items)
+    assert got == brute_owners(items) and {("f3", "mb3"), ("f4", "mb4")} <= got
+
+
+def test_owners_against_plain_elimination(spark, tmp_path):
+    for seed in range(4):
+        rng = random.Random(seed)
+        items = [(k, n, rng.randrange(1, 13)) for k in range(rng.randint(5, 12)) for n in rng.sample(range(1, 8), rng.randint(2, 4))]
+        assert owners_of(spark, tmp_path / str(seed), items) == brute_owners(items), seed
