@@ -224,7 +224,7 @@ SQL["op6_ngram_jaccard"] = f"WITH RECURSIVE {_sql_jaccard()} SELECT jd.doc_id, c
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that each document loses to equal or nearly equal lines that stand before."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = lines.deduplicated(docs)
+    found = lines.deduplicated(docs, short=True)
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
