@@ -5,15 +5,23 @@ from its characters (hexadecimal, upper- or lower-case letters and digits, or ba
 tests ask whether it looks drawn at random from that alphabet: chi-squared uniformity of its
 characters, the number of runs of low and high symbols, and the correlation of neighbours.
 
-Short tokens pass such tests by chance, so discoveries are controlled by length: each token has a
-decoy, as many letters of its own document's prose, read in the same alphabet.  The share of decoys
-that pass estimates how many ordinary tokens of that encoding and length class do.  A class counts
-only where the false ones expected at that rate are at most ``FALSE_SHARE`` of those that pass.
-The counts are one small table per encoding and length class over the whole corpus.
+Ordinary tokens pass such tests by chance, the shorter the more often, so each token that passes
+has a p-value: how probable it is that ordinary text of that encoding and length looks as random.
+Ordinary text is the prose of the documents with tokens, without its tokens and blanks, in the
+encoding's case and without characters that the encoding lacks: each token has ``DECOYS`` decoys of
+its own length from it.  Their scores (the sum of the three deviations, about normal) give mean and
+spread for each encoding and length class, drawn towards those of all lengths where decoys are few.
+For hexadecimal digits the p-value also has the chance that so many characters of prose are all
+digits.  Discoveries are then controlled per encoding and length class by Benjamini and Hochberg's
+step at ``FALSE_SHARE``, so a long key counts alone among thousands of names, a short one does not.
+
+What is gathered from the corpus is one histogram of scores per encoding and length class.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +29,18 @@ from letterlake.llm.common import without
 from letterlake.llm.spans import Kind, bound, counted, listed, no_spans, overlaps, placed, replaced, with_spans
 
 LEAST = 16
-TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST
-#: Share of false discoveries that a length class may have.
+#: Padding may follow a token, but a sign of equality within ends it.
+TOKEN = r"[A-Za-z0-9+/_-]{%d,}+={0,2}" % LEAST
+#: Share of false discoveries that a class may have.
 FALSE_SHARE = 0.05
-#: Decoys assumed beyond those seen: this many, of which one passes.
-ASSUMED = 40
+#: Decoys of each token.
+DECOYS = 4
+#: Decoys that the moments of all lengths weigh in a class, and those assumed where an encoding has none.
+PRIOR, ASSUMED_MEAN, ASSUMED_VARIANCE = 20, 8.0, 4.0
 #: Standard deviations within which a test passes: uniformity (one-sided), runs, correlation.
 LIMITS = (2.33, 2.58, 2.58)
+#: Steps per unit of the score's histogram, and its last step.
+GRAIN, LAST = 8, 800
 
 _ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 KINDS = (
@@ -61,17 +74,18 @@ def encoding(token: Column) -> Column:
     return out
 
 
-def looks_random(token: Column, name: Column) -> Column:
-    """Whether ``token``, read in the alphabet ``name``, passes the battery; false if it does not fit."""
+def battery(token: Column, name: Column) -> Column:
+    """``ok`` (``token``, read in the alphabet ``name``, passes all tests) and ``score`` (the sum of its deviations;
+    null where a test cannot be made), in time linear in the token."""
     letters = F.lit(None).cast("string")
     for k, v in ALPHABETS.items():
         letters = F.when(name == k, v).otherwise(letters)
-    return bound(F.struct(plain(token).alias("t"), letters.alias("a")), lambda v: (F.translate(v["t"], ALPHABETS["base64"], "") == "") & _battery(v["t"], v["a"]))
+    return bound(F.struct(plain(token).alias("t"), letters.alias("a")), lambda v: _tests(v["t"], v["a"]))
 
 
-def _battery(t: Column, a: Column) -> Column:
+def _tests(t: Column, a: Column) -> Column:
     n, k = F.length(t).cast("double"), F.length(a).cast("double")
-    symbols = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.instr(a, F.substring(t, i, 1)).cast("double"))
+    symbols = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(a, c).cast("double"))
     squares = F.aggregate(F.array_distinct(F.split(t, "")), F.lit(0.0), lambda s, c: s + F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2.0)))
     chi, free = squares * k / n - n, k - 1
     # Wilson and Hilferty: the cube root is close to normal
@@ -83,17 +97,25 @@ def _battery(t: Column, a: Column) -> Column:
         square = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
         pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
         both = F.aggregate(pairs, F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("c")), lambda s, v: F.struct((s["r"] + F.when((v["p"] > k / 2) != (v["q"] > k / 2), 1.0).otherwise(0.0)).alias("r"), (s["c"] + v["p"] * v["q"]).alias("c")))
-        return bound(F.struct(high.alias("h"), total.alias("s"), square.alias("q"), both.alias("b")), of_sums)
+        return bound(F.struct(high.alias("h"), total.alias("s"), square.alias("q"), both.alias("b"), uniform.alias("u")), of_sums)
 
     def of_sums(v: Column) -> Column:
         one = 2 * v["h"] * (n - v["h"])
-        runs = (v["b"]["r"] - one / n) / F.sqrt(one * (one - n) / (n * n * (n - 1)))
+        runs = F.when(one > n, (v["b"]["r"] - one / n) / F.sqrt(one * (one - n) / (n * n * (n - 1))))
         spread = v["q"] - v["s"] * v["s"] / n
-        tied = (v["b"]["c"] - v["s"] * v["s"] / n) / spread * F.sqrt(n)
+        tied = F.when(spread > 0, (v["b"]["c"] - v["s"] * v["s"] / n) / spread * F.sqrt(n))
         # too few kinds of symbols for a test: not random
-        return F.coalesce((one > n) & (spread > 0) & (F.abs(runs) <= LIMITS[1]) & (F.abs(tied) <= LIMITS[2]), F.lit(False))
+        ok = F.coalesce((v["u"] <= LIMITS[0]) & (F.abs(runs) <= LIMITS[1]) & (F.abs(tied) <= LIMITS[2]), F.lit(False))
+        return F.struct(ok.alias("ok"), (v["u"] + F.abs(runs) + F.abs(tied)).alias("score"))
+
+    fits = (n >= LEAST) & (F.translate(t, ALPHABETS["base64"], "") == "")
+    none = F.struct(F.lit(False).alias("ok"), F.lit(None).cast("double").alias("score"))
+    return F.when(fits, bound(symbols, lambda x: F.when(F.exists(x, lambda y: y == 0), none).otherwise(of_symbols(x)))).otherwise(none)
+
 
-    return (n >= LEAST) & ~F.exists(symbols, lambda x: x == 0) & (uniform <= LIMITS[0]) & bound(symbols, of_symbols)
+def looks_random(token: Column, name: Column) -> Column:
+    """Whether ``token``, read in the alphabet ``name``, passes the battery; false if it does not fit."""
+    return F.coalesce(battery(token, name)["ok"], F.lit(False))
 
 
 def is_mixed(token: Column) -> Column:
@@ -107,49 +129,126 @@ def length_class(token: Column) -> Column:
 
 
 def token_class(token: Column) -> Column:
-    return F.concat_ws(":", encoding(token), length_class(token))
+    return F.concat_ws(":", encoding(token), length_class(plain(token)))
 
 
-def accepted_classes(docs: DataFrame, text: str = "text") -> list[str]:
-    """The classes (encoding and length class) in which passing tokens count."""
+def step(score: Column) -> Column:
+    """The histogram step of a score; null has the last one."""
+    return F.coalesce(F.least(F.greatest(F.ceil(score * GRAIN), F.lit(-LAST)), F.lit(LAST)), F.lit(LAST)).cast("int")
+
+
+def tokens_of(body: Column) -> Column:
+    """The tokens of a text; texts without a digit have no candidates."""
+    return F.when(body.rlike("[0-9]"), F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def histogram(docs: DataFrame, text: str = "text") -> DataFrame:
+    """class, decoy, ok, step and n of tokens and decoys; and characters of their documents' prose (class ``prose``),
+    where ok marks those that are hexadecimal digits."""
     body = F.coalesce(F.col(text), F.lit(""))
-    some = docs.where(body.rlike(r"[0-9]")).select(body.alias("body"), F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), is_mixed).alias("tokens"))
-    # the letters of the document's words, without its tokens
-    some = some.where(F.size("tokens") > 0).select(F.lower(F.regexp_replace("body", "[A-Za-z0-9+/_=-]*[0-9+/_=-][A-Za-z0-9+/_=-]*|[^A-Za-z]+", "")).alias("prose"), F.posexplode("tokens").alias("i", "t"))
-    size = F.length(plain(F.col("t")))
-    # each token of a document gets the next piece of its prose, from the start again at its end
-    begin = F.pmod(F.col("i") * size, F.greatest(F.length("prose") - size + 1, F.lit(1))) + 1
-    decoy = F.when(F.length("prose") >= size, F.substring(F.col("prose"), begin, size))
-    decoy = F.when(encoding(F.col("t")).isin("HEX", "ALNUM"), F.upper(decoy)).otherwise(decoy)
-    judged = some.select(token_class(F.col("t")).alias("c"), looks_random(F.col("t"), encoding(F.col("t"))).alias("ok"), looks_random(decoy, encoding(F.col("t"))).alias("decoy_ok"))
-    counts = judged.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok"), F.count("decoy_ok").alias("decoys"), F.count_if("decoy_ok").alias("decoys_ok"))
-    # a few rows per encoding and power of two of the longest token
-    return [c for c, n, ok, decoys, decoys_ok in counts.collect() if ok and n * (decoys_ok + 1) / (decoys + ASSUMED) <= FALSE_SHARE * ok]
-
-
-def scanned(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    some = docs.select(body.alias("body"), F.filter(tokens_of(body), is_mixed).alias("tokens")).where(F.size("tokens") > 0)
+    prose = F.regexp_replace(F.regexp_replace("body", TOKEN, ""), "[^A-Za-z0-9]+", "")
+    some = some.select("tokens", prose.alias("prose"))
+    # bytes, because a place in a text is found by counting from its beginning
+    folded = {"base64": F.col("prose"), "alnum": F.lower("prose"), "ALNUM": F.upper("prose"), "hex": F.regexp_replace(F.lower("prose"), "[^0-9a-f]+", ""), "HEX": F.regexp_replace(F.upper("prose"), "[^0-9A-F]+", "")}
+    some = some.select("tokens", *(F.encode(folded[k], "UTF-8").alias(f"as_{i}") for i, k in enumerate(ALPHABETS)))
+
+    def prose_in(name: str) -> Column:
+        return F.col(f"as_{list(ALPHABETS).index(name)}")
+
+    def piece(name: str, size: Column, nth: Column) -> Column:
+        """The nth piece of the prose, from the start again at its end."""
+        own = prose_in(name)
+        room = F.length(own) - size + 1
+        return F.when(room > 0, F.decode(F.substring(own, F.pmod(nth * size, F.greatest(room, F.lit(1))) + 1, size), "UTF-8"))
+
+    def with_decoys(t: Column, i: Column) -> Column:
+        def of(v: Column) -> Column:
+            def decoy(k: Column) -> Column:
+                out = F.lit(None).cast("string")
+                for name in ALPHABETS:
+                    out = F.when(v["e"] == name, piece(name, v["n"], i * DECOYS + k)).otherwise(out)
+                return out
+
+            return F.struct(v["e"].alias("e"), v["c"].alias("c"), F.concat(F.array(t), F.transform(F.sequence(F.lit(0), F.lit(DECOYS - 1)), decoy)).alias("all"))
+
+        return bound(F.struct(encoding(t).alias("e"), token_class(t).alias("c"), F.length(plain(t)).alias("n")), of)
+
+    each = some.select(F.explode(F.transform("tokens", with_decoys)).alias("x")).select("x.e", "x.c", F.posexplode("x.all").alias("nth", "s")).where("s IS NOT NULL")
+    each = each.select("c", (F.col("nth") > 0).alias("decoy"), battery(F.col("s"), F.col("e")).alias("b"))
+    scores = each.groupBy(F.col("c").alias("class"), "decoy", F.coalesce("b.ok", F.lit(False)).alias("ok"), step(F.col("b.score")).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    letters = some.select(F.explode(F.array(F.struct(F.lit(True).alias("ok"), F.length(prose_in("hex")).alias("n")), F.struct(F.lit(False).alias("ok"), (F.length(prose_in("base64")) - F.length(prose_in("hex"))).alias("n")))).alias("x"))
+    letters = letters.groupBy("x.ok").agg(F.sum("x.n").cast("long").alias("n"))
+    return scores.unionByName(letters.select(F.lit("prose").alias("class"), F.lit(False).alias("decoy"), "ok", F.lit(0).alias("step"), "n"))
+
+
+def _moments(counts: list[tuple[int, int]], mean: float, variance: float) -> tuple[float, float]:
+    """Mean and variance of a histogram, with ``PRIOR`` values of the given moments added."""
+    n = sum(c for _, c in counts) + PRIOR
+    middle = (sum(s / GRAIN * c for s, c in counts) + PRIOR * mean) / n
+    square = sum((s / GRAIN - middle) ** 2 * c for s, c in counts) + PRIOR * (variance + (mean - middle) ** 2)
+    return middle, max(square / n, 1.0)
+
+
+def accepted(rows: list[tuple[str, bool, bool, int, int]], false_share: float = FALSE_SHARE) -> dict[str, int]:
+    """The last step of each class whose passing tokens count, from the rows of ``histogram``."""
+    hexadecimal = sum(n for c, _, ok, _, n in rows if c == "prose" and ok)
+    prose = sum(n for c, _, _, _, n in rows if c == "prose")
+    fitting = (hexadecimal + 1) / (prose + 2)
+    decoys: dict[str, list[tuple[int, int]]] = {}
+    for c, decoy, _, s, n in rows:
+        if decoy and s < LAST:
+            decoys.setdefault(c, []).append((s, n))
+    out = {}
+    for c in sorted({r[0] for r in rows if not r[1]} - {"prose"}):
+        name, size = c.split(":")
+        whole = _moments([x for k, v in decoys.items() if k.split(":")[0] == name for x in v], ASSUMED_MEAN, ASSUMED_VARIANCE)
+        middle, variance = _moments(decoys.get(c, []), *whole)
+        chance = fitting ** (2 ** (int(size) / 4)) if name.lower() == "hex" else 1.0
+        total = sum(r[4] for r in rows if r[0] == c and not r[1])
+        found = 0
+        for s, n in sorted((r[3], r[4]) for r in rows if r[0] == c and not r[1] and r[2]):
+            found += n
+            p = chance * math.erfc((middle - s / GRAIN) / math.sqrt(2 * variance)) / 2
+            if p * total <= false_share * found:
+                out[c] = s
+    return out
+
+
+def accepted_classes(docs: DataFrame, text: str = "text") -> list[str]:
+    """The classes (encoding and length class) in which some tokens count."""
+    return sorted(accepted([tuple(r) for r in histogram(docs, text).collect()]))
+
+
+def scanned(docs: DataFrame, text: str = "text", keep_text: bool = True, false_share: float = FALSE_SHARE) -> DataFrame:
     """``docs`` with ``base_spans`` of the known forms, ``spans`` (those and ``random`` ones) and ``redacted``.
 
     Spans have start, rank, end (code points, end exclusive), kind and match, and are sorted by
     start and kind.  A random span never overlaps one of a known form.  ``redacted`` is the text
     with each span replaced by its kind in brackets; ``keep_text=False`` leaves both texts out.
-    Null and empty texts have no spans (``redacted`` of null is null).  Every row, repeated ones
-    too, gets its own result; input columns named like results are replaced.
+    Null and empty texts have no spans (``redacted`` of null is null), and so has an empty table no
+    rows.  Every row, repeated ones too, gets its own result, and equal scores are accepted or not
+    together; input columns named like results are replaced, others stay.  Whole texts and tokens
+    of any length are read, in linear time.
     """
-    classes = accepted_classes(docs, text)
+    # a bounded table: encodings, length classes and steps
+    steps = accepted([tuple(r) for r in histogram(docs, text).collect()], false_share)
     names = ["base_spans", "spans", "redacted"]
     kept = [c for c in without(docs, names) if keep_text or c != text]
     df = with_spans(docs.select(*dict.fromkeys([*kept, text])), text, KINDS, "base_spans")
     body = F.coalesce(F.col(text), F.lit(""))
-    # texts without a digit within a token have no candidates
-    df = df.withColumn("__tokens", F.when(body.rlike("[0-9]"), F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("__tokens", tokens_of(body) if steps else F.array().cast("array<string>"))
     df = df.withColumn("__some", F.exists("__tokens", is_mixed))
     df = df.withColumn("__all", F.when(F.col("__some"), placed(body, TOKEN, F.col("__tokens"), "random", len(KINDS))).otherwise(no_spans()))
     free = F.filter("__all", lambda s: is_mixed(s["match"]) & ~F.exists("base_spans", lambda b: overlaps(s, b)))
     df = df.withColumn("__free", F.when(F.col("__some"), free).otherwise(no_spans()))
-    accepted = F.array(*map(F.lit, classes)) if classes else F.array().cast("array<string>")
-    found = F.filter("__free", lambda s: F.array_contains(accepted, token_class(s["match"])) & looks_random(s["match"], encoding(s["match"])))
-    df = df.withColumn("spans", F.array_sort(F.concat("base_spans", F.when(F.size("__free") > 0, found).otherwise(no_spans()))))
+    last = F.create_map(*(F.lit(x) for pair in steps.items() for x in pair)) if steps else F.lit(None).cast("map<string,int>")
+
+    def counts(s: Column) -> Column:
+        tested = lambda v: F.coalesce(v["ok"] & (step(v["score"]) <= last[token_class(s["match"])]), F.lit(False))
+        return bound(battery(s["match"], encoding(s["match"])), tested)
+
+    df = df.withColumn("spans", F.array_sort(F.concat("base_spans", F.when(F.size("__free") > 0, F.filter("__free", counts)).otherwise(no_spans()))))
     if not keep_text:
         return df.select(*kept, "base_spans", "spans")
     return df.select(*kept, "base_spans", "spans", F.when(F.size("spans") > 0, replaced(F.col(text), F.col("spans"), lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]")))).otherwise(F.col(text)).alias("redacted"))

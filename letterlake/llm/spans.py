@@ -1,7 +1,8 @@
 """Places of pattern matches in texts, with DataFrame functions only.
 
 Spark returns what a pattern matches but not where.  A text split at the matches gives the pieces
-between them; running sums of the lengths of pieces and matches give the places.
+between them; running sums of the lengths of pieces and matches give the places.  The sums run in
+slices of ``SLICE`` matches, because a list that grows by one is copied each time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Matches of a text whose places are gathered in one list before they join the others.
+SLICE = 256
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
 
 
@@ -44,9 +47,15 @@ def placed(text: Column, pattern: Column | str, matches: Column, kind: str, rank
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"))
         return F.when(x["match"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
 
+    def in_slice(state: Column, part: Column) -> Column:
+        begin = F.struct(state["at"].alias("at"), no_spans().alias("out"))
+        own = F.aggregate(part, begin, step)
+        return bound(own, lambda v: F.struct(v["at"].alias("at"), F.concat(state["out"], v["out"]).alias("out")))
+
     begin = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
     pairs = F.arrays_zip(pieces.alias("piece"), matches.alias("match"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, begin, step, lambda s: s["out"])).otherwise(no_spans())
+    slices = bound(pairs, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / SLICE).cast("int")), lambda k: F.slice(x, k * SLICE + 1, F.lit(SLICE))))
+    return F.when(F.size(matches) > 0, F.aggregate(slices, begin, in_slice, lambda s: s["out"])).otherwise(no_spans())
 
 
 def _holding(kind: Kind) -> Callable[[Column], Column]:
