@@ -2,10 +2,16 @@
 
 Each document gets a few whole-number measures.  Per language and source a mergeable quantile
 sketch of every measure is kept: counts of log-spaced buckets (16 per power of two, so a relative
-error of at most 1/16), which merge by adding.  A measure's fence is its upper quartile plus
-``SPREAD`` interquartile ranges plus a fixed margin; groups of fewer than ``min_docs`` documents
-use the merged sketch of their language, and small languages that of the whole corpus.  Documents
-are then joined with the fences of their group and judged.
+error of at most 1/16), which merge by adding.  A measure's fences lie ``SPREAD`` scales beyond its
+quartiles.  The scale is the interquartile range, but not less than the measure can resolve in that
+group: what one event (a symbol, a repeated line, a repeated window) makes in a document of the
+group's lower-quartile size.  So where a measure is zero for most documents, as symbols and repeats
+are, the fence follows from the sizes of the group's documents, and no cutoff is fixed beforehand.
+
+The fences of a group are drawn towards those of its language, and these towards the corpus's, with
+the weight of ``MIN_DOCS`` documents: ``(n * own + MIN_DOCS * above) // (n + MIN_DOCS)``, so a group
+of any size has thresholds of its own and small ones do not follow single documents.  Documents are
+then joined with the fences of their group and judged.
 
 The sketches have a bounded number of rows per group whatever the input; a hot source is
 pre-aggregated map-side, so no task gets its rows.
@@ -24,13 +30,16 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Words of a window for repetition.
 WINDOW = 8
-#: Interquartile ranges beyond the upper quartile that a measure may lie.
+#: Scales beyond the quartiles that a measure may lie.
 SPREAD = 3
-#: Documents below which a group uses the sketch of the level above.
+#: Documents that the fences of the level above weigh.
 MIN_DOCS = 200
-#: measure -> margin added to its fence; the measures are per thousand words or lines, and word length in hundredths.
-MARGINS = {"symbol_rate": 100, "dup_line_rate": 500, "repeat_rate": 250, "word_length": 150}
+#: measure -> the size it is taken relative to, and units of the measure (per thousand) that one event makes: the
+#: measures are per thousand words or lines, and word length in hundredths, which has no such unit.
+MEASURES = {"symbol_rate": ("n_words", 1000), "dup_line_rate": ("n_lines", 1000), "repeat_rate": ("n_words", 2000 * WINDOW), "word_length": (None, 0)}
+SIZES = ["n_words", "n_lines"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+RESULT = [*BASE, "n_lines", *MEASURES]
 
 
 def trimmed_words(text: Column) -> Column:
@@ -40,9 +49,9 @@ def trimmed_words(text: Column) -> Column:
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus ``BASE`` columns and the measures of ``MARGINS``, all long."""
+    """``docs`` plus the ``BASE`` columns, ``n_lines`` and the measures of ``MEASURES``, all long."""
     t = F.coalesce(F.col(text), F.lit(""))
-    kept = without(docs, [*BASE, *MARGINS])
+    kept = without(docs, RESULT)
     # each step is a projection of its own, so that no array is computed twice
     df = docs.select(*kept, trimmed_words(F.col(text)).alias("__w"), F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("__lines"))
     df = df.select(
@@ -50,7 +59,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size("__lines").cast("long").alias("__n_lines"),
+        F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.transform("__w", lambda x: F.xxhash64(x)).alias("__h"),
     )
@@ -63,10 +72,11 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("__at", F.array_sort(F.transform(twice, lambda p: p["i"])))
     gaps = F.zip_with("__at", F.slice("__at", F.lit(2), F.greatest(F.size("__at") - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     df = df.withColumn("n_repeat_words", F.when(F.col("__at").isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(0), lambda a, x: a + x)).cast("long"))
-    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("__n_lines", F.lit(1))
+    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     return df.select(
         *kept,
         *BASE,
+        "n_lines",
         F.expr("1000 * n_symbols").__truediv__(words).cast("long").alias("symbol_rate"),
         F.expr("1000 * n_dup_lines").__truediv__(lines).cast("long").alias("dup_line_rate"),
         F.expr("1000 * n_repeat_words").__truediv__(words).cast("long").alias("repeat_rate"),
@@ -86,18 +96,23 @@ def bucket_low(b: Column) -> Column:
     return F.when(b < 16, b).otherwise(((F.lit(16) + b % 16) * F.pow(F.lit(2.0), e)).cast("long"))
 
 
+def bucket_high(b: Column) -> Column:
+    """The largest number of a bucket."""
+    return bucket_low(b + 1) - 1
+
+
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Bucket counts: lang, source, measure, bucket, n."""
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MARGINS)))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in [*MEASURES, *SIZES])))
     rows = measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), each.alias("x"))
     return rows.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fences(sketch: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
-    """The highest allowed value of each measure, by lang and source: one row per group."""
+    """``max_`` and ``min_`` of each measure, the highest and lowest allowed values, by lang and source: one row per group."""
     sketch, levels = sketch.withColumn("__one", F.lit(1)), []
     # the key __one makes the whole corpus a group like others
-    for keys in (["lang", "source"], ["lang"], ["__one"]):
+    for k, keys in ((2, ["lang", "source"]), (1, ["lang"]), (0, ["__one"])):
         merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
         over = W.partitionBy(*keys, "measure")
         ranked = merged.withColumn("upto", F.sum("n").over(over.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(over))
@@ -106,44 +121,49 @@ def fences(sketch: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) ->
             F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bucket"))).alias("q1"),
             F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bucket"))).alias("q3"),
         )
-        high = bucket_low(F.col("q3")) + F.lit(spread) * (bucket_low(F.col("q3")) - bucket_low(F.col("q1")))
-        k = len(keys) if keys != ["__one"] else 0
-        levels.append(quartiles.groupBy(*keys).agg(F.max("docs").alias(f"docs{k}"), *(F.max(F.when(F.col("measure") == m, high + margin)).alias(f"{m}{k}") for m, margin in MARGINS.items())))
+        of = lambda m, value: F.max(F.when(F.col("measure") == m, value))
+        each = [of(m, bucket_low(F.col("q1"))).alias(f"low_{m}") for m in [*MEASURES, *SIZES]] + [of(m, bucket_high(F.col("q3"))).alias(f"high_{m}") for m in MEASURES]
+        wide = quartiles.groupBy(*keys).agg(F.max("docs").alias(f"docs{k}"), *each)
+        out = []
+        for m, (size, event) in MEASURES.items():
+            one = F.expr(f"{event} div greatest(low_{size}, 1)") if size else F.lit(0)
+            scale = F.greatest(F.col(f"high_{m}") - F.col(f"low_{m}"), one)
+            out += [(F.col(f"high_{m}") + spread * scale).alias(f"max_{m}{k}"), F.greatest(F.col(f"low_{m}") - spread * scale, F.lit(0)).alias(f"min_{m}{k}")]
+        levels.append(wide.select(*keys, f"docs{k}", *out))
     both, by_lang, whole = levels
     joined = both.alias("a").join(by_lang.alias("b"), F.expr("a.lang <=> b.lang")).select("a.*", *(F.col(f"b.{c}") for c in by_lang.columns[1:]))
     joined = joined.withColumn("__one", F.lit(1)).join(whole, "__one")
-    chosen = lambda m: F.when(F.col("docs2") >= min_docs, F.col(f"{m}2")).when(F.col("docs1") >= min_docs, F.col(f"{m}1")).otherwise(F.col(f"{m}0"))
-    return joined.select("lang", "source", *(chosen(m).alias(f"max_{m}") for m in MARGINS))
+    names = [f"{side}_{m}" for m in MEASURES for side in ("max", "min")]
+    for k in (1, 2):
+        joined = joined.select("*", *(F.expr(f"({c}{k} * docs{k} + {c}{'0' if k == 1 else '_1'} * {min_docs}) div (docs{k} + {min_docs})").alias(f"{c}_{k}") for c in names))
+    return joined.select("lang", "source", *(F.col(f"{c}_2").alias(c) for c in names))
 
 
 def judged(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``measured`` plus ``base_failed`` and ``kept``; joined with the limits of its group, null keys included."""
-    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(f"max_{m}" for m in MARGINS))
+    names = [f"{side}_{m}" for m in MEASURES for side in ("max", "min")]
+    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(F.col(c).alias(f"__{c}") for c in names))
     df = measured.join(small(limits), F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     beyond = F.lit(False)
-    for m in MARGINS:
-        beyond = beyond | (F.col(m) > F.col(f"max_{m}"))
+    for m in MEASURES:
+        beyond = beyond | (F.col(m) > F.col(f"__max_{m}")) | (F.col(m) < F.col(f"__min_{m}"))
     # one expression that a filter on it cannot take apart: part of it below the join would repeat the measuring
     kept = F.when(failed, False).when(beyond, False).otherwise(True)
-    return df.withColumn("base_failed", failed).withColumn("kept", kept).drop("__lang", "__source", *(f"max_{m}" for m in MARGINS))
+    return df.withColumn("base_failed", failed).withColumn("kept", kept).drop("__lang", "__source", *(f"__{c}" for c in names))
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, keep_text: bool = True) -> DataFrame:
-    """``docs`` with its measures (``BASE`` and ``MARGINS`` columns), ``base_failed`` and ``kept``.
+    """``docs`` with its measures (``BASE``, ``n_lines`` and ``MEASURES`` columns), ``base_failed`` and ``kept``.
 
-    ``keep_text=False`` leaves the text out and measures it once, through a table of measures;
-    otherwise the texts are measured twice and never shuffled or written.  A null text has no
-    words and fails the base rules.  Null languages and sources are groups of their own.  Every
-    row, repeated ones too, gets its own result; input columns named like results are replaced.
-    An empty table gives an empty result.
+    Every text is measured once, whole, through a table of measures (``keep_text=False`` leaves the
+    text out of it and of the result).  A null or empty text has no words and fails the base rules.
+    Null languages and sources are groups of their own.  Values on a fence are kept; every row,
+    repeated ones too, gets its own result, and equal rows the same one.  Input columns named like
+    results are replaced, others stay; an empty table gives an empty result.
     """
     docs = docs.select(*without(docs, ["base_failed", "kept"]))
-    if keep_text:
-        measured = with_measures(docs, text)
-        narrow = with_measures(docs.select(text, *dict.fromkeys([lang, source])), text)
-        limits = materialise(fences(sketches(narrow, lang, source), min_docs), "quality-fences")
-        return judged(measured, limits, lang, source)
-    measured = materialise(with_measures(docs, text).drop(text), "quality-measures")
+    measured = with_measures(docs, text)
+    measured = materialise(measured if keep_text else measured.drop(text), "quality-measures")
     limits = materialise(fences(sketches(measured, lang, source), min_docs), "quality-fences")
     return judged(measured, limits, lang, source)

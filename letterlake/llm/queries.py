@@ -71,16 +71,24 @@ def _sql_quality(source: str = "documents") -> str:
     """Measures, sketches and verdict of op8 over a relation, all columns of it kept."""
     words = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
     rates = {"symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
-    low = lambda q: f"(CASE WHEN {q} < 16 THEN {q} ELSE CAST((16 + {q} % 16) * pow(2, {q} // 16 - 1) AS BIGINT) END)"
+    measured = [*rates, *quality.SIZES]
+    low = lambda q: f"(CASE WHEN {q} < 16 THEN {q} ELSE CAST((16 + ({q}) % 16) * pow(2, ({q}) // 16 - 1) AS BIGINT) END)"
     parts = []
     for k, keys in ((2, "lang, source,"), (1, "lang,"), (0, "")):
         group = keys.rstrip(",")
+        quartiles = ", ".join([f"max({low('q1')}) FILTER (measure = '{c}') AS low_{c}" for c in measured] + [f"max({low('q3 + 1')} - 1) FILTER (measure = '{c}') AS high_{c}" for c in rates])
+        bounds = []
+        for c, (size, event) in quality.MEASURES.items():
+            scale = f"greatest(high_{c} - low_{c}, {f'{event} // greatest(low_{size}, 1)' if size else 0})"
+            bounds += [f"high_{c} + {quality.SPREAD} * {scale} AS max_{c}", f"greatest(low_{c} - {quality.SPREAD} * {scale}, 0) AS min_{c}"]
         parts.append(f"""
 q{k} AS (SELECT {keys} measure, max(al) AS docs, min(bucket) FILTER (upto * 4 >= al) AS q1, min(bucket) FILTER (upto * 4 >= al * 3) AS q3
   FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} measure) AS al
         FROM (SELECT {keys} measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {keys} measure),
-f{k} AS (SELECT {keys} max(docs) AS docs, """ + ", ".join(f"max({low('q3')} + {quality.SPREAD} * ({low('q3')} - {low('q1')}) + {m}) FILTER (measure = '{c}') AS {c}_hi" for c, m in quality.MARGINS.items()) + f" FROM q{k}" + (f" GROUP BY {group})" if group else ")"))
-    beyond = " OR ".join(f"{c} > CASE WHEN f2.docs >= {quality.MIN_DOCS} THEN f2.{c}_hi WHEN f1.docs >= {quality.MIN_DOCS} THEN f1.{c}_hi ELSE f0.{c}_hi END" for c in rates)
+w{k} AS (SELECT {keys} max(docs) AS docs, {quartiles} FROM q{k}{f" GROUP BY {group}" if group else ""}),
+f{k} AS (SELECT {keys} docs, {", ".join(bounds)} FROM w{k})""")
+    drawn = lambda c: f"((f2.{c} * f2.docs + ((f1.{c} * f1.docs + f0.{c} * {quality.MIN_DOCS}) // (f1.docs + {quality.MIN_DOCS})) * {quality.MIN_DOCS}) // (f2.docs + {quality.MIN_DOCS}))"
+    beyond = " OR ".join(f"{c} > {drawn(f'max_{c}')} OR {c} < {drawn(f'min_{c}')}" for c in rates)
     return f"""
 WITH doc AS (SELECT row_number() OVER () AS r, * FROM {source}),
 w AS (SELECT r, {words} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(text, '') AS t FROM doc),
@@ -91,7 +99,7 @@ base AS (SELECT r, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_strin
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
 m AS (SELECT doc.* EXCLUDE (r), base.*, {", ".join(f"{e} AS {c}" for c, e in rates.items())} FROM doc JOIN base USING (r)),
 sketch AS (SELECT lang, source, measure, CASE WHEN v < 16 THEN v ELSE (length(bin(v)) - 5) * 16 + (v // CAST(pow(2, length(bin(v)) - 5) AS BIGINT)) END AS bucket, count(*) AS n
-  FROM (SELECT lang, source, unnest([{", ".join(f"'{c}'" for c in rates)}]) AS measure, unnest([{", ".join(rates)}]) AS v FROM m) GROUP BY ALL),
+  FROM (SELECT lang, source, unnest([{", ".join(f"'{c}'" for c in measured)}]) AS measure, unnest([{", ".join(measured)}]) AS v FROM m) GROUP BY ALL),
 {",".join(parts)}
 SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR {beyond}) AS kept
