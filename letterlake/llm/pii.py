@@ -1,16 +1,21 @@
 """Information-theoretic removal of personal data.  DataFrame functions only.
 
 Known forms (e-mail, IP address, card and phone numbers) are found by pattern and are the
-protected entities.  Around each one the words within ``REACH`` characters are its context.  Over
-the corpus, the pointwise mutual information of a word and an entity says how strongly the word
-gives the entity away; it discloses the entity if that reaches ``DISCLOSED`` of the entity's own
-information, which is the case when the share of the word's documents that hold the entity is at
-least (share of all documents that hold it) ** (1 - DISCLOSED).  Such words are removed from the
-documents that hold the entity: there they would bring back what the removal of the entity hides.
-
-A pair needs ``SUPPORT`` different contexts, so copies of one document prove nothing.  Contexts
-are bounded per entity, pairs and words are counted with map-side aggregation, and only documents
-with disclosing words are matched against them.
+protected entities.  Over the corpus, the pointwise mutual information of a word and an entity,
+counted by whole documents, says how strongly the word gives the entity away; it discloses the
+entity if that reaches ``DISCLOSED`` of the entity's own information, which is the case when
+
+    n_word <= n_both * (n / n_entity) ** (1 - DISCLOSED)
+
+for ``n`` documents, of which ``n_entity`` hold the entity, ``n_word`` the word and ``n_both``
+both.  In the documents that hold the entity such words would bring back what its removal hides.
+Words that stand with it in different texts are removed (``term``).  Where one text alone, however
+often copied, says so, the word is rare rather than known to belong, and is generalised (``rare``).
+
+Rows of words and entities exist for documents with entities only.  A word that is too frequent for
+the bound above among those alone cannot disclose anything and is dropped before words meet
+entities; pairs are formed for entities and words of at least two documents each, while the words
+of one text need no pairs, as the least known entity of their document decides.
 """
 
 from __future__ import annotations
@@ -18,17 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterlake.llm.common import materialise, small, without
+from letterlake.llm.common import is_small, materialise, small, spread_join, without
 from letterlake.llm.spans import Kind, counted, listed, no_spans, overlaps, placed, replaced, with_spans
 
-#: Characters on each side of an entity that are its context.
-REACH = 120
 #: Share of an entity's information that a word may not reach.
 DISCLOSED = 0.8
-#: Different contexts in which a word and an entity must stand together.
-SUPPORT = 5
-#: Letters of a word that can disclose.
-LETTERS = 4
+#: A word is a run of at least two letters (with their marks): one letter names nobody.
+WORD = r"[\p{L}\p{M}]{2,}+"
 
 
 def _luhn(digits: Column) -> Column:
@@ -69,9 +70,10 @@ def entity(span: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Distinct lower-cased words of letters, without those of addresses."""
-    bare = F.regexp_replace(text, r"[^\s@]*@\S*", " ")
-    return F.array_distinct(F.filter(F.split(F.lower(bare), r"[^\p{L}]+", -1), lambda w: F.length(w) >= LETTERS))
+    """Distinct lower-cased words, without those of addresses."""
+    # only whole addresses, from the blank before them on: no start within a run of other characters
+    bare = F.regexp_replace(text, r"(?<!\S)[^\s@]*+@\S*+", " ")
+    return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(WORD), F.lit(0)))
 
 
 def _key(docs: DataFrame, doc_id: str, text: str) -> Column:
@@ -79,75 +81,97 @@ def _key(docs: DataFrame, doc_id: str, text: str) -> Column:
 
 
 def contexts(found: DataFrame, text: str, spans: str = "base_spans", key: str = "__key") -> DataFrame:
-    """key, entity, context (digest) and word: the words around each entity of each document."""
-    each = found.where(F.size(spans) > 0).select(F.col(key).alias("key"), F.col(text).alias("body"), F.explode(spans).alias("s"))
-    left = F.substring("body", F.greatest(F.col("s.start") - REACH + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(REACH)))
-    right = F.substring("body", F.col("s.end") + 1, F.lit(REACH))
-    # words cut at the far ends are left out
-    left = F.when(F.col("s.start") > REACH, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.when(F.col("s.end") + REACH < F.length("body"), F.regexp_replace(right, r"\S+\z", "")).otherwise(right)
-    around = each.select("key", entity(F.col("s")).alias("entity"), F.concat_ws(" ", left, right).alias("near"))
-    return around.select("key", "entity", F.xxhash64("near").alias("context"), F.explode(words_of(F.col("near"))).alias("word"))
-
-
-def disclosing(docs: DataFrame, near: DataFrame, text: str = "text", disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """The pairs of ``entity`` and ``word`` in which the word gives the entity away."""
-    by_context = near.groupBy("entity", "word", "context").agg(F.max("key").alias("key"))
-    pairs = materialise(by_context.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support), "pii-pairs")
-    n = pairs.count()
-    if not n:
-        return pairs.select("entity", "word")
+    """key, digest (of the text), entities and words, both distinct, of each document with entities."""
+    entities = F.array_distinct(F.transform(spans, entity))
+    return found.where(F.size(spans) > 0).select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), entities.alias("entities"), words_of(F.col(text)).alias("words"))
+
+
+def disclosing(docs: DataFrame, near: DataFrame, text: str = "text", disclosed: float = DISCLOSED) -> DataFrame:
+    """key, word and kind (``term`` or ``rare``) of the words that give an entity of their document away.
+
+    ``near`` has the contexts of the documents with entities.
+    """
+    entities = near.select("key", "digest", F.explode("entities").alias("entity"))
+    by_entity = materialise(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count(F.lit(1)).alias("weight")), "pii-entities")
+    top, held = by_entity.agg(F.max("n_entity"), F.sum("weight")).first()
+    if not top:
+        return near.select("key", F.lit("").alias("word"), F.lit("").alias("kind")).limit(0)
     total = float(docs.count())
-    once = lambda *keys: near.groupBy(*keys, "key").agg(F.lit(1).alias("one")).groupBy(*keys)
-    both = near.join(small(pairs, n), ["entity", "word"], "left_semi").groupBy("entity", "word", "key").agg(F.lit(1).alias("one")).groupBy("entity", "word").agg(F.count("one").alias("n_both"))
-    both = both.join(once("entity").agg(F.count("one").alias("n_entity")), "entity")
-
-    def gives_away(n_word: str) -> Column:
-        """Mutual information >= disclosed * information of the entity, for a word in that many documents."""
-        own = F.log(total / F.col("n_entity"))
-        return (own > 0) & (F.log(F.col("n_both") * total / (F.col("n_entity").cast("double") * F.col(n_word))) >= own * disclosed)
-
-    # a word stands in no fewer documents than it has among all contexts: what fails already there need not be counted
-    both = both.join(once("word").agg(F.count("one").alias("n_near")), "word").where(gives_away("n_near"))
-    both = materialise(both, "pii-candidates")
-    if not both.count():
-        return both.select("entity", "word")
+
+    def most(n_both: Column, n_entity: Column) -> Column:
+        """The documents in which a word may stand that discloses an entity; none where all documents hold the entity."""
+        return F.when(n_entity < total, n_both * F.pow(F.lit(total) / n_entity, F.lit(1 - disclosed))).otherwise(0.0)
+
+    # of each document the documents of its least known entity, and the entities that others hold too
+    marks = spread_join(entities, by_entity, ["entity"], "weight", held).groupBy("key").agg(F.min("n_entity").alias("least"), F.collect_set(F.when(F.col("n_entity") > 1, F.struct("entity", "n_entity"))).alias("shared"))
+    # among documents with entities a word stands in no more documents than in all: too frequent ones go at once
+    by_word = materialise(near.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_near")), "pii-words")
+    bound = float(top) ** disclosed * total ** (1 - disclosed)
+    common = by_word.where(F.col("n_near") > bound).select("word")
+    rest = by_word.where(F.col("n_near") <= bound)
+    words = near.join(marks, "key").select("key", "digest", "least", "shared", F.explode("words").alias("word"))
+    if is_small(common):
+        words = words.join(F.broadcast(common), "word", "left_anti").join(rest, "word")
+    else:
+        words = spread_join(words, rest.withColumn("weight", F.col("n_near")), ["word"], "weight", rest.agg(F.sum("n_near")).first()[0])
+    words = materialise(words, "pii-candidates")
+    pairs = words.where("n_near > 1").select("key", "digest", "word", "n_near", F.explode("shared").alias("e"))
+    pairs = pairs.groupBy("e.entity", "word").agg(F.first("e.n_entity").alias("n_entity"), F.first("n_near").alias("n_near"), F.count(F.lit(1)).alias("n_both"), F.min("digest").alias("one"), F.max("digest").alias("other"))
+    pairs = pairs.where((F.col("one") != F.col("other")) & (F.col("n_near") <= most(F.col("n_both"), F.col("n_entity"))))
+    pairs = materialise(pairs.drop("one", "other"), "pii-pairs")
+    alone = words.where(F.col("n_near") <= most(F.lit(1), F.col("least")))
+
+    # documents that hold each word that is still in question, over the whole corpus
+    asked = materialise(alone.select("word").union(pairs.select("word")).distinct(), "pii-asked")
     every = docs.select(F.explode(words_of(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    words = every.join(small(both.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
-    return both.join(words, "word").where(gives_away("n_word")).select("entity", "word")
+    if is_small(asked):
+        every = every.join(F.broadcast(asked), "word", "left_semi")
+    n_word = materialise(every.groupBy("word").agg(F.count(F.lit(1)).alias("n_word")).join(asked, "word", "left_semi"), "pii-counts")
 
+    strong = pairs.join(n_word, "word").where(F.col("n_word") <= most(F.col("n_both"), F.col("n_entity"))).select("entity", "word")
+    terms = words.where("n_near > 1").select("key", "word", F.explode("shared").alias("e")).select("key", "word", "e.entity").join(small(materialise(strong, "pii-strong")), ["entity", "word"], "left_semi")
+    rare = alone.join(n_word, "word").where(F.col("n_word") <= most(F.lit(1), F.col("least")))
+    both = terms.select("key", "word", F.lit("term").alias("kind")).union(rare.select("key", "word", F.lit("rare").alias("kind")))
+    return both.groupBy("key", "word").agg(F.max("kind").alias("kind"))
 
-def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", disclosed: float = DISCLOSED, support: int = SUPPORT, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``base_spans`` of the known forms, ``spans`` (those and disclosing ``term`` ones) and ``redacted``.
+
+def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", disclosed: float = DISCLOSED, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``base_spans`` of the known forms, ``spans`` (those and disclosing ``term`` and ``rare`` ones) and ``redacted``.
 
     Spans have start, rank, end (code points, end exclusive), kind and match, sorted by start and
-    kind; a term never overlaps a known form.  ``redacted`` is the text with known forms
-    generalised to their kind in brackets and terms removed; ``keep_text=False`` leaves both texts
-    out.  Null and empty texts have no spans (``redacted`` of null is null).  Rows with the same
-    id and text get the same result each; input columns named like results are replaced.  An
-    entity in every document carries no information, so nothing discloses it.
+    kind; a word never overlaps a known form.  ``redacted`` is the text with known forms
+    generalised to their kind in brackets, rare words to ``[WORD]``, and terms removed;
+    ``keep_text=False`` leaves both texts out.  Words are looked for in the documents that hold the
+    entity: one that names the person without the entity stays as it is.
+
+    Null and empty texts have no spans (``redacted`` of null is null), and an empty table gives an
+    empty result.  Rows with the same id and text get the same result each, and equally frequent
+    words are treated alike; input columns named like results are replaced, others stay.  Whole
+    texts of any length are read, in time linear in the text but for the lists of very many words.
+    An entity in every document carries no information, so nothing discloses it.
     """
     names = ["base_spans", "spans", "redacted"]
     kept = [c for c in without(docs, names) if keep_text or c != text]
     found = with_spans(docs.select(*dict.fromkeys([*kept, text, doc_id])), text, KINDS, "base_spans")
     keyed = found.withColumn("__key", F.when(F.size("base_spans") > 0, _key(docs, doc_id, text)))
     near = materialise(contexts(keyed, text), "pii-contexts")
-    pairs = materialise(disclosing(docs, near, text, disclosed, support), "pii-disclosing")
-    n = pairs.count()
-    if n:
-        quoted = F.transform(F.array_sort(F.collect_set("word")), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
-        terms = near.join(small(pairs, n), ["entity", "word"], "left_semi").groupBy("key").agg(F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("__terms"))
-        df = keyed.join(small(materialise(terms.withColumnRenamed("key", "__k"), "pii-terms")), F.col("__key") == F.col("__k"), "left").drop("__k")
-        hits = F.when(F.col("__terms").isNotNull(), F.regexp_extract_all(F.col(text), F.col("__terms"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        df = df.withColumn("__hits", hits)
-        df = df.withColumn("__found", F.when(F.size("__hits") > 0, placed(F.col(text), F.col("__terms"), F.col("__hits"), "term", len(KINDS))).otherwise(no_spans()))
+    told = materialise(disclosing(docs, near, text, disclosed), "pii-disclosing")
+    if told.isEmpty():
+        df = keyed.withColumn("spans", F.col("base_spans"))
+    else:
+        of_kind = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("word")))
+        lists = told.groupBy(F.col("key").alias("__k")).agg(of_kind("term").alias("__term"), of_kind("rare").alias("__rare"))
+        df = keyed.join(small(materialise(lists, "pii-lists")), F.col("__key") == F.col("__k"), "left").drop("__k")
+        df = df.withColumn("__hits", F.when(F.col("__rare").isNotNull(), F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
+        df = df.withColumn("__found", F.when(F.size("__hits") > 0, placed(F.col(text), WORD, F.col("__hits"), "term", len(KINDS))).otherwise(no_spans()))
+        known = lambda s: F.when(F.array_contains("__term", F.lower(s["match"])), "term").when(F.array_contains("__rare", F.lower(s["match"])), "rare")
+        named = lambda s: F.struct(s["start"].alias("start"), F.when(known(s) == "rare", len(KINDS) + 1).otherwise(s["rank"]).alias("rank"), s["end"].alias("end"), known(s).alias("kind"), s["match"].alias("match"))
+        df = df.withColumn("__found", F.filter(F.transform("__found", named), lambda s: s["kind"].isNotNull()))
         free = F.filter("__found", lambda s: ~F.exists("base_spans", lambda b: overlaps(s, b)))
         df = df.withColumn("spans", F.array_sort(F.concat("base_spans", F.when(F.size("__found") > 0, free).otherwise(no_spans()))))
-    else:
-        df = keyed.withColumn("spans", F.col("base_spans"))
     if not keep_text:
         return df.select(*kept, "base_spans", "spans")
-    mark = lambda kind: F.when(kind == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+    mark = lambda kind: F.when(kind == "term", F.lit("")).when(kind == "rare", F.lit("[WORD]")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
     return df.select(*kept, "base_spans", "spans", F.when(F.size("spans") > 0, replaced(F.col(text), F.col("spans"), mark)).otherwise(F.col(text)).alias("redacted"))
 
 
