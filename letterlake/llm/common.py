@@ -10,33 +10,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup side may be broadcast (some ten MB of short rows); beyond it the join shuffles.
+#: Rows and bytes (as JSON text) up to which a lookup side may be broadcast; beyond them the join shuffles.
 BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 32_000_000
+#: Rows of one key that may meet in a shuffled join, and the most keys that can be heavier where there are many rows.
+HEAVY_ROWS = 128
+HEAVY_KEYS = 100_000
 #: Bytes of text that a task turns into arrays at once.
 CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one below the
-    warehouse where that setting is absent (as in local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where that setting is
+    absent a local session uses a folder below the warehouse, and a cluster is refused."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_letterlake_shared"
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/letterlake-{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._letterlake_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    path = getattr(df, "_letterlake_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has materialised; results that still read them break."""
+    _delete(spark, _tables_dir(spark))
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows, else as it is (shuffled join)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+def is_small(df: DataFrame) -> bool:
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it is within ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``, else as it is (shuffled join)."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key and in ``weight`` how many rows have it.
+
+    A key of more rows than ``HEAVY_ROWS`` (or, with many rows, than their 100,000th part) is dealt
+    out over as many partitions as it needs; its table row goes to each of them.  The heavy keys are
+    broadcast: their weights add up to at most ``total``, so there are at most ``HEAVY_KEYS``.
+    """
+    most = max(HEAVY_ROWS, -(-total // HEAVY_KEYS))
+    parts = F.ceil(F.col(weight) / most).cast("int")
+    heavy = table.where(F.col(weight) > most).select(*keys, parts.alias("__parts"))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("__parts", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("__salt", salt).drop("__parts")
+    copies = F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
+    return dealt.join(table.withColumn("__salt", copies).drop(weight), [*keys, "__salt"], how).drop("__salt")
 
 
 def without(df: DataFrame, names: list[str]) -> list[str]:

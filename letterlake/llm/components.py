@@ -3,8 +3,8 @@
 Alternates the two star operations known from large-scale component search: every node is linked to
 the smallest node among itself and its neighbours, first for the larger and then for the smaller
 neighbours, until nothing changes.  Smallest neighbours are found by a partially aggregated
-minimum, so a hub's neighbours are never gathered; joins are plain equi-joins, which adaptive
-execution splits where a hub is hot.
+minimum, so a hub's neighbours are never gathered, and the joins deal a hub's edges out over
+partitions.  The tables of earlier rounds are deleted.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterlake.llm.common import materialise, small
+from letterlake.llm.common import discard, is_small, materialise, spread_join
 
 #: Rounds after which something must be wrong: each shortens paths by a constant factor.
 MOST_ROUNDS = 60
+#: Blocks into which a group is cut at least, so that its comparisons spread over tasks.
+LEAST_BLOCKS = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,20 +25,23 @@ def components(edges: DataFrame) -> DataFrame:
     (``u``, ``v``, any one orderable type; loops and repeated edges are fine)."""
     df = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     df, before = materialise(df, "components"), None
+    rows = df.count()
     for _ in range(MOST_ROUNDS):
+        last = df
         both = df.union(df.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # larger neighbours move to the smallest node around
-        df = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = df.groupBy("u").agg(F.min("v").alias("m"))
+        df = spread_join(both.where("v > u"), low, ["u"], "n", 2 * rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         # smaller neighbours and the node itself move to the smallest one
-        down = df.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        df = materialise(down.union(low).distinct(), "components")
+        down = spread_join(df, low, ["u"], "n", 2 * rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        df = materialise(down.union(low.select("u", F.col("m").alias("v"))).distinct(), "components")
         state = tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        discard(last)
         if state == before:
             roots = df.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.union(df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        before, rows = state, state[0]
     raise RuntimeError("components did not settle")
 
 
@@ -44,23 +49,41 @@ def stars(members: DataFrame) -> DataFrame:
     """Edges ``u``, ``v`` from each ``item`` to the smallest item of each ``bucket`` it is in; buckets of one item give none.
 
     Only smallest and largest items of the buckets are shuffled; few buckets have two items, so
-    the members mostly meet them in a broadcast (beyond its bound in a shuffled join).
+    the members mostly meet them in a broadcast.  Beyond its bound the join shuffles, and heavy
+    buckets are dealt out.
     """
-    hubs = members.groupBy("bucket").agg(F.min("item").alias("v"), F.max("item").alias("far")).where("v <> far").drop("far")
-    hubs = small(materialise(hubs, "components-hubs"))
-    return members.join(hubs, "bucket").where("item <> v").select(F.col("item").alias("u"), "v").distinct()
+    hubs = members.groupBy("bucket").agg(F.min("item").alias("v"), F.max("item").alias("far"), F.count(F.lit(1)).alias("n")).where("v <> far").drop("far")
+    return starred(members, materialise(hubs, "components-hubs"))
+
+
+def starred(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Edges from each ``item`` to the item ``v`` that ``hubs`` (``bucket``, ``v``, ``n`` members) has for its bucket."""
+    if is_small(hubs):
+        met = members.join(F.broadcast(hubs), "bucket")
+    else:
+        met = spread_join(members, hubs, ["bucket"], "n", hubs.agg(F.sum("n")).first()[0])
+    return met.where("item <> v").select(F.col("item").alias("u"), "v").distinct()
+
+
+def with_group(members: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``members`` inner-joined with ``table`` on ``key``, groups of any size."""
+    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    return spread_join(members, table.join(sizes, key), [key], "__n", members.count())
 
 
 def in_blocks(members: DataFrame, rows: int, size: int) -> DataFrame:
     """``members`` (``root``, ``item``, ``bytes``, ...) dealt out for comparing all pairs of each component.
 
-    A component of more than ``rows`` members or ``size`` bytes is cut into blocks by a hash of the
-    item, and every pair of blocks is a group ``root``, ``i``, ``j`` of its own (``block`` tells
-    them apart); so no group exceeds a few times these bounds, whatever the component's size.
+    A component of more than half of ``rows`` members or of ``size`` bytes is cut into blocks by a
+    hash of the item, and every pair of blocks is a group ``root``, ``i``, ``j`` of its own
+    (``block`` tells them apart); so no group exceeds a few times these bounds, whatever the
+    component's size, and a large component is at least ``LEAST_BLOCKS`` wide.
     """
+    n = F.col("__n")
+    per = F.least(F.lit(rows), F.greatest(F.lit(max(rows // 8, 1)), F.ceil(n / LEAST_BLOCKS)))
     total = members.groupBy("root").agg(F.count(F.lit(1)).alias("__n"), F.sum("bytes").alias("__bytes"))
-    blocks = F.greatest(F.ceil(F.col("__n") / rows), F.ceil(F.col("__bytes") / size), F.lit(1)).cast("int")
-    df = members.join(total.select("root", blocks.alias("__blocks")), "root")
+    blocks = F.greatest(F.when(n * 2 <= rows, F.lit(1)).otherwise(F.ceil(n / per)), F.ceil(F.col("__bytes") / size), F.lit(1)).cast("int")
+    df = spread_join(members, total.select("root", blocks.alias("__blocks"), "__n"), ["root"], "__n", members.count())
     df = df.withColumn("block", F.pmod(F.xxhash64("item"), F.col("__blocks")).cast("int"))
     df = df.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     df = df.withColumn("i", F.least("block", "__other")).withColumn("j", F.greatest("block", "__other"))

@@ -4,7 +4,9 @@ Documents with the same set of n-grams are one class from the start.  Each class
 signature; bands of rows are chosen so that a pair at the threshold shares a band with the target
 recall.  Classes that share a band are candidates; candidates are gathered by connected components
 of the bands, cut into blocks, and all pairs of a block pair are compared on their full n-gram
-sets.  Only counts and a spanning set of links leave a task, never all pairs of a group.
+sets.  A set travels to its blocks as its difference from the set of the component's smallest
+member, which for near copies is a few n-grams.  Only counts and a spanning set of links leave a
+task, never all pairs of a group.
 
 Copies are counted, not expanded: a document's links are its copies and the members of all linked
 classes.
@@ -21,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterlake.llm.common import Words, chunks, materialise, small, without
-from letterlake.llm.components import components, in_blocks, stars
+from letterlake.llm.common import Words, chunks, materialise, small, spread_join, without
+from letterlake.llm.components import components, in_blocks, stars, with_group
 
 #: Words of an n-gram; a shorter text with words is one n-gram.
 NGRAM = 5
@@ -102,12 +104,29 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int, number: int, rows: int) -
             yield pa.RecordBatch.from_arrays([*piece.columns[1:], pa.array(keys, pa.string()), lists], names=[*piece.schema.names[1:], "key", "buckets"])
 
 
-def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    out = []
-    for lo, hi in chunks(texts):
-        h, bounds = ngrams(Words(texts.slice(lo, hi - lo)), n)
-        out += [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-    return out
+def _grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """digest and text to digest and the sorted n-gram set, as bytes."""
+    for batch in batches:
+        for lo, hi in chunks(batch.column(1)):
+            h, bounds = ngrams(Words(batch.column(1).slice(lo, hi - lo)), n)
+            sets = [np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["digest", "grams"])
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """root, item, copies, grams, base (the root's grams) to root, item, copies, the sizes of the item's set, of what
+    it shares with the base and of the base, and the n-grams that only one of the two has."""
+    names = ["root", "item", "copies", "size", "common", "whole", "rest", "bytes"]
+    for batch in batches:
+        out: list[list] = [[] for _ in range(4)]
+        for own, base in zip(batch.column(3), batch.column(4)):
+            own, base = (np.frombuffer(x.as_buffer(), np.uint64) for x in (own, base))
+            rest = np.setxor1d(own, base, assume_unique=True)
+            out[0].append(len(own))
+            out[1].append((len(own) + len(base) - len(rest)) // 2)
+            out[2].append(len(base))
+            out[3].append(rest.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()), pa.array([len(x) for x in out[3]], pa.int64())], names=names)
 
 
 def shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -166,15 +185,16 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _linked(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per group: each item's links (with copies) and the smallest item that links join it with."""
     for group in grouped(batches, ["root", "i", "j"]):
         if len(group) < 2:
             continue
-        sets = _sets(group.column("text").combine_chunks(), n)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("rest")]
         copies, block = group.column("copies").to_numpy(), group.column("block").to_numpy()
-        both = shared(sets)
-        sizes = np.array([len(s) for s in sets])
+        sizes, common, whole = (group.column(c).to_numpy() for c in ("size", "common", "whole"))
+        # what both lack of the base, and what both have beyond it, are the common parts of their differences
+        both = shared(sets) + common[:, None] + common[None, :] - whole[:, None]
         near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
         near &= (block[:, None] != block[None, :]) if group.column("i")[0] != group.column("j")[0] else ~np.eye(len(sets), dtype=bool)
         some = np.flatnonzero(near.any(axis=1))
@@ -201,21 +221,28 @@ def _classes(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float,
     sets = materialise(sets, "jaccard-sets")
     # candidates by a short hash of the key: two keys that share one are candidates too, and are compared
     members = with_key.select(F.xxhash64("key").alias("item"), F.explode("buckets").alias("bucket"))
-    near = small(components(stars(members)))
-    near = sets.join(near, F.xxhash64("key") == F.col("node")).withColumnRenamed("key", "item").drop("node")
+    near = small(materialise(components(stars(members)), "jaccard-near"))
+    near = sets.join(near, F.xxhash64("key") == F.col("node")).withColumnRenamed("key", "item")
     near = materialise(near, "jaccard-candidates")
     texts = docs.select(digest.alias("digest"), F.col(text).alias("text")).join(small(near.select("digest")), "digest", "left_semi")
-    texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
-    groups = in_blocks(near.select("root", "item", "bytes", "copies", "digest"), BLOCK_ROWS, BLOCK_BYTES).join(texts, "digest")
-    groups = groups.select("root", "i", "j", "item", "block", "copies", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    linked = materialise(groups.mapInArrow(lambda batches: _linked(batches, n, threshold), "item string, links long, to string"), "jaccard-links")
-    found = components(linked.select(F.col("item").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "key")
+    grams = texts.mapInArrow(lambda batches: _grams(batches, n), "digest long, grams binary")
+    grams = materialise(grams.groupBy("digest").agg(F.first("grams").alias("grams")), "jaccard-grams")
+    # each set goes to its blocks as its difference from the set of the component's smallest member
+    base = near.where("node = root").groupBy("root").agg(F.min("digest").alias("digest")).join(grams, "digest").select("root", F.col("grams").alias("base"))
+    coded = with_group(near.select("root", "item", "copies", "digest").join(grams, "digest"), "root", base).select("root", "item", "copies", "grams", "base")
+    coded = materialise(coded.mapInArrow(_differences, "root long, item string, copies long, size long, common long, whole long, rest binary, bytes long"), "jaccard-coded")
+    groups = in_blocks(coded, BLOCK_ROWS, BLOCK_BYTES)
+    groups = groups.select("root", "i", "j", "item", "block", "copies", "size", "common", "whole", "rest").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    linked = materialise(groups.mapInArrow(lambda batches: _linked(batches, threshold), "item string, links long, to string"), "jaccard-links")
+    found = materialise(components(linked.select(F.col("item").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "key"), "jaccard-found")
     reps = found.join(sets.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("class"))
     links = linked.groupBy(F.col("item").alias("key")).agg(F.sum("links").alias("links"))
-    classes = sets.join(found.join(reps, "root"), "key", "left").join(links, "key", "left")
-    classes = classes.select("key", F.coalesce("root", "key").alias("class_key"), F.coalesce("class", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies"))
-    by_row = signed.select("id", "digest", "key").join(classes, "key", "left")
-    return by_row.select("id", "digest", F.coalesce("class_id", "id").alias("class_id"), "class_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    classes = sets.join(with_group(found, "root", reps), "key", "left").join(links, "key", "left")
+    classes = classes.select("key", F.coalesce("root", "key").alias("class_key"), F.coalesce("class", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies"), "copies")
+    by_row = spread_join(with_key.select("id", "digest", "key"), classes, ["key"], "copies", signed.count())
+    found = by_row.select("id", "digest", "class_id", "class_key", F.col("n_links").cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
+    bare = signed.where("key IS NULL").select("id", "digest", F.col("id").alias("class_id"), F.lit(None).cast("string").alias("class_key"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return found.unionByName(bare)
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, keep_text: bool = True) -> DataFrame:
@@ -251,7 +278,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
     found = materialise(_classes(docs, text, doc_id, n, threshold, recall).where("class_key IS NOT NULL AND n_links > 0"), "jaccard-linked")
     place = F.struct(F.col("id").isNull(), "id", "digest")
     first = found.groupBy("class_key").agg(F.min(place).alias("first"))
-    rows = found.groupBy("class_key", "id", "digest").agg(F.count(F.lit(1)).alias("n")).join(first, "class_key")
+    rows = with_group(found.groupBy("class_key", "id", "digest").agg(F.count(F.lit(1)).alias("n")), "class_key", first)
     rows = rows.select("id", "digest", (place == F.col("first")).alias("stays"), "n")
     marked = materialise(rows.where("NOT stays OR n > 1").groupBy("id", "digest").agg(F.max("stays").alias("__stays")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__stays"), "jaccard-marked")
     own = docs.withColumn("__own", F.xxhash64(F.col(text)))
