@@ -8,7 +8,8 @@ one by one.  Words are numbers of the patterns' vocabulary, found by exact compa
 is never a hash collision.
 
 Spark deals out the documents; no shuffle takes place.  The benchmark is broadcast in blocks of
-at most ``block_bytes`` text bytes; each block is one more pass over the same partitions.
+about ``block_bytes`` text bytes, each as its coded words and the places of its windows, built in
+time linear in the block but for sorting; each block is one more pass over the same partitions.
 """
 
 from __future__ import annotations
@@ -25,26 +26,30 @@ from pyspark.sql import types as T
 from letterlake.llm.common import Words, chunks, lists, string_words, without
 
 #: Text bytes of the benchmark that are broadcast at once.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 #: Window starts that one lane of the search covers.
 LANE = 256
 
 
 class Patterns:
-    """Shift table and buckets for patterns of one length: rows of ``windows`` (word numbers)."""
+    """Shift table and buckets for patterns of one length (word numbers)."""
 
-    def __init__(self, windows: np.ndarray, block: int = 3, bits: int = 20):
-        self.windows, self.length = windows, windows.shape[1]
+    def __init__(self, windows: np.ndarray, block: int = 3, bits: int = 0, codes: np.ndarray | None = None, at: np.ndarray | None = None):
+        """``windows`` are kept as places ``at`` in ``codes`` where those are given."""
+        count, self.length = windows.shape
+        self.codes = windows.ravel() if codes is None else codes
+        self.at = np.arange(count) * self.length if at is None else at
         self.block = min(block, self.length)
-        self.bits = bits
+        # some slots per window, so that small tables stay small and large ones selective
+        self.bits = bits or min(24, max(10, (4 * count).bit_length()))
         self.beyond = self.length - self.block + 1
-        self.shift = np.full(1 << bits, self.beyond, np.int32)
-        for at in range(self.beyond):
-            slots = self.slots(windows[:, at : at + self.block])
-            np.minimum.at(self.shift, slots, self.length - self.block - at)
+        self.shift = np.full(1 << self.bits, self.beyond, np.int32)
+        for at_ in range(self.beyond):
+            slots = self.slots(windows[:, at_ : at_ + self.block])
+            np.minimum.at(self.shift, slots, self.length - self.block - at_)
         suffix = self.slots(windows[:, -self.block :])
         self.order = np.argsort(suffix, kind="stable")
-        self.bucket = np.searchsorted(suffix[self.order], np.arange((1 << bits) + 1))
+        self.bucket = np.searchsorted(suffix[self.order], np.arange((1 << self.bits) + 1))
 
     def slots(self, blocks: np.ndarray) -> np.ndarray:
         mixed = np.zeros(len(blocks), np.uint64)
@@ -85,12 +90,12 @@ class Patterns:
         many = self.bucket[slots + 1] - self.bucket[slots]
         which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.bucket[slots], many)
         at, which = np.repeat(at, many), self.order[which]
-        same = self.windows[which, 0] == ids[at]
+        same = self.codes[self.at[which]] == ids[at]
         at, which = at[same], which[same]
         same = np.ones(len(at), bool)
         for lo in range(0, len(at), 100_000):
             piece = slice(lo, lo + 100_000)
-            same[piece] = (ids[at[piece, None] + np.arange(self.length)] == self.windows[which[piece]]).all(axis=1)
+            same[piece] = (ids[at[piece, None] + np.arange(self.length)] == self.codes[self.at[which[piece], None] + np.arange(self.length)]).all(axis=1)
         return at[same], which[same]
 
 
@@ -98,25 +103,27 @@ class Search:
     """Patterns of all lengths, and the items that each of them comes from."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int, block: int):
-        texts = [(name, string_words(text)) for name, text in items if text]
-        self.vocabulary = pa.array(sorted({w for _, words in texts for w in words}), pa.large_string())
-        number = {w: k for k, w in enumerate(self.vocabulary.to_pylist())}
+        items = [x for x in items if x[1]]
+        words = Words(pa.array([text for _, text in items], pa.large_string()))
+        coded = words.array.dictionary_encode()
+        self.vocabulary = coded.dictionary
+        codes = coded.indices.to_numpy().astype(np.int32)
         #: Item ids sorted as strings; windows of items without an id count as hits only.
-        self.names = sorted({name for name, _ in texts if name is not None})
+        self.names = sorted({name for name, _ in items if name is not None})
         place = {name: k for k, name in enumerate(self.names)}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for name, words in texts:
-            coded = [number[w] for w in words]
-            for k in range(max(len(coded) - window, 0) + 1 if coded else 0):
-                owners.setdefault(tuple(coded[k : k + window]), set()).update([place[name]] if name is not None else [])
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for key in owners:
-            by_length.setdefault(len(key), []).append(key)
+        owner = np.array([-1 if name is None else place[name] for name, _ in items], np.int64)
+        sizes = np.diff(words.bounds)
+        lengths = np.minimum(sizes, window)
         self.tables = []
-        for _, keys in sorted(by_length.items()):
-            own = [sorted(owners[k]) for k in keys]
-            starts = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int64)
-            self.tables.append((Patterns(np.array(keys, np.int32), block), starts, np.array(sum(own, []), np.int64)))
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == length)
+            many = sizes[own] - length + 1
+            at = np.repeat(words.bounds[:-1][own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            which, first = distinct_windows(codes, at, length)
+            pairs = np.unique(np.stack([which, np.repeat(owner[own], many)], axis=1), axis=0)
+            pairs = pairs[pairs[:, 1] >= 0]
+            starts = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+            self.tables.append((Patterns(codes[first[:, None] + np.arange(length)], block, codes=codes, at=first), starts, pairs[:, 1]))
 
     def rows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, start) pairs' starts and ends, and pairs of row and item."""
@@ -134,6 +141,24 @@ class Search:
         return np.concatenate(starts), np.concatenate(ends), np.concatenate(rows), np.concatenate(items)
 
 
+def distinct_windows(codes: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each window (from ``at``) among the different ones, and a place of each of those."""
+    h = np.zeros(len(at), np.uint64)
+    for k in range(length):
+        h = (h ^ codes[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(at), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    # equal hashes are compared word by word; windows that only share a hash may be listed twice, which is harmless
+    for k in range(length):
+        letters = codes[at[order] + k]
+        new[1:] |= letters[1:] != letters[:-1]
+    which = np.empty(len(at), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return which, at[order[new]]
+
+
 def merged(mark: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of marked words, cut at row bounds: starts and ends."""
     padded = np.zeros(len(mark) + 1, bool)
@@ -160,7 +185,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     Null and empty texts have no words: zeros and empty lists.  An empty benchmark hits nothing.
     Items with null text are ignored; an item without an id hits but is not listed.  Repeated
-    documents each get their row, repeated items count once.
+    documents each get their row, repeated items count once; an empty table of documents gives an
+    empty result.  Whole texts of any length are read.  There are no ties to break.
     """
     size = benchmark.agg(F.sum(F.octet_length(F.col(item_text)))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
@@ -212,12 +238,14 @@ def _annotated(batch: pa.RecordBatch, search: Search, skip: int) -> pa.RecordBat
     row = np.searchsorted(bounds, first, "right") - 1
     span_counts = np.bincount(row, minlength=n)
     names = batch.column(batch.schema.get_field_index("items"))
+    pairs = np.unique(rows * max(len(search.names), 1) + items)
+    row_of, found = pairs // max(len(search.names), 1), pa.array(search.names, pa.string()).take(pa.array(pairs % max(len(search.names), 1)))
     if len(names.flatten()):
-        listed = [sorted({*(x or []), *(search.names[i] for i in items[rows == k])}) for k, x in enumerate(names.to_pylist())]
-        item_column = pa.array(listed, pa.list_(pa.string()))
-    else:
-        pairs = np.unique(rows * max(len(search.names), 1) + items)
-        item_column = lists(np.bincount(pairs // max(len(search.names), 1), minlength=n), pa.array(search.names, pa.string()).take(pa.array(pairs % max(len(search.names), 1))))
+        table = pa.table({"row": np.concatenate([np.repeat(np.arange(n), np.asarray(names.value_lengths().fill_null(0))), row_of]), "name": pa.concat_arrays([names.flatten().cast(pa.string()), found])})
+        # names of UTF-8 sort by bytes as they do by code point
+        table = table.group_by(["row", "name"]).aggregate([]).sort_by([("row", "ascending"), ("name", "ascending")])
+        row_of, found = table.column("row").to_numpy(), table.column("name").combine_chunks()
+    item_column = lists(np.bincount(row_of, minlength=n), found)
     new = {
         "n_words": pa.array(np.diff(bounds)),
         "n_hit": pa.array(hits[bounds[1:]] - hits[bounds[:-1]]),
