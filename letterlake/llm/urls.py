@@ -6,9 +6,13 @@ lets pass; level 2 one of the listed keys that level 1 lets pass; and so on unti
 wrong.  The universe is every key that the corpus itself asks about, so the answers are exact for
 the corpus.  The levels hold some bits per listed key, whatever the size of the corpus.
 
-Keys are host suffixes with path prefixes.  The distinct keys of the corpus are gathered with
-Spark (a hot host is one key after map-side aggregation), written once, and each level is built
-from the keys that are still wrong.
+Keys are host suffixes with path prefixes, of as many labels as some rule or listed host has.  The
+distinct keys of the corpus are gathered with Spark (a hot host is one key after map-side
+aggregation), written once, and each level is built from the keys that are still wrong.
+
+Keys travel as 64-bit hashes.  A second hash shows whether a listed key shares its first one with
+another key of the universe; if so, all are hashed again with another seed, so no answer rests on a
+collision.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ from letterlake.llm.common import materialise, without
 MOST_BYTES = 64_000_000
 #: Share of foreign keys that a level lets pass.
 RATE = 0.05
+#: Words of a filter that come to the driver in one row.
+PAGE = 4096
 #: The rules of the registered query: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Words in a host's label that put it on the stand-in for a domain list; a production run passes its own list.
+#: Words in a host's label that put it on the query's list, which is a stand-in: no public domain list is at hand
+#: here, and a production run passes its own (``listed``).
 LISTED_WORDS = ("casino", "pills", "porn", "viagra", "xxx")
 
 
@@ -103,10 +110,17 @@ def build(labelled: DataFrame, rate: float = RATE) -> Cascade:
                 value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(first) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(value.view(np.int64))], ["word", "value"])
 
-        # at most bits / 64 rows: a filter's size, not a document's or key's
-        words = np.zeros(bits // 64, np.uint64)
-        for row in own.select("key").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toLocalIterator():
-            words[row[0]] = np.int64(row[1]).view(np.uint64)
+        def page(key: tuple, table: pa.Table) -> pa.Table:
+            out = np.zeros(PAGE, np.int64)
+            out[table.column("word").to_numpy() % PAGE] = table.column("value").to_numpy()
+            return pa.table({"page": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([out.tobytes()], pa.binary())})
+
+        # at most bits / 64 words: a filter's size, not a document's or key's
+        words = np.zeros(-(-bits // 64 // PAGE) * PAGE, np.int64)
+        merged = own.select("key").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
+        for row in merged.groupBy(F.expr(f"word div {PAGE}").alias("page")).applyInArrow(page, "page long, words binary").toLocalIterator():
+            words[row[0] * PAGE : (row[0] + 1) * PAGE] = np.frombuffer(row[1], np.int64)
+        words = words.view(np.uint64)
         levels.append(Level(bits, probes, words))
         level = labelled.sparkSession.sparkContext.broadcast(levels[-1])
 
@@ -144,7 +158,9 @@ def filtered(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES,
     the pages ask about.
 
     A null url or one without ``://`` has empty host and path, fits no rule and is allowed.  All
-    rows stay, repeated ones too; input columns named like results are replaced.
+    rows stay, repeated ones too; input columns named like results are replaced, others stay; an
+    empty table gives an empty result.  Urls of any length are read whole, in linear time for each
+    number of labels that listed hosts have.
     """
     spark = pages.sparkSession
     names = ["host", "path", "rule", "verdict"]
@@ -153,33 +169,56 @@ def filtered(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES,
     df = pages.select(*kept, host.alias("host"), path.alias("path"))
     plain = pages.select(host.alias("host"), path.alias("path"))
 
+    if listed is None:
+        listed = listed_hosts(plain.select("host").distinct())
+    # label counts of the listed hosts: a few small numbers
+    counts = [r[0] for r in listed.select(_labels(F.col("host")).alias("n")).distinct().orderBy("n").collect()]
     labels = sorted({h.count(".") + 1 for _, h, _ in rules})
     lengths = sorted({len(p) for _, _, p in rules})
-    rule_keys = [F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, m)) for n in labels for m in lengths]
-    hosts = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda n: F.concat(F.lit("host:"), F.array_join(F.slice(F.split("host", r"\."), -n, n), ".")))
-    asked = F.when(F.col("host") != "", F.array_distinct(F.concat(F.array(*(F.concat(F.lit("rule:"), k) for k in rule_keys)), hosts))).otherwise(F.array().cast("array<string>"))
+    rule_keys = [F.concat(F.lit("rule:"), F.substring_index("host", ".", -n), F.substring("path", 1, m)) for n in labels for m in lengths]
+    some = F.filter(F.array(*map(F.lit, counts)) if counts else F.array().cast("array<int>"), lambda n: n <= _labels(F.col("host")))
+    hosts = F.transform(some, lambda n: F.concat(F.lit("host:"), F.call_function("substring_index", F.col("host"), F.lit("."), -n)))
+    none = F.array().cast("array<string>")
+    with_host = lambda x: F.when(F.col("host") != "", x).otherwise(none)
+    asked = with_host(F.concat(F.array(*rule_keys), hosts))
 
-    if listed is None:
-        listed = listed_hosts(plain.select("host").distinct())
     keys = [f"rule:{h}{p}" for _, h, p in rules]
     on_list = spark.createDataFrame([(k,) for k in keys], "key string").union(listed.select(F.concat(F.lit("host:"), F.col("host"))))
-    universe = plain.distinct().select(F.explode(asked).alias("key")).distinct()
+    universe = plain.select(F.explode(asked).alias("key"))
     both = on_list.select("key", F.lit(True).alias("listed")).union(universe.select("key", F.lit(False).alias("listed")))
-    labelled = materialise(both.groupBy(F.xxhash64("key").alias("key")).agg(F.max("listed").alias("listed")), "cascade-keys")
+    seed = 0
+    while True:
+        hashed = _hash_with(seed)
+        check = F.xxhash64("key", F.lit("check"))
+        gathered = both.groupBy(hashed(F.col("key")).alias("key")).agg(F.max("listed").alias("listed"), F.min(check).alias("one"), F.max(check).alias("other"))
+        labelled = materialise(gathered, "cascade-keys")
+        if labelled.where("listed AND one <> other").isEmpty():
+            labelled = labelled.select("key", "listed")
+            break
+        seed += 1
     # about 1.44 log2(1 / rate) bits a key at level 0, and as many again for all levels after it
     n = labelled.where("listed").count()
     parts = max(1, -(-int(n * 2 * 1.44 * np.log2(2 / rate)) // (8 * most_bytes)))
-    df = df.withColumn("__asked", F.transform(asked, lambda k: F.xxhash64(k))).withColumn("__is", F.transform("__asked", lambda k: F.lit(False)))
+    df = df.withColumn("__asked", F.array_distinct(F.transform(asked, hashed))).withColumn("__is", F.transform("__asked", lambda k: F.lit(False)))
     for part in range(parts):
         own = labelled if parts == 1 else labelled.where(F.pmod(F.col("key"), F.lit(parts)) == part)
         df = _answered(df, Cascade(build(own, rate).levels), parts, part)
     df = df.withColumn("__yes", F.filter(F.arrays_zip(F.col("__asked").alias("k"), F.col("__is").alias("y")), lambda x: x["y"])).withColumn("__yes", F.transform("__yes", lambda x: x["k"]))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
-        fits = F.array_contains("__yes", F.xxhash64(F.lit(f"rule:{h}{p}")))
+        fits = F.array_contains("__yes", hashed(F.lit(f"rule:{h}{p}")))
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
-    found = F.exists(F.transform(hosts, lambda k: F.xxhash64(k)), lambda k: F.array_contains("__yes", k))
-    return df.select(*kept, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when((F.col("host") != "") & found, "block").otherwise("allow")).alias("verdict"))
+    found = F.arrays_overlap("__yes", F.transform(with_host(hosts), hashed))
+    return df.select(*kept, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(found, "block").otherwise("allow")).alias("verdict"))
+
+
+def _hash_with(seed: int):
+    return lambda k: F.xxhash64(F.lit(seed), k)
+
+
+def _labels(host: Column) -> Column:
+    """How many labels a host has."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
 def _answered(df: DataFrame, cascade: Cascade, parts: int, part: int) -> DataFrame:
