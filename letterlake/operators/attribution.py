@@ -2,9 +2,13 @@
 
 Witnesses come first: snapshots name both, and a message of one mailbox places all its folders.
 Elimination then pairs the one unexplained mailbox of a message with its one unplaced folder, until
-nothing is learnt.  The order of messages matters there, so each group of messages that share
-folders is settled in order of message id in a task of its own; groups have no folder in common
-and run in parallel.
+nothing is learnt.
+
+Messages with the same mailboxes and folders say the same, so only the different sets are kept,
+each with its smallest message id.  They are dealt out in bounded parts; in a round each part is
+settled in order of id against the owners that are known, and what the parts have learnt is known
+to all in the next one.  Rounds go on until none learns anything: there is no bound on their number
+but that of folders and mailboxes.
 """
 
 from __future__ import annotations
@@ -13,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Different sets of mailboxes and folders that one task settles.
+SETS = 50_000
+
 
 def witnesses(mailbox: DataFrame, folder: DataFrame, snapshot: DataFrame) -> DataFrame:
     """folder and mailbox pairs that snapshots or single-mailbox messages vouch for."""
@@ -20,57 +27,45 @@ def witnesses(mailbox: DataFrame, folder: DataFrame, snapshot: DataFrame) -> Dat
     return snapshot.select("folder", "mailbox").union(folder.join(single, "message_id").select("folder", "mailbox")).distinct()
 
 
-def folder_groups(folder: DataFrame, cut, rounds: int = 60) -> DataFrame:
-    """message_id and ``part``: the same for all messages that share folders, directly or by others."""
-    df = cut(folder.select("message_id", "folder").distinct().withColumn("part", F.col("message_id")))
-    before = None
-    for _ in range(rounds):
-        low = df.groupBy("folder").agg(F.min("part").alias("part"))
-        own = df.drop("part").join(low, "folder").groupBy("message_id").agg(F.min("part").alias("part"))
-        df = cut(df.drop("part").join(own, "message_id"))
-        state = df.agg(F.sum(F.col("part").cast("decimal(38,0)"))).first()[0]
-        if state == before:
-            break
-        before = state
-    return df.select("message_id", "part").distinct()
-
-
-def _settled(group: pd.DataFrame) -> pd.DataFrame:
-    """One group: rows of kind message (id, mailboxes, folders) and kind witness (folder, mailbox)."""
+def _settled(sets: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """What one part learns: ``sets`` (message_id, mailboxes, folders) against ``known`` (folder, mailbox)."""
     owners: dict[str, set[str]] = {}
-    for w in group[group["mailbox"].notna()].itertuples():
-        owners.setdefault(w.folder, set()).add(w.mailbox)
-    messages = [(set(m.mailboxes), list(m.folders)) for m in group[group["mailbox"].isna()].sort_values("message_id").itertuples()]
-    messages = [m for m in messages if len(m[0]) > 1]
-    learning = True
-    while learning:
-        learning = False
+    for folder, mailbox in zip(known["folder"], known["mailbox"]):
+        owners.setdefault(folder, set()).add(mailbox)
+    messages = [(set(m.mailboxes), list(m.folders)) for m in sets.sort_values("message_id").itertuples()]
+    learnt: list[tuple[str, str]] = []
+    going = True
+    while going:
+        going = False
         for boxes, folders in messages:
             fits = {f: owners.get(f, set()) & boxes for f in folders}
             open_boxes = boxes.difference(*(own for own in fits.values() if len(own) == 1))
             open_folders = [f for f, own in fits.items() if not own]
             if len(open_boxes) == 1 and len(open_folders) == 1:
                 owners.setdefault(open_folders[0], set()).update(open_boxes)
-                learning = True
-    pairs = [(f, m) for f, own in owners.items() for m in sorted(own)]
-    return pd.DataFrame(pairs, columns=["folder", "mailbox"])
+                learnt.append((open_folders[0], *open_boxes))
+                going = True
+    return pd.DataFrame(learnt, columns=["folder", "mailbox"])
 
 
-def owners(mailbox: DataFrame, folder: DataFrame, snapshot: DataFrame, cut) -> DataFrame:
+def owners(mailbox: DataFrame, folder: DataFrame, snapshot: DataFrame, cut, per_task: int = SETS) -> DataFrame:
     """folder and mailbox: every mailbox that each folder can belong to."""
-    seen = witnesses(mailbox, folder, snapshot)
-    parts = folder_groups(folder, cut)
+    seen = cut(witnesses(mailbox, folder, snapshot))
+    # the names of one message are its own few
     several = mailbox.groupBy("message_id").agg(F.sort_array(F.collect_set("mailbox")).alias("mailboxes")).where(F.size("mailboxes") > 1)
     texts = folder.groupBy("message_id").agg(F.sort_array(F.collect_set("folder")).alias("folders"))
-    none = F.lit(None).cast("string")
-    messages = several.join(texts, "message_id").join(parts, "message_id").select("part", "message_id", "mailboxes", "folders", none.alias("folder"), none.alias("mailbox"))
-    by_folder = folder.join(parts, "message_id").select("folder", "part").distinct()
-    empty = F.array().cast("array<string>")
-    known = seen.join(by_folder, "folder").select("part", F.lit(None).cast("long").alias("message_id"), empty.alias("mailboxes"), empty.alias("folders"), "folder", "mailbox")
-    # only groups with a message of several mailboxes can teach anything
-    open_parts = messages.select("part").distinct()
-    learnt = messages.unionByName(known.join(open_parts, "part", "left_semi")).groupBy("part").applyInPandas(_settled, "folder string, mailbox string")
-    return seen.union(learnt.select("folder", "mailbox")).distinct()
+    sets = several.join(texts, "message_id").groupBy("mailboxes", "folders").agg(F.min("message_id").alias("message_id"))
+    sets = cut(sets)
+    parts = max(1, -(-sets.count() // per_task))
+    sets = cut(sets.withColumn("part", F.pmod(F.xxhash64("message_id"), F.lit(parts))))
+    asked = cut(sets.select(F.col("part").alias("part"), F.explode("folders").alias("folder")).distinct())
+    while True:
+        known = asked.join(seen, "folder").select(F.col("part").alias("of_part"), "folder", "mailbox")
+        learnt = sets.groupBy("part").cogroup(known.groupBy("of_part")).applyInPandas(_settled, "folder string, mailbox string")
+        new = cut(learnt.distinct().join(seen, ["folder", "mailbox"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(new))
 
 
 def attributed(message: DataFrame, mailbox: DataFrame, folder: DataFrame, owner: DataFrame) -> DataFrame:

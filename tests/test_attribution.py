@@ -2,6 +2,7 @@
 
 import random
 
+from letterlake.operators import attribution, check
 from letterlake.queries import QUERIES
 
 
@@ -47,3 +48,21 @@ def test_owners_against_plain_elimination(spark, tmp_path):
         rng = random.Random(seed)
         items = [(k, n, rng.randrange(1, 13)) for k in range(rng.randint(5, 12)) for n in rng.sample(range(1, 8), rng.randint(2, 4))]
         assert owners_of(spark, tmp_path / str(seed), items) == brute_owners(items), seed
+
+
+def test_a_long_chain_of_shared_folders(spark):
+    # every message places its next folder only once the one before has placed its own
+    n = 200
+    mailbox = [(k, f"m{j}") for k in range(n) for j in (k, k + 1)]
+    folder = [(k, f"f{j}") for k in range(n) for j in (k, k + 1)]
+    frames = spark.createDataFrame(mailbox, "message_id long, mailbox string"), spark.createDataFrame(folder, "message_id long, folder string"), spark.createDataFrame([("f0", "m0")], "folder string, mailbox string")
+    expected = {(f"f{k}", f"m{k}") for k in range(n + 1)}
+    assert {tuple(r) for r in attribution.owners(*frames, check._cut).collect()} == expected
+
+
+def test_parts_learn_from_each_other(spark):
+    n = 6
+    mailbox = [(k, f"m{j}") for k in range(n) for j in (k, k + 1)]
+    folder = [(k, f"f{j}") for k in range(n) for j in (k, k + 1)]
+    frames = spark.createDataFrame(mailbox, "message_id long, mailbox string"), spark.createDataFrame(folder, "message_id long, folder string"), spark.createDataFrame([("f0", "m0")], "folder string, mailbox string")
+    assert {tuple(r) for r in attribution.owners(*frames, check._cut, per_task=2).collect()} == {(f"f{k}", f"m{k}") for k in range(n + 1)}
