@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,23 +29,31 @@ def claims(listing: DataFrame, archived: DataFrame) -> DataFrame:
     """``listing`` (mailbox, folder, ord, mid, ...) with ``claim``.
 
     In listing order each id takes one archived copy: TAKEN while there are any, EXHAUSTED after
-    that, ABSENT if there never was one or the id is empty.  Places with a long id that has no
-    exact match need the sequential rule, because a prefix match uses the same copies; they are
-    few, and each is settled in one task.  All others are ranked against the count in one window.
+    that, ABSENT if there never was one or the id is empty.  A long id without an exact match takes
+    the copies of archived ids that it begins, so ids of one place that share their first ``LONG``
+    characters with it are settled together, in order; a prefix match cannot cross those.  All
+    others are ranked against their count in one window, and empty ids need none.
     """
-    exact = _null_safe(listing, archived)
-    hard = exact.where((F.length("mid") > LONG) & F.col("n").isNull()).select(*_PLACE).distinct().withColumn("hard", F.lit(True))
-    marked = _with_place(exact, hard, "hard")
-    order = W.partitionBy(*_PLACE, "mid").orderBy("ord")
-    k = F.row_number().over(order)
-    claim = F.when((F.col("mid") == "") | F.col("mid").isNull() | F.col("n").isNull(), ABSENT).when(k <= F.col("n"), TAKEN).otherwise(EXHAUSTED)
-    easy = marked.where("hard IS NULL").withColumn("claim", claim).drop("n", "hard")
     names = [*listing.columns, "claim"]
-    rest = marked.where("hard").drop("n", "hard")
+    usable = F.coalesce(F.col("mid") != "", F.lit(False))
+    absent = listing.where(~usable).withColumn("claim", F.lit(ABSENT))
+    stem = F.when(F.length("mid") > LONG, F.substring("mid", 1, LONG))
+    exact = _null_safe(listing.where(usable), archived).withColumn("__stem", stem)
+    hard = exact.where(F.col("__stem").isNotNull() & F.col("n").isNull()).select(*_PLACE, F.col("__stem").alias("__key")).distinct()
+    marked = _with_stem(exact, hard)
+    # ids without a copy are absent whatever their order, so they are not ranked and never meet
+    ranked = F.row_number().over(W.partitionBy(*_PLACE, "mid").orderBy("ord"))
+    there = marked.where("__hard IS NULL AND n IS NOT NULL").withColumn("claim", F.when(ranked <= F.col("n"), TAKEN).otherwise(EXHAUSTED))
+    without = marked.where("__hard IS NULL AND n IS NULL").withColumn("claim", F.lit(ABSENT))
+    rest = marked.where("__hard IS NOT NULL").select(*listing.columns, "__stem")
     schema = rest.select(*listing.columns, F.lit("").alias("claim")).schema
-    own = archived.select(*_PLACE, "mid", "n")
-    slow = rest.select(*listing.columns).groupBy(*_PLACE).cogroup(_with_place(own, hard, "hard").where("hard").drop("hard").groupBy(*_PLACE)).applyInPandas(_sequential, schema)
-    return easy.select(*names).unionByName(slow.select(*names))
+    keys = [*_PLACE, "__stem"]
+    own = _with_stem(archived.select(*_PLACE, "mid", "n").withColumn("__stem", stem), hard).where("__hard IS NOT NULL").drop("__hard")
+    slow = rest.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(_sequential, schema)
+    out = absent.select(*names)
+    for part in (there, without, slow):
+        out = out.unionByName(part.select(*names))
+    return out
 
 
 def _null_safe(listing: DataFrame, archived: DataFrame) -> DataFrame:
@@ -53,18 +62,25 @@ def _null_safe(listing: DataFrame, archived: DataFrame) -> DataFrame:
     return listing.join(a, same, "left").drop("__m", "__f", "__mid")
 
 
-def _with_place(df: DataFrame, places: DataFrame, flag: str) -> DataFrame:
-    p = places.select(F.col("mailbox").alias("__m"), F.col("folder").alias("__f"), flag)
-    return df.join(p, F.col("mailbox").eqNullSafe(F.col("__m")) & F.col("folder").eqNullSafe(F.col("__f")), "left").drop("__m", "__f")
+def _with_stem(df: DataFrame, hard: DataFrame) -> DataFrame:
+    """``df`` with ``__hard`` set where its place and ``__stem`` are among ``hard``."""
+    p = hard.select(F.col("mailbox").alias("__m"), F.col("folder").alias("__f"), "__key", F.lit(True).alias("__hard"))
+    same = F.col("mailbox").eqNullSafe(F.col("__m")) & F.col("folder").eqNullSafe(F.col("__f")) & (F.col("__stem") == F.col("__key"))
+    return df.join(p, same, "left").drop("__m", "__f", "__key")
 
 
 def _sequential(listing: pd.DataFrame, archived: pd.DataFrame) -> pd.DataFrame:
     left = dict(zip(archived["mid"], archived["n"]))
-    long_ids = sorted(m for m in archived["mid"] if len(m) > LONG)
+    long_ids = sorted(left)
     out = []
-    listing = listing.sort_values("ord", kind="stable")
+    listing = listing.sort_values("ord", kind="stable").drop(columns="__stem")
     for mid in listing["mid"]:
-        names = [mid] if mid in left else [m for m in long_ids if m.startswith(mid)] if mid and len(mid) > LONG else []
+        if mid in left:
+            names = [mid]
+        else:
+            # the ids that begin with mid stand together
+            at = bisect.bisect_left(long_ids, mid)
+            names = list(itertools.takewhile(lambda m: m.startswith(mid), itertools.islice(long_ids, at, None)))
         with_copies = next((m for m in names if left[m] > 0), None)
         if with_copies is not None:
             left[with_copies] -= 1
