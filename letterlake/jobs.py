@@ -124,6 +124,12 @@ class Archive:
         for h in places.moved_heads(self.heads(), written).toLocalIterator():
             body = {"version": 1, "job": h.mailbox, "folder": h.folder, "last_run": h.last_run, "resume": json.loads(h.resume) if h.resume else None, "log": h.log}
             (self.root / "heads" / places.head_name(h.mailbox, h.folder)).write_text(json.dumps(body, indent=2, sort_keys=True) + "\n")
+        # nothing goes before every new file has been read back, whole, with all entries
+        there, entries = archive.logs(self.spark, str(self.root / "meta"))
+        sound = there.where("intact").join(written.select("hash"), "hash", "left_semi")
+        kept = entries.join(written.select(F.col("hash").alias("log_hash")), "log_hash", "left_semi").count()
+        if sound.count() != len(new) or kept != counts["entries_after"]:
+            raise OSError("the compacted log did not read back whole; the old files stay")
         for path in old:
             if (path := path.removeprefix("file:").replace("///", "/")) not in new:
                 Path(path).unlink(missing_ok=True)
@@ -155,7 +161,7 @@ class Archive:
         return behind(self.heads(), self.projection.frames()["recorded"])
 
     def search(self, **given) -> DataFrame:
-        return searching.search(self.projection.frames(), searching.SearchSpec(**given))
+        return searching.search(self.projection.frames(), **given)
 
     def export(self, wanted: DataFrame, target: str) -> DataFrame:
         return storing.exported(self.store(), wanted, target)

@@ -51,19 +51,22 @@ def _cut(df: DataFrame) -> DataFrame:
     """Reliable where the session has a checkpoint folder; else (in tests) through the warehouse."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_letterlake_checkpoints")
     return df.checkpoint()
 
 
-def broken_chains(heads: DataFrame, log_file: DataFrame, cut=None) -> DataFrame:
-    """Hashes that a chain leads to but no log file has, with a place whose chain does."""
-    return reached(heads, log_file, cut).join(log_file.select("hash"), "hash", "left_anti")
+def broken_chains(heads: DataFrame, log_file: DataFrame, cut=None, chain: DataFrame | None = None) -> DataFrame:
+    """Hashes that a chain leads to but no log file has, with a place whose chain does (``chain``: what ``reached`` gave)."""
+    return (reached(heads, log_file, cut) if chain is None else chain).join(log_file.select("hash"), "hash", "left_anti")
 
 
-def unchained(heads: DataFrame, log_file: DataFrame, cut=None) -> DataFrame:
+def unchained(heads: DataFrame, log_file: DataFrame, cut=None, chain: DataFrame | None = None) -> DataFrame:
     """Log files that no chain reaches; none where there are no heads at all."""
+    chain = reached(heads, log_file, cut) if chain is None else chain
     some = heads.limit(1).select(F.lit(1).alias("k"))
-    rest = log_file.select("hash").join(reached(heads, log_file, cut).select("hash"), "hash", "left_anti")
+    rest = log_file.select("hash").join(chain.select("hash"), "hash", "left_anti")
     return rest.withColumn("k", F.lit(1)).join(some, "k").drop("k")
 
 
@@ -88,8 +91,12 @@ def verdict(store: DataFrame, observation: DataFrame, log_file: DataFrame, heads
     Orphans and files outside all chains are reported but are no findings.
     """
     k = F.lit(1).alias("k")
+    chain = reached(heads, log_file, cut)
     out = counters(store, observation, log_file).select("*", k)
-    for name, df in (("missing", missing(observation, store)), ("orphans", orphans(store, observation)), ("damaged", damaged(store, bits)), ("broken_chains", broken_chains(heads, log_file, cut)), ("unchained", unchained(heads, log_file, cut))):
+    # one look at each id tells what is missing and what is an orphan
+    ids = store.select("store_id", F.lit(1).alias("s"), F.lit(0).alias("o")).union(observation.select("store_id", F.lit(0), F.lit(1))).groupBy("store_id").agg(F.max("s").alias("s"), F.max("o").alias("o"))
+    out = out.join(ids.agg(F.count_if(F.col("s") == 0).alias("missing"), F.count_if(F.col("o") == 0).alias("orphans")).select("*", k), "k")
+    for name, df in (("damaged", damaged(store, bits)), ("broken_chains", broken_chains(heads, log_file, cut, chain)), ("unchained", unchained(heads, log_file, cut, chain))):
         out = out.join(df.agg(F.count(F.lit(1)).alias(name)).select("*", k), "k")
     findings = F.col("missing") + F.col("damaged") + F.col("broken_chains") + F.col("unreadable_logs") + F.col("damaged_logs")
     return out.drop("k").withColumn("findings", findings).withColumn("sound", findings == 0)

@@ -75,8 +75,8 @@ def behind(heads: DataFrame, recorded: DataFrame) -> DataFrame:
 class Projection:
     """A projection kept as Parquet versions below ``root``; a pointer table names the current one.
 
-    Writers put a whole new version beside the old one and then move the pointer, so readers see
-    one or the other.  One writer at a time.
+    Writers put a whole new version beside the old one and then replace the pointer in one step, so
+    readers see one or the other; versions before the last two are deleted.  One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -114,8 +114,18 @@ class Projection:
         out = fs.create(with_tmp)
         out.write(bytearray(json.dumps({"version": version, "schema_version": schema.SCHEMA_VERSION}).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(with_tmp, path)
+        # one step: a reader finds the old pointer or the new one
+        jvm = self.spark.sparkContext._jvm
+        overwrite = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        before = self._pointer()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(with_tmp, path, overwrite)
+        # readers of the version before may still be at work; older ones go
+        keep = {version, (before or {}).get("version")}
+        for status in fs.listStatus(self._path("")[1]):
+            name = status.getPath().getName()
+            if name.startswith("v-") and name not in keep:
+                fs.delete(status.getPath(), True)
 
     def create(self, store: DataFrame, log_file: DataFrame, observation: DataFrame, heads: DataFrame, force: bool = False) -> None:
         """Build from scratch; refuses to replace an existing projection unless forced."""

@@ -9,7 +9,6 @@ import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from letterlake import schema
 from letterlake.functions import mail
@@ -110,8 +109,3 @@ def classified(listing: DataFrame, now, min_age_hours: int = 24) -> DataFrame:
     old = F.col("modified") <= now - F.expr(f"INTERVAL {min_age_hours} HOURS")
     kind = F.when(entry_hash(F.col("name")).isNotNull(), "entry").when(leftover & old, "stale").when(leftover, "live").when(aside, "quarantined").otherwise("foreign")
     return listing.withColumn("kind", kind)
-
-
-def numbered(listing: DataFrame) -> DataFrame:
-    """A server listing with ``copy``: the how-manieth of its Message-ID in its place."""
-    return listing.withColumn("copy", F.row_number().over(W.partitionBy("mailbox", "folder", "message_id").orderBy("ord")))
