@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_tables_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _SCRATCH.get():
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._letterlake_path = path
     return out
@@ -50,6 +54,25 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: The tables that each open ``scratch`` has seen.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("letterlake_scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """Delete at its end the tables that were materialised within, but for those in ``keep`` by then."""
+    paths: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), paths))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        kept = {getattr(df, "_letterlake_path", None) for df in keep}
+        for path in paths:
+            if path not in kept:
+                _delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     path = getattr(df, "_letterlake_path", None)
@@ -72,13 +95,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", wide: bool = False) -> DataFrame:
     """``rows`` joined with ``table``, which has one row per key and in ``weight`` how many rows have it.
 
-    A key of more rows than ``HEAVY_ROWS`` (or, with many rows, than their 100,000th part) is dealt
+    ``total`` is the sum of the weights, so ``table`` has no more rows than that: within
+    ``BROADCAST_ROWS`` it is broadcast as it is, unless its rows are ``wide``.  Beyond, a key of more rows than ``HEAVY_ROWS`` (or, with many rows, than their 100,000th part) is dealt
     out over as many partitions as it needs; its table row goes to each of them.  The heavy keys are
     broadcast: their weights add up to at most ``total``, so there are at most ``HEAVY_KEYS``.
     """
+    if total <= BROADCAST_ROWS and not wide:
+        return rows.join(F.broadcast(table.drop(weight)), keys, how)
     most = max(HEAVY_ROWS, -(-total // HEAVY_KEYS))
     parts = F.ceil(F.col(weight) / most).cast("int")
     heavy = table.where(F.col(weight) > most).select(*keys, parts.alias("__parts"))

@@ -3,8 +3,8 @@
 Alternates the two star operations known from large-scale component search: every node is linked to
 the smallest node among itself and its neighbours, first for the larger and then for the smaller
 neighbours, until nothing changes.  Smallest neighbours are found by a partially aggregated
-minimum, so a hub's neighbours are never gathered, and the joins deal a hub's edges out over
-partitions.  The tables of earlier rounds are deleted.
+minimum, so a hub's neighbours are never gathered, and the joins broadcast the minima within a
+bound or deal a hub's edges out over partitions.  The tables of earlier rounds are deleted.
 """
 
 from __future__ import annotations
@@ -67,8 +67,10 @@ def starred(members: DataFrame, hubs: DataFrame) -> DataFrame:
 
 def with_group(members: DataFrame, key: str, table: DataFrame) -> DataFrame:
     """``members`` inner-joined with ``table`` on ``key``, groups of any size."""
+    if is_small(table):
+        return members.join(F.broadcast(table), key)
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    return spread_join(members, table.join(sizes, key), [key], "__n", members.count())
+    return spread_join(members, table.join(sizes, key), [key], "__n", members.count(), wide=True)
 
 
 def in_blocks(members: DataFrame, rows: int, size: int) -> DataFrame:

@@ -228,7 +228,7 @@ def _classes(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float,
     grams = texts.mapInArrow(lambda batches: _grams(batches, n), "digest long, grams binary")
     grams = materialise(grams.groupBy("digest").agg(F.first("grams").alias("grams")), "jaccard-grams")
     # each set goes to its blocks as its difference from the set of the component's smallest member
-    base = near.where("node = root").groupBy("root").agg(F.min("digest").alias("digest")).join(grams, "digest").select("root", F.col("grams").alias("base"))
+    base = materialise(near.where("node = root").groupBy("root").agg(F.min("digest").alias("digest")).join(grams, "digest").select("root", F.col("grams").alias("base")), "jaccard-base")
     coded = with_group(near.select("root", "item", "copies", "digest").join(grams, "digest"), "root", base).select("root", "item", "copies", "grams", "base")
     coded = materialise(coded.mapInArrow(_differences, "root long, item string, copies long, size long, common long, whole long, rest binary, bytes long"), "jaccard-coded")
     groups = in_blocks(coded, BLOCK_ROWS, BLOCK_BYTES)
