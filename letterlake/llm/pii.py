@@ -20,11 +20,11 @@ of one text need no pairs, as the least known entity of their document decides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterlake.llm.common import is_small, materialise, small, spread_join, without
-from letterlake.llm.spans import Kind, counted, listed, no_spans, overlaps, placed, replaced, with_spans
+from letterlake.llm.spans import Kind, counted, listed, no_spans, overlaps, replaced, with_spans
 
 #: Share of an entity's information that a word may not reach.
 DISCLOSED = 0.8
@@ -72,7 +72,7 @@ def entity(span: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Distinct lower-cased words, without those of addresses."""
     # only whole addresses, from the blank before them on: no start within a run of other characters
-    bare = F.regexp_replace(text, r"(?<!\S)[^\s@]*+@\S*+", " ")
+    bare = F.when(text.contains("@"), F.regexp_replace(text, r"(?<!\S)[^\s@]*+@\S*+", " ")).otherwise(text)
     return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(WORD), F.lit(0)))
 
 
@@ -154,19 +154,31 @@ def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discl
     kept = [c for c in without(docs, names) if keep_text or c != text]
     found = with_spans(docs.select(*dict.fromkeys([*kept, text, doc_id])), text, KINDS, "base_spans")
     keyed = found.withColumn("__key", F.when(F.size("base_spans") > 0, _key(docs, doc_id, text)))
+    if not keep_text:
+        keyed = keyed.withColumn(text, F.when(F.size("base_spans") > 0, F.col(text)))
+    # written once: a filter on spans would otherwise search all texts again, below and above it
+    keyed = materialise(keyed, "pii-spans")
     near = materialise(contexts(keyed, text), "pii-contexts")
     told = materialise(disclosing(docs, near, text, disclosed), "pii-disclosing")
     if told.isEmpty():
         df = keyed.withColumn("spans", F.col("base_spans"))
     else:
-        of_kind = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("word")))
-        lists = told.groupBy(F.col("key").alias("__k")).agg(of_kind("term").alias("__term"), of_kind("rare").alias("__rare"))
-        df = keyed.join(small(materialise(lists, "pii-lists")), F.col("__key") == F.col("__k"), "left").drop("__k")
-        df = df.withColumn("__hits", F.when(F.col("__rare").isNotNull(), F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
-        df = df.withColumn("__found", F.when(F.size("__hits") > 0, placed(F.col(text), WORD, F.col("__hits"), "term", len(KINDS))).otherwise(no_spans()))
-        known = lambda s: F.when(F.array_contains("__term", F.lower(s["match"])), "term").when(F.array_contains("__rare", F.lower(s["match"])), "rare")
-        named = lambda s: F.struct(s["start"].alias("start"), F.when(known(s) == "rare", len(KINDS) + 1).otherwise(s["rank"]).alias("rank"), s["end"].alias("end"), known(s).alias("kind"), s["match"].alias("match"))
-        df = df.withColumn("__found", F.filter(F.transform("__found", named), lambda s: s["kind"].isNotNull()))
+        # each word of these documents is a row that meets its kind by key and word: lists of words in a
+        # row would be searched anew for every word of the text
+        asked = told.select(F.col("key").alias("__key")).distinct()
+        texts = keyed.where(F.size("base_spans") > 0).select("__key", F.col(text).alias("__text")).dropDuplicates(["__key"])
+        texts = texts.join(small(materialise(asked, "pii-keys")), "__key", "left_semi")
+        hits = F.regexp_extract_all("__text", F.lit(WORD), F.lit(0))
+        # a place is the running length of the words before and of what stands between them
+        parts = F.arrays_zip(F.split("__text", WORD, -1).alias("piece"), hits.alias("match"))
+        rows = texts.select(F.col("__key").alias("key"), F.posexplode(parts).alias("at", "x")).where(F.col("x.match").isNotNull())
+        ends = F.sum(F.length("x.piece") + F.length("x.match")).over(Window.partitionBy("key").orderBy("at")).cast("int")
+        places = rows.select("key", F.struct((ends - F.length("x.match")).alias("start"), ends.alias("end"), F.col("x.match").alias("match")).alias("s"))
+        met = places.withColumn("word", F.lower("s.match")).join(small(told), ["key", "word"])
+        rank = F.when(F.col("kind") == "rare", len(KINDS) + 1).otherwise(len(KINDS))
+        span = F.struct(F.col("s.start").alias("start"), rank.alias("rank"), F.col("s.end").alias("end"), F.col("kind"), F.col("s.match").alias("match"))
+        lists = materialise(met.groupBy(F.col("key").alias("__k")).agg(F.collect_list(span).alias("__found")), "pii-lists")
+        df = keyed.join(small(lists), F.col("__key") == F.col("__k"), "left").drop("__k").withColumn("__found", F.coalesce("__found", no_spans()))
         free = F.filter("__found", lambda s: ~F.exists("base_spans", lambda b: overlaps(s, b)))
         df = df.withColumn("spans", F.array_sort(F.concat("base_spans", F.when(F.size("__found") > 0, free).otherwise(no_spans()))))
     if not keep_text:
