@@ -164,20 +164,21 @@ def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discl
         df = keyed.withColumn("spans", F.col("base_spans"))
     else:
         # each word of these documents is a row that meets its kind by key and word: lists of words in a
-        # row would be searched anew for every word of the text
-        asked = told.select(F.col("key").alias("__key")).distinct()
-        texts = keyed.where(F.size("base_spans") > 0).select("__key", F.col(text).alias("__text")).dropDuplicates(["__key"])
-        texts = texts.join(small(materialise(asked, "pii-keys")), "__key", "left_semi")
+        # row would be searched anew for every word of the text.  The kinds come as further rows of the
+        # same document, so that all of this needs one shuffle, by document
+        kinds = told.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("word", "kind")).alias("__told"))
+        texts = keyed.where(F.size("base_spans") > 0).select("__key", F.col(text).alias("__text")).dropDuplicates(["__key"]).join(kinds, "__key")
         hits = F.regexp_extract_all("__text", F.lit(WORD), F.lit(0))
-        # a place is the running length of the words before and of what stands between them
         parts = F.arrays_zip(F.split("__text", WORD, -1).alias("piece"), hits.alias("match"))
-        rows = texts.select(F.col("__key").alias("key"), F.posexplode(parts).alias("at", "x")).where(F.col("x.match").isNotNull())
-        ends = F.sum(F.length("x.piece") + F.length("x.match")).over(Window.partitionBy("key").orderBy("at")).cast("int")
-        places = rows.select("key", F.struct((ends - F.length("x.match")).alias("start"), ends.alias("end"), F.col("x.match").alias("match")).alias("s"))
-        met = places.withColumn("word", F.lower("s.match")).join(small(told), ["key", "word"])
+        found = F.transform(parts, lambda x, i: F.struct(i.alias("at"), F.length(x["piece"]).alias("gap"), x["match"].alias("match"), F.lower(x["match"]).alias("word"), F.lit(None).cast("string").alias("kind")))
+        given = F.transform("__told", lambda t: F.struct(F.lit(-1).alias("at"), F.lit(0).alias("gap"), F.lit("").alias("match"), t["word"].alias("word"), t["kind"].alias("kind")))
+        rows = texts.select(F.col("__key").alias("key"), F.explode(F.concat(found, given)).alias("x")).select("key", "x.*").where(F.col("match").isNotNull())
+        # a place is the running length of the words before and of what stands between them
+        rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("key").orderBy("at")).cast("int"))
+        rows = rows.withColumn("kind", F.first("kind").over(Window.partitionBy("key", "word").orderBy("at"))).where((F.col("at") >= 0) & F.col("kind").isNotNull())
         rank = F.when(F.col("kind") == "rare", len(KINDS) + 1).otherwise(len(KINDS))
-        span = F.struct(F.col("s.start").alias("start"), rank.alias("rank"), F.col("s.end").alias("end"), F.col("kind"), F.col("s.match").alias("match"))
-        lists = materialise(met.groupBy(F.col("key").alias("__k")).agg(F.collect_list(span).alias("__found")), "pii-lists")
+        span = F.struct((F.col("end") - F.length("match")).alias("start"), rank.alias("rank"), "end", "kind", "match")
+        lists = materialise(rows.groupBy(F.col("key").alias("__k")).agg(F.collect_list(span).alias("__found")), "pii-lists")
         df = keyed.join(small(lists), F.col("__key") == F.col("__k"), "left").drop("__k").withColumn("__found", F.coalesce("__found", no_spans()))
         free = F.filter("__found", lambda s: ~F.exists("base_spans", lambda b: overlaps(s, b)))
         df = df.withColumn("spans", F.array_sort(F.concat("base_spans", F.when(F.size("__found") > 0, free).otherwise(no_spans()))))
