@@ -1,9 +1,11 @@
-"""python -m letterlake ARCHIVE COMMAND ...: exit code 0 if all is well, 1 if something was found, 2 for wrong use."""
+"""python -m letterlake ARCHIVE COMMAND ...: exit code 0 if all is well, 1 if something was found, 2 for wrong use,
+130 after an interrupt, 141 where nobody reads the output any more."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -15,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="letterlake")
     p.add_argument("archive")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("init", "stats", "check", "places", "compact", "create", "update", "drop"):
+    for name in ("init", "stats", "check", "places", "compact", "compress", "decompress", "create", "update", "drop"):
         sub.add_parser(name)
     for name in ("import", "adopt", "migrate"):
         s = sub.add_parser(name)
@@ -23,6 +25,15 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--place", default="import")
         s.add_argument("--largest-only", action="store_true")
         s.add_argument("--dry-run", action="store_true")
+    for name in ("folders", "backup", "verify"):
+        s = sub.add_parser(name)
+        s.add_argument("mailbox")
+        s.add_argument("--client", required=True, help="module:function that gives a server's client")
+        s.add_argument("--option", action="append", default=[], metavar="NAME=VALUE")
+        s.add_argument("--repair", action="store_true")
+    s = sub.add_parser("export")
+    s.add_argument("ids", nargs="+")
+    s.add_argument("--to", required=True)
     s = sub.add_parser("search")
     for name in ("sender", "recipient", "subject", "mailbox", "folder", "since", "until"):
         s.add_argument(f"--{name}")
@@ -42,6 +53,17 @@ def main(argv: list[str] | None = None) -> int:
         found = a.check()
         print(json.dumps(found))
         return 0 if found["sound"] else 1
+    if args.command in ("folders", "backup", "verify"):
+        return _with_server(a, args)
+    if args.command == "export":
+        wanted = a.spark.createDataFrame([(i.lower(),) for i in args.ids], "store_id string")
+        written = a.export(wanted, args.to).count()
+        print(json.dumps({"exported": written}))
+        return 0 if written == len({i.lower() for i in args.ids}) else 1
+    if args.command in ("compress", "decompress"):
+        counts = a.convert(args.command == "compress")
+        print(json.dumps(counts))
+        return 1 if counts["failed"] else 0
     if args.command == "places":
         a.places().show(1000, truncate=False)
     elif args.command == "search":
@@ -52,6 +74,8 @@ def main(argv: list[str] | None = None) -> int:
             search.preview(hits).show(1000, truncate=False)
         else:
             shaped = {"ids": hits.select("store_id"), "csv": search.as_csv(hits), "json": hits}[args.format]
+            if args.format == "csv":
+                print(",".join(f'"{c}"' for c in shaped.columns))
             for row in shaped.toLocalIterator():
                 print(row[0] if args.format == "ids" else json.dumps(row.asDict(), ensure_ascii=False) if args.format == "json" else ",".join('"' + str(v).replace('"', '""') + '"' for v in row))
     else:
@@ -63,5 +87,29 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def _with_server(a: Archive, args: argparse.Namespace) -> int:
+    options = {"client": args.client, **dict(o.split("=", 1) for o in args.option)}
+    if args.command == "folders":
+        from letterlake.sources.mailbox import client
+
+        print("\n".join(sorted(client(options).folders())))
+        return 0
+    if args.command == "backup":
+        counts = a.backup(args.mailbox, options)
+        print(json.dumps(counts))
+        return 1 if counts["failed"] else 0
+    # one row per folder
+    found = [r.asDict() for r in a.verify(args.mailbox, options, args.repair).toLocalIterator()]
+    print("\n".join(json.dumps(f, ensure_ascii=False) for f in found))
+    return 1 if any(f.get("failed") or f.get("missing") or f.get("extra_copies") for f in found) else 0
+
+
 if __name__ == "__main__":
-    sys.exit(main())
+    try:
+        sys.exit(main())
+    except KeyboardInterrupt:
+        sys.exit(130)
+    except BrokenPipeError:
+        # nothing more can be written, not even at exit
+        os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())
+        sys.exit(141)

@@ -7,6 +7,8 @@ must be one that driver and executors share.
 from __future__ import annotations
 
 import json
+import shutil
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from pathlib import Path
@@ -16,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterlake import schema
-from letterlake.operators import attribution, check as checking, places, search as searching, store as storing
+from letterlake.functions import mail
+from letterlake.functions.text import entry_hash
+from letterlake.operators import attribution, backup as backing, check as checking, places, reconcile, search as searching, store as storing
 from letterlake.plans.projection import Projection, behind
-from letterlake.sources import archive
+from letterlake.sources import archive, mailbox as servers
 
 MARKER, GENERATION = "FORMAT", 2
 _EMPTY_HEADS = "mailbox string, folder string, last_run string, resume string, log string"
@@ -66,6 +70,13 @@ class Archive:
             return self.spark.createDataFrame([], schema.of(_EMPTY_HEADS))
         return archive.heads(self.spark, str(self.root / "heads"))
 
+    def _write_head(self, h) -> None:
+        body = {"version": 1, "job": h.mailbox, "folder": h.folder, "last_run": h.last_run, "resume": json.loads(h.resume) if h.resume else None, "log": h.log}
+        path = self.root / "heads" / places.head_name(h.mailbox, h.folder)
+        tmp = path.with_name(f".{path.name}.tmp")
+        tmp.write_text(json.dumps(body, indent=2, sort_keys=True) + "\n")
+        tmp.replace(path)
+
     def record(self, observed: DataFrame, date: str | None = None) -> int:
         """Write log files for observations (mailbox, folder, store_id) and move the heads after them; returns the files."""
         if observed.where(F.trim(F.coalesce("folder", "mailbox", F.lit(""))) == "").limit(1).count():
@@ -77,11 +88,7 @@ class Archive:
         n = written.count()
         # one small file per place, after its log file is there
         for h in places.moved_heads(heads, written).toLocalIterator():
-            body = {"version": 1, "job": h.mailbox, "folder": h.folder, "last_run": h.last_run, "resume": json.loads(h.resume) if h.resume else None, "log": h.log}
-            path = self.root / "heads" / places.head_name(h.mailbox, h.folder)
-            tmp = path.with_name(f".{path.name}.tmp")
-            tmp.write_text(json.dumps(body, indent=2, sort_keys=True) + "\n")
-            tmp.replace(path)
+            self._write_head(h)
         written.unpersist()
         return n
 
@@ -122,8 +129,7 @@ class Archive:
         written = _written(places.log_files(whole), str(self.root / "meta"), "jsonl", 1).cache()
         new = {r.path for r in written.select("path").toLocalIterator()}
         for h in places.moved_heads(self.heads(), written).toLocalIterator():
-            body = {"version": 1, "job": h.mailbox, "folder": h.folder, "last_run": h.last_run, "resume": json.loads(h.resume) if h.resume else None, "log": h.log}
-            (self.root / "heads" / places.head_name(h.mailbox, h.folder)).write_text(json.dumps(body, indent=2, sort_keys=True) + "\n")
+            self._write_head(h)
         # nothing goes before every new file has been read back, whole, with all entries
         there, entries = archive.logs(self.spark, str(self.root / "meta"))
         sound = there.where("intact").join(written.select("hash"), "hash", "left_semi")
@@ -163,6 +169,83 @@ class Archive:
     def search(self, **given) -> DataFrame:
         return searching.search(self.projection.frames(), **given)
 
+    def _listing(self, mailbox: str, options: dict[str, str]) -> DataFrame:
+        """mailbox, folder, validity, ord and mid of a server's messages, read once; validities are asked before the listing."""
+        servers.register(self.spark)
+        server = servers.client(options)
+        folders = [(f, int(servers.patiently(lambda f=f: server.validity(f)))) for f in server.folders()]
+        told = self.spark.createDataFrame(folders, "of string, validity long")
+        listed = self.spark.read.format("mail_uid").options(**options).load().join(F.broadcast(told), F.col("folder") == F.col("of"))
+        mid = mail.message_id_key("message_id").alias("mid")
+        return checking._cut(listed.select(F.lit(mailbox).alias("mailbox"), "folder", "validity", F.col("msg_id").cast("long").alias("ord"), mid))
+
+    def _archived(self, mailbox: str) -> DataFrame:
+        """Copies of each Message-ID at the places of ``mailbox``."""
+        observed = self.log()[1].where(F.col("mailbox") == mailbox)
+        named = mail.with_headers(self.store().join(observed.select("store_id"), "store_id", "left_semi"))
+        return reconcile.archived_counts(observed, named.select("store_id", mail.message_id_key("email_id").alias("mid")))
+
+    def _fetch(self, wanted: DataFrame, options: dict[str, str]) -> tuple[DataFrame, Path]:
+        """Fetch messages into the store, in tasks; mailbox, folder, ord and store_id (null where that failed) wait below ``pending``."""
+        waiting = self.root / "pending" / uuid.uuid4().hex
+        _fetched(wanted.repartition("folder", "ord"), options, str(self.root / "mail")).write.parquet(str(waiting))
+        return self.spark.read.parquet(str(waiting)), waiting
+
+    def _seal(self, outcome: DataFrame, waiting: Path) -> None:
+        """Record fetched messages; they stay below ``pending`` until their log files and heads are there."""
+        self.record(outcome.where("store_id IS NOT NULL").select("mailbox", "folder", "store_id"))
+        shutil.rmtree(waiting)
+
+    def _seal_pending(self) -> None:
+        """Record what stopped runs have stored.  Unfinished batches have no success marker: their messages are fetched again."""
+        for waiting in (self.root / "pending").glob("*"):
+            if (waiting / "_SUCCESS").exists():
+                self._seal(self.spark.read.parquet(str(waiting)), waiting)
+            else:
+                shutil.rmtree(waiting)
+
+    def backup(self, mailbox: str, options: dict[str, str]) -> dict[str, int]:
+        """Fetch what is new on a server, record it, then move the resume points of the folders without failures."""
+        self._seal_pending()
+        listing = self._listing(mailbox, options)
+        heads = self.heads().where(F.col("mailbox") == mailbox)
+        scan = checking._cut(backing.scanned(listing, heads))
+        if scan.where(F.col("scan") == backing.LOST).isEmpty():
+            wanted = scan.where(F.col("scan") != backing.BELOW)
+        else:
+            wanted = backing.wanted(scan, self._archived(mailbox))
+        outcome, waiting = self._fetch(checking._cut(wanted), options)
+        counts = outcome.agg(F.count(F.lit(1)).alias("wanted"), F.count("store_id").alias("stored"), F.count_if(F.col("store_id").isNull()).alias("failed")).first().asDict()
+        moved = checking._cut(backing.advanced(listing, outcome))
+        self._seal(outcome, waiting)
+        # one small file per place, after its log
+        heads = checking._cut(self.heads().where(F.col("mailbox") == mailbox).drop("resume"))
+        for h in heads.join(moved, ["mailbox", "folder"]).toLocalIterator():
+            self._write_head(h)
+        return {"listed": listing.count(), **counts}
+
+    def verify(self, mailbox: str, options: dict[str, str], repair: bool = False) -> DataFrame:
+        """Per folder of a server: listed, missing and extra copies; or, after fetching those, what ``reconcile.repairs`` counts."""
+        self._seal_pending()
+        claimed = checking._cut(reconcile.claims(self._listing(mailbox, options), self._archived(mailbox)))
+        if not repair:
+            return reconcile.verdicts(claimed)
+        before = checking._cut(self.store(False).select("store_id"))
+        outcome, waiting = self._fetch(claimed.where(F.col("claim") != reconcile.TAKEN), options)
+        repaired = checking._cut(reconcile.repairs(claimed, outcome, before))
+        self._seal(outcome, waiting)
+        return repaired
+
+    def convert(self, compress: bool = True) -> dict[str, int]:
+        """Bring all stored messages into compressed or plain form; a file goes only when its other form has been read back."""
+        if not self._has("mail", "*.eml*"):
+            return {"converted": 0, "skipped": 0, "failed": 0}
+        raw = archive.files(self.spark, str(self.root / "mail")).withColumn("store_id", entry_hash(F.col("name"))).where("store_id IS NOT NULL")
+        raw = raw.withColumn("codec", F.when(F.endswith("name", F.lit(".zst")), "zstd").otherwise("none"))
+        done = _replaced(storing.converted(raw, compress), compress)
+        kinds = ("converted", "skipped", "failed")
+        return done.agg(*(F.count_if(F.col("outcome") == k).alias(k) for k in kinds)).first().asDict()
+
     def export(self, wanted: DataFrame, target: str) -> DataFrame:
         return storing.exported(self.store(), wanted, target)
 
@@ -175,26 +258,75 @@ class Archive:
         return counts
 
 
+def _put(path: str, content: bytes) -> None:
+    """Write a file by a temporary name; one that is there stays."""
+    import os
+
+    if os.path.exists(path):
+        return
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(tmp := f"{path}.{uuid.uuid4().hex}.tmp", "wb") as f:
+        f.write(content)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(tmp, path)
+
+
+def _fetched(wanted: DataFrame, options: dict[str, str], root: str) -> DataFrame:
+    """mailbox, folder, ord and store_id of wanted messages, each fetched and stored below ``root``; one connection a partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        server = None
+        for batch in batches:
+            ids = []
+            for r in batch.itertuples(index=False):
+                server = server or servers.client(options)
+                try:
+                    body = servers.patiently(lambda r=r: server.fetch(r.folder, str(r.ord)))
+                except (OSError, LookupError, servers.Busy):
+                    ids.append(None)
+                    continue
+                ids.append(hashlib.sha384(body).hexdigest())
+                _put("/".join([root, ids[-1][:2], ids[-1][2:4], f"{ids[-1]}.eml"]), body)
+            yield batch.assign(store_id=pd.Series(ids, batch.index, dtype=object))
+
+    return wanted.select("mailbox", "folder", "ord").mapInPandas(run, "mailbox string, folder string, ord long, store_id string")
+
+
+def _replaced(converted: DataFrame, compress: bool) -> DataFrame:
+    """Write converted contents (path, content, outcome) beside the old files, read them back, and delete those; outcome."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pathlib import Path as File
+
+        for batch in batches:
+            outcomes = []
+            for r in batch.itertuples(index=False):
+                outcomes.append(r.outcome)
+                if r.outcome == "converted":
+                    old = File(r.path.removeprefix("file:"))
+                    new = old.with_name(f"{old.name}.zst" if compress else old.name.removesuffix(".zst"))
+                    _put(str(new), r.content)
+                    if new.read_bytes() == r.content:
+                        old.unlink(missing_ok=True)
+                    else:
+                        outcomes[-1] = "failed"
+            yield pd.DataFrame({"outcome": outcomes})
+
+    return converted.select("path", "content", "outcome").mapInPandas(run, "outcome string")
+
+
 def _written(files: DataFrame, root: str, suffix: str, depth: int) -> DataFrame:
     """Write hash and content as files below ``root``, each by a temporary name; hash, mailbox, folder and path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import uuid
-
         for batch in batches:
             paths = []
             for r in batch.itertuples(index=False):
-                path = "/".join([root, *(r.hash[2 * k : 2 * k + 2] for k in range(depth)), f"{r.hash}.{suffix}"])
-                paths.append(path)
-                if os.path.exists(path):
-                    continue
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(tmp := f"{path}.{uuid.uuid4().hex}.tmp", "wb") as f:
-                    f.write(r.content)
-                    f.flush()
-                    os.fsync(f.fileno())
-                os.replace(tmp, path)
+                paths.append("/".join([root, *(r.hash[2 * k : 2 * k + 2] for k in range(depth)), f"{r.hash}.{suffix}"]))
+                _put(paths[-1], r.content)
             yield pd.DataFrame({"hash": batch["hash"], "mailbox": batch["mailbox"], "folder": batch["folder"], "path": paths})
 
     return files.select("hash", "mailbox", "folder", "content").mapInPandas(run, "hash string, mailbox string, folder string, path string")
