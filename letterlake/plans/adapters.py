@@ -48,3 +48,11 @@ def event_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each Message-ID that the archive has: of every event whose id is not a multiple of three."""
     return event_listing(spark, sf_dir).where("ord % 3 <> 0 AND mid <> ''").groupBy("mailbox", "folder", "mid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The listing with validities by type, and heads of its places but folder 3: points up to the events whose id is a multiple of seven."""
+    listing = event_listing(spark, sf_dir)
+    point = F.to_json(F.struct(F.lit("imap-uid").alias("kind"), F.lit(1).alias("uidvalidity"), F.max("ord").alias("uid")))
+    heads = listing.where("ord % 7 = 0 AND folder <> '3'").groupBy("mailbox", "folder").agg(point.alias("resume"), F.lit("log").alias("log"))
+    return listing.withColumn("validity", (1 + F.length("mailbox") % 2).cast("long")), heads

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterlake.functions import text
-from letterlake.operators import attribution, check, places, reconcile, search, store
+from letterlake.operators import attribution, backup, check, places, reconcile, search, store
 from letterlake.plans import adapters, projection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +200,17 @@ SELECT mailbox, folder, substr(store_id, 1, 2) AS mid, count(*) AS n FROM (SELEC
 query("uid_watermarks", lambda s, d: _li(s, d).groupBy("mailbox", "folder").agg(F.max("ord").alias("uid")), f"WITH {LISTING} SELECT mailbox, folder, max(ord) AS uid FROM listing GROUP BY ALL")
 query("incremental_scan", lambda s, d: _li(s, d).join(_li(s, d).where("ord % 7 = 0").groupBy("mailbox", "folder").agg(F.max("ord").alias("uid")), ["mailbox", "folder"], "left").where("uid IS NULL OR ord > uid").drop("uid"), f"""WITH {LISTING},
 w AS (SELECT mailbox, folder, max(ord) AS uid FROM listing WHERE ord % 7 = 0 GROUP BY ALL) SELECT l.* FROM listing l LEFT JOIN w USING (mailbox, folder) WHERE uid IS NULL OR ord > uid""")
+SCAN = f"""{LISTING},
+point AS (SELECT mailbox, folder, max(ord) AS uid FROM listing WHERE ord % 7 = 0 AND folder <> '3' GROUP BY ALL),
+scan AS (SELECT c.*, 1 + length(mailbox) % 2 AS validity, CASE WHEN uid IS NULL THEN 'FIRST' WHEN length(mailbox) % 2 = 1 THEN 'LOST' WHEN ord > uid THEN 'ABOVE' ELSE 'BELOW' END AS scan
+  FROM claimed c LEFT JOIN point USING (mailbox, folder)),
+wanted AS (SELECT * FROM scan WHERE scan IN ('FIRST', 'ABOVE') OR scan = 'LOST' AND claim <> 'TAKEN')"""
+_scan = lambda s, d: backup.scanned(*adapters.event_scan(s, d))
+query("backup_scan", _scan, f"WITH {SCAN} SELECT mailbox, folder, ord, mid, CAST(validity AS BIGINT) AS validity, scan FROM scan")
+query("backup_wanted", lambda s, d: backup.wanted(_scan(s, d), _ar(s, d)).select("mailbox", "folder", "ord", "mid", "scan"), f"WITH {SCAN} SELECT mailbox, folder, ord, mid, scan FROM wanted")
+query("backup_points", lambda s, d: backup.advanced(_scan(s, d), backup.wanted(_scan(s, d), _ar(s, d)).withColumn("store_id", F.when(F.col("ord") % 50 != 0, F.sha2("mid", 256)))), f"""WITH {SCAN}
+SELECT mailbox, folder, '{{"kind":"imap-uid","uidvalidity":' || max(validity) || ',"uid":' || max(ord) || '}}' AS resume FROM scan GROUP BY mailbox, folder
+HAVING (mailbox, folder) NOT IN (SELECT (mailbox, folder) FROM wanted WHERE ord % 50 = 0)""")
 query("unknown_jobs", lambda s, d: reconcile.guard(adapters.table(s, d, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name")), _heads(s, d), _ob(s, d)), f"WITH {STORE} SELECT 'src' || n_nationkey AS name FROM nation WHERE 'src' || n_nationkey NOT IN (SELECT mailbox FROM heads WHERE mailbox IS NOT NULL)")
 
 # --- lineitem as an old archive: orders' segments and flags apart ------------------------------
