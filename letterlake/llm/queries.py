@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import decontaminate, jaccard, langid, licenses, lines, mixing, pii, quality, secrets, urls
+from letterlake.llm import centroids, collocations, decontaminate, jaccard, langid, licenses, lines, mixing, pii, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -243,3 +243,57 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learned(docs.where(~langid.is_held_out(F.col("doc_id"))).select("text", "lang"))
     found = langid.predicted(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(langid.is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@registered
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+SQL["op11_collocations"] = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece),
+g AS (SELECT lang, m, w[i:i + m - 1] AS g, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m) GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE m > 1 AND f >= 100),
+inner_ AS (SELECT DISTINCT s.lang, s.g FROM c s JOIN (SELECT lang, f, g AS longer, m AS size, unnest(range(2, m)) AS k FROM c) b
+  ON s.lang = b.lang AND s.m = b.k AND 100 * b.f >= 100 * s.f AND len(list_filter(range(1, b.size - b.k + 2), lambda j: b.longer[j:j + b.k - 1] = s.g)) > 0),
+cut AS (SELECT c.lang, c.g, c.f AS a, k, p.f AS l, q.f AS r, CAST(1000 AS HUGEINT) * c.f * n // (CAST(p.f AS HUGEINT) * q.f) AS score, n
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN total USING (lang)
+  JOIN g p ON p.lang = c.lang AND p.g = c.g[1:c.k] JOIN g q ON q.lang = c.lang AND q.g = c.g[c.k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+kept AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM best ANTI JOIN inner_ USING (lang, g))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@registered
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every embedding."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _sql_clusters(k: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS, width: int = centroids.COMPONENTS) -> str:
+    parts = []
+    for n in range(rounds + 1):
+        parts.append(f"""
+a{n} AS MATERIALIZED (SELECT r, c, d FROM (SELECT x.r, c, CAST(list_sum(list_transform(list_zip(x.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x, m{n} m)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if n < rounds:
+            parts.append(f"""
+s{n} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, {width + 1})) AS i FROM a{n} JOIN x USING (r)) GROUP BY c, i),
+m{n + 1} AS MATERIALIZED (SELECT c, coalesce(n.v, m.v) AS v FROM m{n} m LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{n} GROUP BY c) n USING (c))""")
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor({centroids.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM x QUALIFY c < {k}),
+{",".join(parts)},
+t AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, cluster_inertia, CAST((SELECT sum(d) FROM a{rounds}) AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN x USING (r) JOIN t USING (c) JOIN m{rounds} m USING (c)
+"""
+
+
+SQL["op12_centroid_clusters"] = _sql_clusters()
