@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterlake.llm import centroids, collocations, decontaminate, jaccard, langid, licenses, lines, mixing, pii, quality, secrets, urls
+from letterlake.llm import centroids, collocations, decontaminate, jaccard, langid, licenses, lines, mixing, passages, pii, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -297,3 +297,23 @@ FROM a{rounds} JOIN x USING (r) JOIN t USING (c) JOIN m{rounds} m USING (c)
 
 
 SQL["op12_centroid_clusters"] = _sql_clusters()
+
+
+@registered
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps of its words when passages of smaller documents go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = passages.deduplicated(docs, keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op13_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+home AS (SELECT k, min(doc_id) AS home FROM win GROUP BY k),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM win JOIN home USING (k) WHERE doc_id > home),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS t FROM word ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
