@@ -1,20 +1,19 @@
-"""The attribution query against a plain version of the elimination, over items of every line number."""
+"""Attribution against a plain version of the sequential elimination."""
 
 import random
 
+import pytest
+
 from letterlake.operators import attribution, check
 from letterlake.queries import QUERIES
 
 
-def brute_owners(items):
-    """Owners of each folder, message by message in order of its id, over all items."""
-    mailboxes, folders, owners = {}, {}, {"f0": {"mb0"}}
-    for order, line, supplier in items:
-        mailboxes.setdefault(order, set()).add(f"mb{supplier % 6}")
-        folders.setdefault(order, set()).add(f"f{supplier % 6}" + ("x" if line == 2 else ""))
+def brute_owners(mailboxes, folders, owners):
+    """Owners of each folder, message by message in order of its id; dictionaries of sets by message, and known owners."""
+    owners = {f: set(own) for f, own in owners.items()}
     for m, boxes in mailboxes.items():
         if len(boxes) == 1:
-            for f in folders[m]:
+            for f in folders.get(m, ()):
                 owners.setdefault(f, set()).update(boxes)
     learnt = True
     while learnt:
@@ -22,7 +21,7 @@ def brute_owners(items):
         for m in sorted(mailboxes):
             if len(mailboxes[m]) < 2:
                 continue
-            fits = {f: owners.get(f, set()) & mailboxes[m] for f in folders[m]}
+            fits = {f: owners.get(f, set()) & mailboxes[m] for f in folders.get(m, ())}
             missing = mailboxes[m].difference(*(own for own in fits.values() if len(own) == 1))
             orphans = [f for f, own in fits.items() if not own]
             if len(missing) == 1 and len(orphans) == 1:
@@ -31,6 +30,26 @@ def brute_owners(items):
     return {(f, m) for f, own in owners.items() for m in own}
 
 
+def frames(spark, mailboxes, folders, owners):
+    return (
+        spark.createDataFrame([(m, b) for m, own in mailboxes.items() for b in own], "message_id long, mailbox string"),
+        spark.createDataFrame([(m, f) for m, own in folders.items() for f in own], "message_id long, folder string"),
+        spark.createDataFrame([(f, b) for f, own in owners.items() for b in own], "folder string, mailbox string"),
+    )
+
+
+def found(spark, case, per_task):
+    return {tuple(r) for r in attribution.owners(*frames(spark, *case), check._cut, per_task=per_task).select("folder", "mailbox").collect()}
+
+
+def items_of(items):
+    mailboxes, folders = {}, {}
+    for order, line, supplier in items:
+        mailboxes.setdefault(order, set()).add(f"mb{supplier % 6}")
+        folders.setdefault(order, set()).add(f"f{supplier % 6}" + ("x" if line == 2 else ""))
+    return mailboxes, folders, {"f0": {"mb0"}}
+
+
 def owners_of(spark, root, items):
     spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{root}/lineitem.parquet")
     return {tuple(r) for r in QUERIES["attribution_owners"](spark, str(root)).select("folder", "mailbox").collect()}
@@ -40,29 +59,62 @@ def test_owners_of_items_beyond_the_second(spark, tmp_path):
     # only the third line names f3, and only lines three and four let f4 be eliminated
     items = [(1, 3, 3), (2, 3, 3), (2, 4, 4), (3, 1, 1), (3, 2, 1)]
     got = owners_of(spark, tmp_path, items)
-    assert got == brute_owners(items) and {("f3", "mb3"), ("f4", "mb4")} <= got
+    assert got == brute_owners(*items_of(items)) and {("f3", "mb3"), ("f4", "mb4")} <= got
 
 
-def test_owners_against_plain_elimination(spark, tmp_path):
-    for seed in range(4):
-        rng = random.Random(seed)
-        items = [(k, n, rng.randrange(1, 13)) for k in range(rng.randint(5, 12)) for n in rng.sample(range(1, 8), rng.randint(2, 4))]
-        assert owners_of(spark, tmp_path / str(seed), items) == brute_owners(items), seed
+def test_query_on_the_given_tables(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    items = duckdb.sql(f"SELECT l_orderkey, l_linenumber, l_suppkey FROM '{sf}/lineitem.parquet'").fetchall()
+    got = {tuple(r) for r in QUERIES["attribution_owners"](spark, sf).select("folder", "mailbox").collect()}
+    assert got == brute_owners(*items_of(items))
+
+
+def random_case(rng, name, first):
+    boxes, texts = [f"{name}:{b}" for b in "ABC"[: rng.randint(2, 3)]], [f"{name}:f{k}" for k in range(rng.randint(3, 6))]
+    mailboxes, folders = {}, {}
+    for m in range(first, first + rng.randint(2, 9)):
+        mailboxes[m] = set(rng.sample(boxes, min(len(boxes), rng.choice([1, 2, 2, 2, 3]))))
+        folders[m] = set(rng.sample(texts, rng.randint(1, 3)))
+    return mailboxes, folders, {f: {rng.choice(boxes)} for f in texts if rng.random() < 0.35}
+
+
+@pytest.mark.parametrize("per_task", [3, 50_000])
+def test_twenty_thousand_random_cases_whatever_the_task_size(spark, per_task):
+    # independent cases side by side: their names differ, so they never touch
+    rng = random.Random(5)
+    parts = [random_case(rng, f"c{k}", k * 10) for k in range(20_000)]
+    case = tuple({k: v for p in parts for k, v in p[n].items()} for n in range(3))
+    assert found(spark, case, per_task) == set().union(*(brute_owners(*p) for p in parts))
+
+
+def test_the_order_of_two_messages_decides(spark):
+    for first, second, owner in ((("f0", "f1"), ("f3", "f1"), "A"), (("f3", "f1"), ("f0", "f1"), "B")):
+        case = {1: {"A", "B"}, 2: {"A", "B"}}, {1: set(first), 2: set(second)}, {"f0": {"B"}, "f3": {"A"}}
+        for per_task in (1, 10):
+            got = found(spark, case, per_task)
+            assert got == brute_owners(*case) and {m for f, m in got if f == "f1"} == {owner}
+
+
+def chain(n, names=lambda k: k):
+    """Every message places its next folder only once the one before has placed its own."""
+    return {names(k): {f"m{k}", f"m{k + 1}"} for k in range(n)}, {names(k): {f"f{k}", f"f{k + 1}"} for k in range(n)}, {"f0": {"m0"}}
 
 
 def test_a_long_chain_of_shared_folders(spark):
-    # every message places its next folder only once the one before has placed its own
-    n = 200
-    mailbox = [(k, f"m{j}") for k in range(n) for j in (k, k + 1)]
-    folder = [(k, f"f{j}") for k in range(n) for j in (k, k + 1)]
-    frames = spark.createDataFrame(mailbox, "message_id long, mailbox string"), spark.createDataFrame(folder, "message_id long, folder string"), spark.createDataFrame([("f0", "m0")], "folder string, mailbox string")
-    expected = {(f"f{k}", f"m{k}") for k in range(n + 1)}
-    assert {tuple(r) for r in attribution.owners(*frames, check._cut).collect()} == expected
-
-
-def test_parts_learn_from_each_other(spark):
-    n = 6
-    mailbox = [(k, f"m{j}") for k in range(n) for j in (k, k + 1)]
-    folder = [(k, f"f{j}") for k in range(n) for j in (k, k + 1)]
-    frames = spark.createDataFrame(mailbox, "message_id long, mailbox string"), spark.createDataFrame(folder, "message_id long, folder string"), spark.createDataFrame([("f0", "m0")], "folder string, mailbox string")
-    assert {tuple(r) for r in attribution.owners(*frames, check._cut, per_task=2).collect()} == {(f"f{k}", f"m{k}") for k in range(n + 1)}
+    expected = {(f"f{k}", f"m{k}") for k in range(201)}
+    assert found(spark, chain(200), 50_000) == expected
+    assert found(spark, chain(200), 90) == expected
+
+
+def test_a_chain_against_the_order_of_ids(spark):
+    # each pass learns one folder, and the component is larger than a task
+    assert found(spark, chain(6, lambda k: 100 - k), 3) == {(f"f{k}", f"m{k}") for k in range(7)}
+
+
+def test_nulls_repeats_and_nothing(spark):
+    case = {1: {"A", "B"}, 2: {None}}, {1: {"f0", "f1", None}, 2: {"f2"}}, {"f0": {"A"}}
+    assert {("f1", "B"), ("f0", "A")} <= found(spark, case, 10)
+    empty = spark.createDataFrame([], "message_id long, mailbox string"), spark.createDataFrame([], "message_id long, folder string"), spark.createDataFrame([], "folder string, mailbox string")
+    assert attribution.owners(*empty, check._cut).count() == 0
