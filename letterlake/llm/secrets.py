@@ -1,19 +1,24 @@
 """Secret scans: known forms, and a battery of randomness tests.  DataFrame functions only.
 
 A token is a run of at least ``LEAST`` characters that encodings use.  Its encoding is inferred
-from its characters (hexadecimal, upper- or lower-case letters and digits, or base 64), and three
-tests ask whether it looks drawn at random from that alphabet: chi-squared uniformity of its
-characters, the number of runs of low and high symbols, and the correlation of neighbours.
+from its characters (hexadecimal, upper- or lower-case letters and digits, or base 64; hyphens
+that only group hexadecimal digits, as in UUIDs, are left out).  The battery asks whether it looks
+drawn at random from that alphabet: chi-squared uniformity of its characters and of their classes
+(capitals, small letters, digits), runs of low and high symbols and of classes, and the
+correlation of neighbours.
 
 Ordinary tokens pass such tests by chance, the shorter the more often, so each token that passes
-has a p-value: how probable it is that ordinary text of that encoding and length looks as random.
-Ordinary text is the prose of the documents with tokens, without its tokens and blanks, in the
-encoding's case and without characters that the encoding lacks: each token has ``DECOYS`` decoys of
-its own length from it.  Their scores (the sum of the three deviations, about normal) give mean and
-spread for each encoding and length class, drawn towards those of all lengths where decoys are few.
+has a p-value: how probable it is that an ordinary token of that encoding, length and number of
+digits looks as random.  Ordinary tokens are made of the prose of the documents with tokens: words
+run together, each with a capital where the encoding has both cases, and the token's own digits
+as a number at the end; each token has ``DECOYS`` such decoys.  A score adds up how uneven the
+characters and classes are and how rarely classes alternate, which is what sets words and numbers
+apart from random characters.  The decoys' scores give mean and spread for each encoding and length
+class, drawn towards those of all lengths where decoys are few.  A p-value is the rank of a score
+among the decoys, or the normal tail of these moments if that is smaller.
 For hexadecimal digits the p-value also has the chance that so many characters of prose are all
 digits.  Discoveries are then controlled per encoding and length class by Benjamini and Hochberg's
-step at ``FALSE_SHARE``, so a long key counts alone among thousands of names, a short one does not.
+step at ``FALSE_SHARE``, so a long key counts among thousands of names, a short one only alone.
 
 What is gathered from the corpus is one histogram of scores per encoding and length class.
 """
@@ -21,6 +26,7 @@ What is gathered from the corpus is one histogram of scores per encoding and len
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +40,13 @@ TOKEN = r"[A-Za-z0-9+/_-]{%d,}+={0,2}" % LEAST
 #: Share of false discoveries that a class may have.
 FALSE_SHARE = 0.05
 #: Decoys of each token.
-DECOYS = 4
+DECOYS = 12
 #: Decoys that the moments of all lengths weigh in a class, and those assumed where an encoding has none.
 PRIOR, ASSUMED_MEAN, ASSUMED_VARIANCE = 20, 8.0, 4.0
-#: Standard deviations within which a test passes: uniformity (one-sided), runs, correlation.
-LIMITS = (2.33, 2.58, 2.58)
+#: Standard deviations within which a test passes: uniformity (one-sided), runs, correlation, classes (one-sided), their runs.
+LIMITS = (3.0, 3.3, 3.3, 3.0, 3.3)
+#: What unevenness and few runs of classes weigh in a score, against unevenness of characters.
+OF_CLASSES = 1.5
 #: Steps per unit of the score's histogram, and its last step.
 GRAIN, LAST = 8, 800
 
@@ -61,9 +69,14 @@ ALPHABETS = {
 }
 
 
+#: Last symbols of the first and second class of each alphabet (by its size).
+CLASSES = {16: (10, 16), 36: (10, 36), 64: (26, 52)}
+
+
 def plain(token: Column) -> Column:
-    """Without padding, and with the url-safe letters of base 64 as the usual ones."""
-    return F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
+    """Without padding and without hyphens that group hexadecimal digits, and with the url-safe letters of base 64 as the usual ones."""
+    bare = F.rtrim(token, F.lit("="))
+    return F.when(token.rlike("^([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$"), F.translate(bare, "-", "")).otherwise(F.translate(bare, "-_", "+/"))
 
 
 def encoding(token: Column) -> Column:
@@ -91,22 +104,49 @@ def _tests(t: Column, a: Column) -> Column:
     # Wilson and Hilferty: the cube root is close to normal
     uniform = (F.cbrt(F.greatest(chi, F.lit(0.0)) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
 
+    def by_size(value: Callable[[int], float]) -> Column:
+        out = F.lit(float(value(64)))
+        for size in (16, 36):
+            out = F.when(k == size, float(value(size))).otherwise(out)
+        return out
+
+    first, second = by_size(lambda size: CLASSES[size][0]), by_size(lambda size: CLASSES[size][1])
+    class_of = lambda v: F.when(v <= first, 0).when(v <= second, 1).otherwise(2)
+
     def of_symbols(x: Column) -> Column:
-        high = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.when(v > k / 2, 1.0).otherwise(0.0))
-        total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-        square = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
+        sums = F.aggregate(
+            x,
+            F.struct(*(F.lit(0.0).alias(name) for name in "hsqab")),
+            lambda s, v: F.struct((s["h"] + F.when(v > k / 2, 1.0).otherwise(0.0)).alias("h"), (s["s"] + v).alias("s"), (s["q"] + v * v).alias("q"), (s["a"] + F.when(v <= first, 1.0).otherwise(0.0)).alias("a"), (s["b"] + F.when((v > first) & (v <= second), 1.0).otherwise(0.0)).alias("b")),
+        )
         pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-        both = F.aggregate(pairs, F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("c")), lambda s, v: F.struct((s["r"] + F.when((v["p"] > k / 2) != (v["q"] > k / 2), 1.0).otherwise(0.0)).alias("r"), (s["c"] + v["p"] * v["q"]).alias("c")))
-        return bound(F.struct(high.alias("h"), total.alias("s"), square.alias("q"), both.alias("b"), uniform.alias("u")), of_sums)
+        both = F.aggregate(
+            pairs,
+            F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("c"), F.lit(0.0).alias("d")),
+            lambda s, v: F.struct((s["r"] + F.when((v["p"] > k / 2) != (v["q"] > k / 2), 1.0).otherwise(0.0)).alias("r"), (s["c"] + v["p"] * v["q"]).alias("c"), (s["d"] + F.when(class_of(v["p"]) != class_of(v["q"]), 1.0).otherwise(0.0)).alias("d")),
+        )
+        return bound(F.struct(sums.alias("x"), both.alias("b"), uniform.alias("u")), of_sums)
 
     def of_sums(v: Column) -> Column:
-        one = 2 * v["h"] * (n - v["h"])
+        x = v["x"]
+        one = 2 * x["h"] * (n - x["h"])
         runs = F.when(one > n, (v["b"]["r"] - one / n) / F.sqrt(one * (one - n) / (n * n * (n - 1))))
-        spread = v["q"] - v["s"] * v["s"] / n
-        tied = F.when(spread > 0, (v["b"]["c"] - v["s"] * v["s"] / n) / spread * F.sqrt(n))
+        spread = x["q"] - x["s"] * x["s"] / n
+        tied = F.when(spread > 0, (v["b"]["c"] - x["s"] * x["s"] / n) / spread * F.sqrt(n))
+        shares = lambda size: [w / size for w in (CLASSES[size][0], CLASSES[size][1] - CLASSES[size][0], size - CLASSES[size][1])]
+        uneven, kinds = F.lit(0.0), by_size(lambda size: sum(w > 0 for w in shares(size)) - 1)
+        for j, count in enumerate((x["a"], x["b"], n - x["a"] - x["b"])):
+            expected = n * by_size(lambda size, j=j: shares(size)[j])
+            uneven = uneven + F.when(expected > 0, (count - expected) * (count - expected) / expected).otherwise(0.0)
+        classes = (F.cbrt(uneven / kinds) - (1 - 2 / (9 * kinds))) / F.sqrt(2 / (9 * kinds))
+        # neighbours of different classes: their mean and variance in independent draws
+        differ = by_size(lambda size: 1 - sum(w * w for w in shares(size)))
+        together = by_size(lambda size: sum(w * (1 - w) ** 2 for w in shares(size)) - (1 - sum(w * w for w in shares(size))) ** 2)
+        turns = (v["b"]["d"] - (n - 1) * differ) / F.sqrt((n - 1) * differ * (1 - differ) + 2 * (n - 2) * together)
         # too few kinds of symbols for a test: not random
-        ok = F.coalesce((v["u"] <= LIMITS[0]) & (F.abs(runs) <= LIMITS[1]) & (F.abs(tied) <= LIMITS[2]), F.lit(False))
-        return F.struct(ok.alias("ok"), (v["u"] + F.abs(runs) + F.abs(tied)).alias("score"))
+        ok = (v["u"] <= LIMITS[0]) & (F.abs(runs) <= LIMITS[1]) & (F.abs(tied) <= LIMITS[2]) & (classes <= LIMITS[3]) & (F.abs(turns) <= LIMITS[4])
+        score = v["u"] + OF_CLASSES * (F.greatest(classes, F.lit(0.0)) + F.greatest(-turns, F.lit(0.0)))
+        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), score.alias("score"))
 
     fits = (n >= LEAST) & (F.translate(t, ALPHABETS["base64"], "") == "")
     none = F.struct(F.lit(False).alias("ok"), F.lit(None).cast("double").alias("score"))
@@ -133,8 +173,9 @@ def token_class(token: Column) -> Column:
 
 
 def step(score: Column) -> Column:
-    """The histogram step of a score; null has the last one."""
-    return F.coalesce(F.least(F.greatest(F.ceil(score * GRAIN), F.lit(-LAST)), F.lit(LAST)), F.lit(LAST)).cast("int")
+    """The histogram step of a score; null, where no test could be made, has the last one."""
+    # least and greatest pass over nulls, so these are told apart first
+    return F.when(score.isNull() | F.isnan(score), LAST).otherwise(F.least(F.greatest(F.ceil(score * GRAIN), F.lit(-LAST)), F.lit(LAST))).cast("int")
 
 
 def tokens_of(body: Column) -> Column:
@@ -147,10 +188,11 @@ def histogram(docs: DataFrame, text: str = "text") -> DataFrame:
     where ok marks those that are hexadecimal digits."""
     body = F.coalesce(F.col(text), F.lit(""))
     some = docs.select(body.alias("body"), F.filter(tokens_of(body), is_mixed).alias("tokens")).where(F.size("tokens") > 0)
-    prose = F.regexp_replace(F.regexp_replace("body", TOKEN, ""), "[^A-Za-z0-9]+", "")
+    # words run together, each with a capital; the decoys' digits come from their tokens
+    prose = F.regexp_replace(F.initcap(F.regexp_replace(F.regexp_replace("body", TOKEN, ""), "[^A-Za-z]+", " ")), " ", "")
     some = some.select("tokens", prose.alias("prose"))
     # bytes, because a place in a text is found by counting from its beginning
-    folded = {"base64": F.col("prose"), "alnum": F.lower("prose"), "ALNUM": F.upper("prose"), "hex": F.regexp_replace(F.lower("prose"), "[^0-9a-f]+", ""), "HEX": F.regexp_replace(F.upper("prose"), "[^0-9A-F]+", "")}
+    folded = {"base64": F.col("prose"), "alnum": F.lower("prose"), "ALNUM": F.upper("prose"), "hex": F.regexp_replace(F.lower("prose"), "[^a-f]+", ""), "HEX": F.regexp_replace(F.upper("prose"), "[^A-F]+", "")}
     some = some.select("tokens", *(F.encode(folded[k], "UTF-8").alias(f"as_{i}") for i, k in enumerate(ALPHABETS)))
 
     def prose_in(name: str) -> Column:
@@ -167,12 +209,12 @@ def histogram(docs: DataFrame, text: str = "text") -> DataFrame:
             def decoy(k: Column) -> Column:
                 out = F.lit(None).cast("string")
                 for name in ALPHABETS:
-                    out = F.when(v["e"] == name, piece(name, v["n"], i * DECOYS + k)).otherwise(out)
-                return out
+                    out = F.when(v["e"] == name, piece(name, v["n"] - F.length(v["d"]), i * DECOYS + k)).otherwise(out)
+                return F.concat(out, v["d"])
 
             return F.struct(v["e"].alias("e"), v["c"].alias("c"), F.concat(F.array(t), F.transform(F.sequence(F.lit(0), F.lit(DECOYS - 1)), decoy)).alias("all"))
 
-        return bound(F.struct(encoding(t).alias("e"), token_class(t).alias("c"), F.length(plain(t)).alias("n")), of)
+        return bound(F.struct(encoding(t).alias("e"), token_class(t).alias("c"), F.length(plain(t)).alias("n"), F.regexp_replace(t, "[^0-9]+", "").alias("d")), of)
 
     each = some.select(F.explode(F.transform("tokens", with_decoys)).alias("x")).select("x.e", "x.c", F.posexplode("x.all").alias("nth", "s")).where("s IS NOT NULL")
     each = each.select("c", (F.col("nth") > 0).alias("decoy"), battery(F.col("s"), F.col("e")).alias("b"))
@@ -206,10 +248,13 @@ def accepted(rows: list[tuple[str, bool, bool, int, int]], false_share: float =
         middle, variance = _moments(decoys.get(c, []), *whole)
         chance = fitting ** (2 ** (int(size) / 4)) if name.lower() == "hex" else 1.0
         total = sum(r[4] for r in rows if r[0] == c and not r[1])
+        own = sorted(decoys.get(c, []))
         found = 0
         for s, n in sorted((r[3], r[4]) for r in rows if r[0] == c and not r[1] and r[2]):
             found += n
-            p = chance * math.erfc((middle - s / GRAIN) / math.sqrt(2 * variance)) / 2
+            # by rank among the decoys, or, as no rank says how rare a score beyond them is, by their moments
+            rank = (1 + sum(m for t, m in own if t <= s)) / (1 + sum(m for _, m in own))
+            p = chance * min(rank, math.erfc((middle - s / GRAIN) / math.sqrt(2 * variance)) / 2)
             if p * total <= false_share * found:
                 out[c] = s
     return out
