@@ -296,10 +296,9 @@ def learned(labelled: DataFrame, text: str = "text", lang: str = "lang", names:
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = [r[0] for r in found]
-    bound = F.lit(False)
-    for name, n in found:
-        bound = F.when(F.col("lang") == name, F.lit(True) if n <= most_docs else F.shiftrightunsigned(F.xxhash64("text"), 2) < STEPS * most_docs // n).otherwise(bound)
-    docs = docs.where(bound)
+    # the digests of each language up to its bound, as a table of at most MOST_LANGUAGES rows
+    bounds = docs.sparkSession.createDataFrame([(name, None if n <= most_docs else STEPS * most_docs // n) for name, n in found], "lang string, below long")
+    docs = docs.join(F.broadcast(bounds), "lang").where(F.col("below").isNull() | (F.shiftrightunsigned(F.xxhash64("text"), 2) < F.col("below"))).select("text", "lang")
     words = docs.mapInArrow(_counted_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialise(words, "langid-words")
     vocabulary = Vocabulary(pieces() if names is None else names)
