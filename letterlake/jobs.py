@@ -6,6 +6,7 @@ must be one that driver and executors share.
 
 from __future__ import annotations
 
+import functools
 import json
 import shutil
 import uuid
@@ -169,15 +170,23 @@ class Archive:
     def search(self, **given) -> DataFrame:
         return searching.search(self.projection.frames(), **given)
 
-    def _listing(self, mailbox: str, options: dict[str, str]) -> DataFrame:
-        """mailbox, folder, validity, ord and mid of a server's messages, read once; validities are asked before the listing."""
+    def _listing(self, mailbox: str, options: dict[str, str], points: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+        """mailbox, folder, validity, ord and mid of a server's messages, read once; validities are asked before the listing.
+
+        Of folders with a point (validity, uid) that the server still honours only later messages are asked for.
+        """
         servers.register(self.spark)
         server = servers.client(options)
-        folders = [(f, int(servers.patiently(lambda f=f: server.validity(f)))) for f in server.folders()]
-        told = self.spark.createDataFrame(folders, "of string, validity long")
-        listed = self.spark.read.format("mail_uid").options(**options).load().join(F.broadcast(told), F.col("folder") == F.col("of"))
+        asked = servers.budget(server, options)
+        folders = {f: int(asked.ask(lambda f=f: server.validity(f))) for f in asked.ask(server.folders)}
+        told = self.spark.createDataFrame(list(folders.items()), "of string, validity long")
+        after = {f: uid for f, (validity, uid) in (points or {}).items() if folders.get(f) == validity}
+        parts = [servers.loaded(self.spark, options, [f], uid) for f, uid in sorted(after.items())]
+        rest = [f for f in folders if f not in after]
+        parts += [servers.loaded(self.spark, options, rest)] if rest or not parts else []
+        listed = functools.reduce(DataFrame.unionByName, parts).join(F.broadcast(told), F.col("folder") == F.col("of"))
         mid = mail.message_id_key("message_id").alias("mid")
-        return checking._cut(listed.select(F.lit(mailbox).alias("mailbox"), "folder", "validity", F.col("msg_id").cast("long").alias("ord"), mid))
+        return checking._cut(listed.select(F.lit(mailbox).alias("mailbox"), "folder", "validity", "ord", mid))
 
     def _archived(self, mailbox: str) -> DataFrame:
         """Copies of each Message-ID at the places of ``mailbox``."""
@@ -207,8 +216,10 @@ class Archive:
     def backup(self, mailbox: str, options: dict[str, str]) -> dict[str, int]:
         """Fetch what is new on a server, record it, then move the resume points of the folders without failures."""
         self._seal_pending()
-        listing = self._listing(mailbox, options)
         heads = self.heads().where(F.col("mailbox") == mailbox)
+        # one small row per folder
+        points = {r.folder: (r.uidvalidity, r.uid) for r in backing.points(heads).toLocalIterator()}
+        listing = self._listing(mailbox, options, points)
         scan = checking._cut(backing.scanned(listing, heads))
         if scan.where(F.col("scan") == backing.LOST).isEmpty():
             wanted = scan.where(F.col("scan") != backing.BELOW)
@@ -278,14 +289,16 @@ def _fetched(wanted: DataFrame, options: dict[str, str], root: str) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        server = None
+        server = asked = None
         for batch in batches:
             ids = []
             for r in batch.itertuples(index=False):
-                server = server or servers.client(options)
+                if server is None:
+                    server = servers.client(options)
+                    asked = servers.budget(server, options)
                 try:
-                    body = servers.patiently(lambda r=r: server.fetch(r.folder, str(r.ord)))
-                except (OSError, LookupError, servers.Busy):
+                    body = asked.ask(lambda r=r: server.fetch(r.folder, str(r.ord)))
+                except (OSError, LookupError, servers.Busy, servers.Refused):
                     ids.append(None)
                     continue
                 ids.append(hashlib.sha384(body).hexdigest())

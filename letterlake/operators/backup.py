@@ -24,6 +24,13 @@ def _same_place(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return out.drop("__m", "__f")
 
 
+def points(heads: DataFrame) -> DataFrame:
+    """folder, uidvalidity and uid of the heads with a resume point that names both."""
+    point = F.from_json("resume", _POINT)
+    usable = (point["kind"] == "imap-uid") & point["uid"].isNotNull() & point["uidvalidity"].isNotNull()
+    return heads.where(usable & F.col("folder").isNotNull()).select("folder", point["uidvalidity"].alias("uidvalidity"), point["uid"].alias("uid"))
+
+
 def scanned(listing: DataFrame, heads: DataFrame) -> DataFrame:
     """``listing`` (mailbox, folder, validity, ord, mid, ...) with ``scan``.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,44 @@ def event_scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     point = F.to_json(F.struct(F.lit("imap-uid").alias("kind"), F.lit(1).alias("uidvalidity"), F.max("ord").alias("uid")))
     heads = listing.where("ord % 7 = 0 AND folder <> '3'").groupBy("mailbox", "folder").agg(point.alias("resume"), F.lit("log").alias("log"))
     return listing.withColumn("validity", (1 + F.length("mailbox") % 2).cast("long")), heads
+
+
+class EventServer:
+    """The events as a mail server: types are folders, ``event_id + 1`` is the uid, properties are the contents."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"]
+
+    def folders(self) -> list[str]:
+        return sorted({kind for kind, _ in _tops(self.path)})
+
+    def validity(self, folder: str) -> int:
+        return 1
+
+    def top(self, folder: str) -> int:
+        return max((uid for kind, uid in _tops(self.path) if kind == folder), default=0)
+
+    def _between(self, folder: str, low: int, high: int, columns: list[str]) -> list[dict]:
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        asked = (pc.field("event_type") == folder) & (pc.field("event_id") >= low - 1) & (pc.field("event_id") < high)
+        return pq.read_table(self.path, columns=["event_id", *columns], filters=asked).to_pylist()
+
+    def listing(self, folder: str, low: int, high: int) -> list[tuple[int, str, str]]:
+        rows = self._between(folder, low, high, ["user_id", "ts", "props"])
+        # what a task is about to fetch comes with the page
+        self.page = {r["event_id"] + 1: (r["props"] or "").encode() for r in rows}
+        return [(r["event_id"] + 1, f"<{r['event_id']}@{r['user_id']}>", str(r["ts"])) for r in rows]
+
+    def fetch(self, folder: str, msg_id: str) -> bytes:
+        return self.page[int(msg_id)]
+
+
+@functools.lru_cache(8)
+def _tops(path: str) -> tuple[tuple[str, int], ...]:
+    """Folders and their highest uids."""
+    import pyarrow.parquet as pq
+
+    found = pq.read_table(path, columns=["event_type", "event_id"]).group_by("event_type").aggregate([("event_id", "max")]).to_pylist()
+    return tuple((r["event_type"], r["event_id_max"] + 1) for r in found if r["event_type"] is not None)

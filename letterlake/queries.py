@@ -310,3 +310,38 @@ query("attribution_owners", lambda s, d: attribution.owners(*_legacy(s, d), chec
 
 def _legacy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("message_id"), F.col("o_orderkey").cast("string").alias("store_id"))
+
+
+# --- events as a mail server -------------------------------------------------------------------
+
+
+def _server(sf_dir: str) -> dict[str, str]:
+    return {"client": "letterlake.plans.adapters:EventServer", "path": f"{sf_dir}/events.parquet"}
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from letterlake.sources import mailbox
+
+    mailbox.register(spark)
+    found = spark.read.format("mail_uid").options(**_server(sf_dir)).load()
+    return found.where(F.col("folder").isin("click", "view") & (F.col("ord") > 2_000)).select("folder", "ord", "message_id")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages of all folders by a stream that stops when it has them, into a table in the shared folder."""
+    import uuid
+
+    from letterlake.sources import mailbox
+
+    mailbox.register(spark)
+    check._cut(spark.range(1))
+    root = f"{spark.sparkContext.getCheckpointDir()}/streamed-{uuid.uuid4().hex}"
+    messages = spark.readStream.format("mail_uid").options(**_server(sf_dir)).load()
+    messages.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(messages.schema).parquet(f"{root}/table")
+    return got.groupBy("folder").agg(F.count(F.lit(1)).alias("messages"), F.max("ord").alias("top"), F.sum(F.length("content")).cast("long").alias("bytes"), F.count_distinct("message_id").alias("ids"))
+
+
+query("mailbox_listing", _listed, """SELECT event_type AS folder, event_id + 1 AS ord, '<' || event_id || '@' || user_id || '>' AS message_id FROM events WHERE event_type IN ('click', 'view') AND event_id + 1 > 2000""")
+query("mailbox_stream", _streamed, """SELECT event_type AS folder, count(*) AS messages, max(event_id) + 1 AS top, CAST(sum(strlen(coalesce(props, ''))) AS BIGINT) AS bytes, count(DISTINCT '<' || event_id || '@' || user_id || '>') AS ids
+FROM events WHERE event_type IS NOT NULL GROUP BY event_type""")
