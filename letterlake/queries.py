@@ -345,3 +345,70 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("mailbox_listing", _listed, """SELECT event_type AS folder, event_id + 1 AS ord, '<' || event_id || '@' || user_id || '>' AS message_id FROM events WHERE event_type IN ('click', 'view') AND event_id + 1 > 2000""")
 query("mailbox_stream", _streamed, """SELECT event_type AS folder, count(*) AS messages, max(event_id) + 1 AS top, CAST(sum(strlen(coalesce(props, ''))) AS BIGINT) AS bytes, count(DISTINCT '<' || event_id || '@' || user_id || '>') AS ids
 FROM events WHERE event_type IS NOT NULL GROUP BY event_type""")
+
+
+# --- shapes of dates and of Received fields -----------------------------------------------------
+
+
+def _shaped(spark: SparkSession, sf_dir: str, shapes: list[str]) -> DataFrame:
+    """Orders with ``shape`` (in turn) and ``raw``: their shape with day, month, year, time and customer put in."""
+    o = adapters.table(spark, sf_dir, "orders").withColumn("shape", F.pmod("o_orderkey", F.lit(len(shapes))).cast("int"))
+    raw = F.get(F.array(*map(F.lit, shapes)), F.col("shape"))
+    for mark, fmt in (("DAY", "d"), ("MONTH", "MMM"), ("YEAR", "yyyy"), ("TIME", "HH:mm:ss"), ("DOTS", "dd.MM.yyyy"), ("CODED", "HH'=3A'mm'=3A'ss")):
+        raw = F.replace(raw, F.lit(mark), F.date_format("o_orderdate", fmt))
+    raw = F.replace(raw, F.lit("ADDRESS"), F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit("@mail.example")))
+    return o.select("o_orderkey", raw.alias("raw"))
+
+
+# a date as it is read, or null: SQL over d (the date) and n (the shape)
+DATE_SHAPES = {
+    "Thur, DAY MONTH YEAR": "strftime(d, '%Y-%m-%dT00:00:00')",
+    "DAY MONTH YEAR TIMEEST": "strftime(d, '%Y-%m-%dT%H:%M:%S-05:00')",
+    "DOTS TIME": "CASE WHEN day(d) > 12 THEN strftime(d, '%Y-%m-%dT%H:%M:%S') END",
+    "room DAY may seat YEAR people": "NULL",
+    "DAY of May and 14 YEAR pages": "NULL",
+    "Sa, DAY Dez YEAR TIME +0100": "strftime(d, '%Y-12-%dT%H:%M:%S+01:00')",
+    "Mon, DAY MONTH YEAR PST": "strftime(d, '%Y-%m-%dT00:00:00-08:00')",
+    "=?utf-8?Q?Thu=2C_DAY_MONTH_YEAR_CODED_+0200?=": "strftime(d, '%Y-%m-%dT%H:%M:%S+02:00')",
+    "Fri, DAY MONTH YEAR TIME +9752": "strftime(d, '%Y-%m-%dT%H:%M:%S')",
+    "yesterday afternoon": "NULL",
+    "Wed, DAY MONTH   GMT Daylight Time": "NULL",
+    "Do, DAY März YEAR TIME (late)": "strftime(d, '%Y-03-%dT%H:%M:%S')",
+    "the DAY. MONTH YEAR": "NULL",
+}
+# the address of a Received field, or none: SQL over a (the customer's)
+RECEIVED_SHAPES = {
+    "from x by y for <ADDRESS>; DAY MONTH YEAR": "a",
+    "from x by y for Me@localhost; DAY MONTH YEAR": "'me@localhost'",
+    "by y (for information only) for ADDRESS; DAY": "a",
+    "by y for ADDRESS": "a",
+    "by y (queued; for <ADDRESS>) on DAY": "a",
+    "by y for <me+you@mail.example>; DAY": "''",
+    "by y for ADDRESS.; DAY": "a",
+    "by y FOR\r\n\t ADDRESS": "a",
+    "by y therefor ADDRESS": "''",
+    "by y with id for": "''",
+    "by y for two for <x@y> for <ADDRESS>": "a",
+}
+
+
+def _date_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from letterlake.functions.mail import date_text
+
+    return _shaped(spark, sf_dir, list(DATE_SHAPES)).select("o_orderkey", date_text("raw").alias("date"))
+
+
+def _received_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from letterlake.functions.mail import with_headers
+
+    raw = _shaped(spark, sf_dir, list(RECEIVED_SHAPES))
+    content = F.encode(F.concat(F.lit("Received: "), F.col("raw"), F.lit("\r\nSubject: x\r\n\r\nfor <body@mail.example>")), "UTF-8")
+    return with_headers(raw.withColumn("content", content)).select("o_orderkey", F.array_join("recipients", ",").alias("recipients"))
+
+
+def _by_shape(shapes: dict[str, str]) -> str:
+    return "CASE n " + " ".join(f"WHEN {k} THEN {sql}" for k, sql in enumerate(shapes.values())) + " END"
+
+
+query("date_shapes", _date_shapes, f"SELECT o_orderkey, {_by_shape(DATE_SHAPES)} AS date FROM (SELECT o_orderkey, o_orderdate AS d, o_orderkey % {len(DATE_SHAPES)} AS n FROM orders)")
+query("received_shapes", _received_shapes, f"SELECT o_orderkey, {_by_shape(RECEIVED_SHAPES)} AS recipients FROM (SELECT o_orderkey, 'c' || o_custkey || '@mail.example' AS a, o_orderkey % {len(RECEIVED_SHAPES)} AS n FROM orders)")
