@@ -8,7 +8,7 @@ import json
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from letterlake.jobs import Archive
 
@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="letterlake")
     p.add_argument("archive")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("init", "stats", "check", "places", "compact", "compress", "decompress", "create", "update", "drop"):
+    for name in ("init", "stats", "check", "places", "compact", "quarantine", "prune", "compress", "decompress", "create", "update", "drop"):
         sub.add_parser(name)
     for name in ("import", "adopt", "migrate"):
         s = sub.add_parser(name)
@@ -65,13 +65,13 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(counts))
         return 1 if counts["failed"] else 0
     if args.command == "places":
-        a.places().show(1000, truncate=False)
+        _table(a.places())
     elif args.command == "search":
         hits = a.search(**{k: getattr(args, k) for k in ("sender", "recipient", "subject", "mailbox", "folder", "since", "until", "limit")})
         from letterlake.operators import search
 
         if args.format == "table":
-            search.preview(hits).show(1000, truncate=False)
+            _table(search.preview(hits))
         else:
             shaped = {"ids": hits.select("store_id"), "csv": search.as_csv(hits), "json": hits}[args.format]
             if args.format == "csv":
@@ -80,13 +80,20 @@ def main(argv: list[str] | None = None) -> int:
                 print(row[0] if args.format == "ids" else json.dumps(row.asDict(), ensure_ascii=False) if args.format == "json" else ",".join('"' + str(v).replace('"', '""') + '"' for v in row))
     else:
         run = {
-            "stats": a.statistics, "compact": a.compact, "create": lambda: a.create_db(True), "update": a.refresh_db, "drop": a.drop_db,
+            "stats": a.statistics, "compact": a.compact, "quarantine": a.quarantine, "prune": a.prune, "create": lambda: a.create_db(True), "update": a.refresh_db, "drop": a.drop_db,
             "import": lambda: a.import_directory(args.what, args.place, args.largest_only, args.dry_run), "adopt": lambda: a.adopt(args.what, args.dry_run), "migrate": lambda: a.migrate(args.what),
         }[args.command]
         print(json.dumps(run()))
     return 0
 
 
+def _table(rows: DataFrame) -> None:
+    """All rows, tab-separated under their names, as they come."""
+    print("\t".join(rows.columns))
+    for row in rows.toLocalIterator():
+        print("\t".join("" if v is None else " ".join(map(str, v)) if isinstance(v, list) else str(v) for v in row))
+
+
 def _with_server(a: Archive, args: argparse.Namespace) -> int:
     options = {"client": args.client, **dict(o.split("=", 1) for o in args.option)}
     if args.command == "folders":

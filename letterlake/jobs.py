@@ -84,8 +84,7 @@ class Archive:
             raise ValueError("an observation names no place")
         date = date or datetime.now(timezone.utc).isoformat()
         heads = self.heads()
-        files = places.log_files(places.appended(observed, heads, date))
-        written = _written(files, str(self.root / "meta"), "jsonl", 1).cache()
+        written = places.log_files(places.appended(observed, heads, date), str(self.root / "meta")).cache()
         n = written.count()
         # one small file per place, after its log file is there
         for h in places.moved_heads(heads, written).toLocalIterator():
@@ -126,8 +125,7 @@ class Archive:
         log_file, observation = self.log()
         counts = places.compaction_counts(observation).first().asDict()
         old = [r.path for r in log_file.where("readable").select("path").toLocalIterator()]
-        whole = places.compacted(observation).withColumn("prev", F.lit(None).cast("string"))
-        written = _written(places.log_files(whole), str(self.root / "meta"), "jsonl", 1).cache()
+        written = places.log_files(places.compacted(observation), str(self.root / "meta")).cache()
         new = {r.path for r in written.select("path").toLocalIterator()}
         for h in places.moved_heads(self.heads(), written).toLocalIterator():
             self._write_head(h)
@@ -146,6 +144,30 @@ class Archive:
         log_file, observation = self.log()
         return checking.verdict(self.store(), observation, log_file, self.heads()).first().asDict()
 
+    def short_logs(self) -> DataFrame:
+        """Log files that have another number of entries than they declare."""
+        return checking.short_logs(*self.log())
+
+    def quarantine(self) -> int:
+        """Take damaged entries' names from them, keeping every byte, so that they count as missing and are fetched again."""
+        return _renamed(checking.damaged(self.store()).select("path")).count()
+
+    def quarantined(self) -> DataFrame:
+        """Ids that stand in the archive in quarantine only."""
+        if not self._has("mail", "*.corrupt*"):
+            return self.spark.createDataFrame([], "store_id string")
+        aside = archive.files(self.spark, str(self.root / "mail"), "*.corrupt*", content=False).select(entry_hash(F.regexp_replace("name", archive.QUARANTINED, "")).alias("store_id"))
+        return aside.where("store_id IS NOT NULL").distinct().join(self.store(False).select("store_id"), "store_id", "left_anti")
+
+    def prune(self, min_age_hours: int = 24) -> int:
+        """Delete what writers have left unfinished, if it is old enough that none of them can still be at work."""
+        total = 0
+        for name in ("mail", "meta", "heads"):
+            if self._has(name, "*.tmp"):
+                old = archive.files(self.spark, str(self.root / name), "*.tmp", content=False).where(F.col("modified") <= F.current_timestamp() - F.expr(f"INTERVAL {int(min_age_hours)} HOURS"))
+                total += _deleted(old.select("path")).count()
+        return total
+
     def places(self) -> DataFrame:
         return places.summary(self.log()[1])
 
@@ -168,7 +190,9 @@ class Archive:
         return behind(self.heads(), self.projection.frames()["recorded"])
 
     def search(self, **given) -> DataFrame:
-        return searching.search(self.projection.frames(), **given)
+        """Hits in the projection, but for messages that are in quarantine."""
+        frames = self.projection.frames()
+        return searching.search(frames | {"message": frames["message"].join(self.quarantined(), "store_id", "left_anti")}, **given)
 
     def _listing(self, mailbox: str, options: dict[str, str], points: dict[str, tuple[int, int]] | None = None) -> DataFrame:
         """mailbox, folder, validity, ord and mid of a server's messages, read once; validities are asked before the listing.
@@ -188,11 +212,29 @@ class Archive:
         mid = mail.message_id_key("message_id").alias("mid")
         return checking._cut(listed.select(F.lit(mailbox).alias("mailbox"), "folder", "validity", "ord", mid))
 
+    def message_ids(self, wanted: DataFrame) -> DataFrame:
+        """store_id and mid (normalised Message-ID) of the stored messages among ``wanted`` (store_id).
+
+        They are kept in a table beside the store; only messages that it lacks are read.
+        """
+        at = str(self.root / "index" / "mids")
+        if Path(at).exists():
+            known = self.spark.read.schema("store_id string, mid string").parquet(at)
+        else:
+            known = self.spark.createDataFrame([], "store_id string, mid string")
+        new = checking._cut(wanted.select("store_id").distinct().join(known, "store_id", "left_anti").join(self.store(False).select("store_id"), "store_id", "left_semi"))
+        if not new.isEmpty():
+            named = mail.with_headers(self.store().join(new, "store_id", "left_semi"))
+            named.select("store_id", mail.message_id_key("email_id").alias("mid")).write.mode("append").parquet(at)
+            known = self.spark.read.schema("store_id string, mid string").parquet(at)
+        # a message may have been read by two runs at once
+        there = known.groupBy("store_id").agg(F.min("mid").alias("mid"))
+        return there.join(wanted.select("store_id"), "store_id", "left_semi").join(self.store(False).select("store_id"), "store_id", "left_semi")
+
     def _archived(self, mailbox: str) -> DataFrame:
         """Copies of each Message-ID at the places of ``mailbox``."""
         observed = self.log()[1].where(F.col("mailbox") == mailbox)
-        named = mail.with_headers(self.store().join(observed.select("store_id"), "store_id", "left_semi"))
-        return reconcile.archived_counts(observed, named.select("store_id", mail.message_id_key("email_id").alias("mid")))
+        return reconcile.archived_counts(observed, self.message_ids(observed))
 
     def _fetch(self, wanted: DataFrame, options: dict[str, str]) -> tuple[DataFrame, Path]:
         """Fetch messages into the store, in tasks; mailbox, folder, ord and store_id (null where that failed) wait below ``pending``."""
@@ -283,6 +325,40 @@ def _put(path: str, content: bytes) -> None:
     os.replace(tmp, path)
 
 
+def _renamed(damaged: DataFrame) -> DataFrame:
+    """Give each damaged file (path) the first free name of a quarantined one; those that could be."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        for batch in batches:
+            done = []
+            for path in (p.removeprefix("file:") for p in batch["path"]):
+                names = [path + ".corrupt" + (f".{k}" if k else "") for k in range(1000)]
+                free = next((n for n in names if not os.path.exists(n)), None)
+                if free and os.path.exists(path):
+                    os.rename(path, free)
+                    done.append(free)
+            yield pd.DataFrame({"path": done}, dtype=object)
+
+    return checking._cut(damaged.mapInPandas(run, "path string"))
+
+
+def _deleted(files: DataFrame) -> DataFrame:
+    """Delete files (path); those that went."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pathlib import Path as File
+
+        for batch in batches:
+            gone = [p for p in batch["path"] if File(p.removeprefix("file:")).exists()]
+            for p in gone:
+                File(p.removeprefix("file:")).unlink(missing_ok=True)
+            yield pd.DataFrame({"path": gone}, dtype=object)
+
+    return checking._cut(files.mapInPandas(run, "path string"))
+
+
 def _fetched(wanted: DataFrame, options: dict[str, str], root: str) -> DataFrame:
     """mailbox, folder, ord and store_id of wanted messages, each fetched and stored below ``root``; one connection a partition."""
 

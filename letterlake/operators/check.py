@@ -70,6 +70,13 @@ def unchained(heads: DataFrame, log_file: DataFrame, cut=None, chain: DataFrame
     return rest.withColumn("k", F.lit(1)).join(some, "k").drop("k")
 
 
+def short_logs(log_file: DataFrame, observation: DataFrame) -> DataFrame:
+    """Readable log files with another number of entries than their first line declares: hash, declared, entries."""
+    found = observation.groupBy(F.col("log_hash").alias("hash")).agg(F.count(F.lit(1)).alias("entries"))
+    both = log_file.where("readable AND declared IS NOT NULL").select("hash", "declared").join(found, "hash", "left")
+    return both.select("hash", "declared", F.coalesce("entries", F.lit(0)).alias("entries")).where("declared <> entries")
+
+
 def counters(store: DataFrame, observation: DataFrame, log_file: DataFrame) -> DataFrame:
     """entries, observations, referenced (distinct ids), places, log_files, unreadable and damaged_logs: one row."""
     k = F.lit(1).alias("k")

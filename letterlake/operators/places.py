@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 def summary(observation: DataFrame) -> DataFrame:
     """mailbox, folder, messages (distinct) and last_seen (largest date text) of each place; unknown mailboxes last."""
     per = observation.groupBy("mailbox", "folder").agg(F.count_distinct("store_id").alias("messages"), F.max("log_date").alias("last_seen"))
@@ -26,10 +27,18 @@ def totals(observation: DataFrame) -> DataFrame:
     return ids.withColumn("k", F.lit(1)).join(places.withColumn("k", F.lit(1)), "k").drop("k")
 
 
+def _entries(ids: DataFrame, per_place: DataFrame) -> DataFrame:
+    """``ids`` (mailbox, folder, store_id), each once, with the columns of their place and how many it has (``messages``)."""
+    ids = ids.select("mailbox", "folder", "store_id").distinct()
+    counts = ids.groupBy("mailbox", "folder").agg(F.count(F.lit(1)).alias("messages"))
+    both = per_place.withColumnsRenamed({"mailbox": "__m", "folder": "__f"}).join(counts.withColumnsRenamed({"mailbox": "__a", "folder": "__b"}), F.col("__m").eqNullSafe(F.col("__a")) & F.col("__f").eqNullSafe(F.col("__b"))).drop("__a", "__b")
+    return ids.join(both, F.col("mailbox").eqNullSafe(F.col("__m")) & F.col("folder").eqNullSafe(F.col("__f"))).drop("__m", "__f")
+
+
 def compacted(observation: DataFrame) -> DataFrame:
-    """One entry per place: its distinct ids, sorted, and the newest date."""
-    ids = observation.select("mailbox", "folder", "log_date", "store_id")
-    return ids.groupBy("mailbox", "folder").agg(F.array_sort(F.collect_set("store_id")).alias("store_ids"), F.max("log_date").alias("date"))
+    """The entries of one log file per place, a row each: its distinct ids with the newest date and the number of ids."""
+    newest = observation.groupBy("mailbox", "folder").agg(F.max("log_date").alias("date"), F.lit(None).cast("string").alias("prev"))
+    return _entries(observation, newest)
 
 
 def compaction_counts(observation: DataFrame) -> DataFrame:
@@ -53,33 +62,95 @@ def adoption_counts(store: DataFrame, observation: DataFrame, name: str) -> Data
     return found.withColumn("k", F.lit(1)).join(held.withColumn("k", F.lit(1)), "k").drop("k")
 
 
-def serialised(mailbox, folder, date, ids: list[str], prev) -> bytes:
-    """The bytes of a log file; the same place and ids always give the same bytes."""
-    head = {"version": 2, "mailbox": mailbox, "folder": folder, "date": date, "messages": len(ids), "prev": prev}
-    return "".join(json.dumps(x, ensure_ascii=False) + "\n" for x in [head, *({"store_id": i} for i in ids)]).encode()
+def serialised_head(mailbox, folder, date, messages: int, prev) -> bytes:
+    head = {"version": 2, "mailbox": mailbox, "folder": folder, "date": date, "messages": messages, "prev": prev}
+    return (json.dumps(head, ensure_ascii=False) + "\n").encode()
 
 
-def log_files(places: DataFrame) -> DataFrame:
-    """hash, mailbox, folder and bytes of a log file for each place (mailbox, folder, store_ids, date, prev)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for p in batch.itertuples(index=False):
-                text = lambda x: None if x is None or x != x else x
-                body = serialised(text(p.mailbox), text(p.folder), text(p.date), list(p.store_ids), text(p.prev))
-                rows.append((hashlib.sha384(body).hexdigest(), text(p.mailbox), text(p.folder), body))
-            yield pd.DataFrame(rows, columns=["hash", "mailbox", "folder", "content"])
-
-    return places.select("mailbox", "folder", "store_ids", "date", "prev").mapInPandas(run, "hash string, mailbox string, folder string, content binary")
+def serialised(mailbox, folder, date, ids: list[str], prev) -> bytes:
+    """The bytes of a log file; the same place and ids always give the same bytes."""
+    return serialised_head(mailbox, folder, date, len(ids), prev) + "".join(f'{{"store_id": "{i}"}}\n' for i in ids).encode()
+
+
+class _File:
+    """A log file being written below ``root`` (or only hashed): by a temporary name until its hash is known."""
+
+    def __init__(self, root: str | None, algorithm: str, head: bytes):
+        self.root, self.hash, self.messages = root, hashlib.new(algorithm), 0
+        self.tmp = f"{root}/writing.{uuid.uuid4().hex}.tmp" if root else None
+        self.out = open(self.tmp, "wb") if root else None  # noqa: SIM115
+        self.put(head)
+
+    def put(self, data: bytes) -> None:
+        self.hash.update(data)
+        if self.out:
+            self.out.write(data)
+
+    def done(self) -> tuple[str, str | None]:
+        name = self.hash.hexdigest()
+        if not self.out:
+            return name, None
+        self.out.flush()
+        os.fsync(self.out.fileno())
+        self.out.close()
+        path = f"{self.root}/{name[:2]}/{name}.jsonl"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        # the same content has the same name, so a task that runs again changes nothing
+        os.replace(self.tmp, path)
+        return name, path
+
+    def given_up(self) -> None:
+        if self.out:
+            self.out.close()
+            os.unlink(self.tmp)
+
+
+def log_files(entries: DataFrame, root: str | None = None, algorithm: str = "sha384") -> DataFrame:
+    """hash, mailbox, folder, messages and path of the log file of each place, written below ``root`` if one is given.
+
+    ``entries`` has mailbox, folder, store_id, messages, date and prev.  They are sorted by place and
+    id and streamed into their file and its hash, so a place may have any number of ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = file = None
+
+        def closed() -> pa.RecordBatch:
+            name, path = file.done()
+            return pa.RecordBatch.from_pydict({"hash": [name], "mailbox": [place[0]], "folder": [place[1]], "messages": [file.messages], "path": [path]}, schema=pa.schema([("hash", pa.string()), ("mailbox", pa.string()), ("folder", pa.string()), ("messages", pa.int64()), ("path", pa.string())]))
+
+        try:
+            for batch in batches:
+                rows = batch.to_pydict()
+                names = list(zip(rows["mailbox"], rows["folder"]))
+                starts = [k for k in range(len(names)) if not k or names[k] != names[k - 1]]
+                for lo, hi in zip(starts, [*starts[1:], len(names)]):
+                    if names[lo] != place or file is None:
+                        if file is not None:
+                            yield closed()
+                        place = names[lo]
+                        file = _File(root, algorithm, serialised_head(*place, rows["date"][lo], rows["messages"][lo], rows["prev"][lo]))
+                    file.put("".join(f'{{"store_id": "{i}"}}\n' for i in rows["store_id"][lo:hi]).encode())
+                    file.messages += hi - lo
+            if file is not None:
+                yield closed()
+                file = None
+        except BaseException:
+            if file is not None:
+                file.given_up()
+            raise
+
+    columns = ["mailbox", "folder", "store_id", "messages", "date", "prev"]
+    ordered = entries.select(*columns).repartition("mailbox", "folder").sortWithinPartitions("mailbox", "folder", "store_id")
+    return ordered.mapInArrow(run, "hash string, mailbox string, folder string, messages long, path string")
 
 
 def appended(new: DataFrame, heads: DataFrame, date: str) -> DataFrame:
-    """Places with their new ids (sorted, distinct) and the log that their head points to, ready for ``log_files``."""
-    ids = new.groupBy("mailbox", "folder").agg(F.array_sort(F.collect_set("store_id")).alias("store_ids"))
+    """The entries of new log files: the distinct ids of each place, with the log that its head points to; ready for ``log_files``."""
+    own = new.select("mailbox", "folder").distinct()
     h = heads.select(F.col("mailbox").alias("m"), F.col("folder").alias("f"), F.col("log").alias("prev"))
     same = F.col("mailbox").eqNullSafe(F.col("m")) & F.col("folder").eqNullSafe(F.col("f"))
-    return ids.join(h, same, "left").select("mailbox", "folder", "store_ids", F.lit(date).alias("date"), "prev")
+    return _entries(new, own.join(h, same, "left").select("mailbox", "folder", F.lit(date).alias("date"), "prev"))
 
 
 def moved_heads(heads: DataFrame, written: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from letterlake.functions import mail
 from letterlake.functions.text import entry_hash, is_hash, usable_resume
 
 LOG_VERSIONS = (1, 2)
+#: What follows the name of an entry in quarantine.
+QUARANTINED = r"\.corrupt(\.\d+)?\z"
 
 
 def files(spark: SparkSession, root: str, pattern: str | None = None, content: bool = True) -> DataFrame:
@@ -105,7 +107,7 @@ def classified(listing: DataFrame, now, min_age_hours: int = 24) -> DataFrame:
     """``listing`` (name, modified, ...) with ``kind``: entry, stale or live leftover, quarantined or foreign."""
     own = entry_hash(F.regexp_replace("name", r"\.[^.]+\.tmp\z", ""))
     leftover = F.col("name").rlike(r"\.[^.]+\.tmp\z") & own.isNotNull()
-    aside = F.col("name").rlike(r"\.corrupt(\.\d+)?\z") & entry_hash(F.regexp_replace("name", r"\.corrupt(\.\d+)?\z", "")).isNotNull()
+    aside = F.col("name").rlike(QUARANTINED) & entry_hash(F.regexp_replace("name", QUARANTINED, "")).isNotNull()
     old = F.col("modified") <= now - F.expr(f"INTERVAL {min_age_hours} HOURS")
     kind = F.when(entry_hash(F.col("name")).isNotNull(), "entry").when(leftover & old, "stale").when(leftover, "live").when(aside, "quarantined").otherwise("foreign")
     return listing.withColumn("kind", kind)

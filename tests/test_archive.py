@@ -266,14 +266,27 @@ def test_archive_end_to_end(spark, tmp_path):
 def test_written_logs_read_back_and_compact_idempotently(spark, tmp_path):
     new = frame(spark, [("job", "INBOX", A), ("job", "INBOX", A), ("job", "INBOX", B), (None, "x", C)], "mailbox string, folder string, store_id string")
     heads = frame(spark, [("job", "INBOX", "2026", None, "old")], "mailbox string, folder string, last_run string, resume string, log string")
-    files = places.log_files(places.appended(new, heads, "2026-01-01")).collect()
-    assert {(f.mailbox, f.folder) for f in files} == {("job", "INBOX"), (None, "x")}
-    head = json.loads(bytes(files[0].content).split(b"\n")[0]) if files[0].mailbox else json.loads(bytes(files[1].content).split(b"\n")[0])
-    assert head["prev"] == "old" and head["messages"] == 2
+    (tmp_path / "meta").mkdir()
+    files = places.log_files(places.appended(new, heads, "2026-01-01"), str(tmp_path / "meta")).collect()
+    assert {(f.mailbox, f.folder, f.messages) for f in files} == {("job", "INBOX", 2), (None, "x", 1)}
+    body = {f.folder: open(f.path, "rb").read() for f in files}
+    assert body["INBOX"] == places.serialised("job", "INBOX", "2026-01-01", [A, B], "old") and body["x"] == places.serialised(None, "x", "2026-01-01", [C], None)
+    assert all(f.hash == hashlib.sha384(body[f.folder]).hexdigest() for f in files)
     moved = places.moved_heads(heads, spark.createDataFrame([(f.hash, f.mailbox, f.folder) for f in files], schema.of("hash string, mailbox string, folder string"))).collect()
     assert len(moved) == 2 and all(r.log != "old" for r in moved)
-    again = places.log_files(places.appended(new, heads, "2026-01-01")).collect()
-    assert {f.hash for f in files} == {f.hash for f in again}
+    again = places.log_files(places.appended(new, heads, "2026-01-01"), str(tmp_path / "meta")).collect()
+    assert {f.hash for f in files} == {f.hash for f in again} and len(list((tmp_path / "meta").rglob("*"))) == 2 * len(files)
+    log_file, observation = archive.logs(spark, str(tmp_path / "meta"))
+    assert log_file.where("intact").count() == 2 and check.short_logs(log_file, observation).count() == 0
+    compacted = places.log_files(places.compacted(observation)).collect()
+    assert {(f.folder, f.messages, f.path) for f in compacted} == {("INBOX", 2, None), ("x", 1, None)}
+
+
+def test_a_place_of_very_many_ids(spark):
+    entries = spark.range(300_000, numPartitions=3).select(F.lit("job").alias("mailbox"), F.lit(None).cast("string").alias("folder"), F.lpad(F.col("id").cast("string"), 96, "0").alias("store_id"), F.lit("d").alias("log_date"))
+    got = places.log_files(places.compacted(entries)).collect()
+    body = places.serialised("job", None, "d", [f"{k:096}" for k in range(300_000)], None)
+    assert [(f.messages, f.hash) for f in got] == [(300_000, hashlib.sha384(body).hexdigest())]
 
 
 def test_head_names_tell_places_apart():
