@@ -205,23 +205,25 @@ def _streamed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
     """(shard, part, kind, id, digest, text), sorted by the first three: passages (kind 0), then documents (kind 1) -> id, digest, starts, ends."""
     own, passages, shard = None, [], None
     for batch in batches:
-        names = list(zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist()))
-        kinds, ids, digests = batch.column("kind").to_pylist(), batch.column("id").to_pylist(), batch.column("digest").to_pylist()
-        texts = batch.column("text")
-        for row, name in enumerate(names):
-            if name != own:
-                own, passages, shard = name, [], None
-            if kinds[row] == 0:
-                passages.append((ids[row], texts[row].as_py()))
+        names = list(zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), batch.column("kind").to_pylist()))
+        begins = [k for k, name in enumerate(names) if not k or name != names[k - 1]]
+        for lo, hi in zip(begins, [*begins[1:], len(names)]):
+            ids, texts = batch.column("id").slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo)
+            if names[lo][:2] != own:
+                own, passages, shard = names[lo][:2], [], None
+            if names[lo][2] == 0:
+                passages += zip(ids.to_pylist(), texts.to_pylist())
                 continue
             if shard is None:
                 shard, passages = Shard(passages, window), []
-            words = Words(texts.slice(row, 1)).array
-            numbers = pc.index_in(words, value_set=shard.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
-            spans = sorted(set(shard.spans(ids[row], numbers)))
-            if spans:
-                starts, ends = zip(*spans)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[row]], batch.schema.field("id").type), pa.array([digests[row]], pa.int64()), pa.array([list(starts)], pa.list_(pa.int32())), pa.array([list(ends)], pa.list_(pa.int32()))], names=["id", "digest", "starts", "ends"])
+            # many texts at once, because the vocabulary is hashed for each call
+            for at, end in chunks(texts, STREAMED):
+                words = Words(texts.slice(at, end - at))
+                numbers = pc.index_in(words.array, value_set=shard.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+                spans = [sorted(set(shard.spans(ident, numbers[words.bounds[k] : words.bounds[k + 1]]))) for k, ident in enumerate(ids.slice(at, end - at).to_pylist())]
+                rows = pa.array([k for k, x in enumerate(spans) if x], pa.int64())
+                starts, ends = (pa.array([[x[side] for x in spans[k]] for k in rows.to_pylist()], pa.list_(pa.int32())) for side in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at).take(rows), batch.column("digest").slice(lo + at, end - at).take(rows), starts, ends], names=["id", "digest", "starts", "ends"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
