@@ -11,8 +11,9 @@
    one of them whole.  The phrases, as numbers of exact words, are compiled into Aho-Corasick
    automata, in shards of about ``SHARD_WORDS`` words by home.
 4. Every document streams through the automata of the homes that it shares windows with.  From
-   each phrase found, text and passage are compared word by word along the whole overlap; what
-   agrees for at least a window is removed if the home is a smaller document.
+   each phrase found, text and passages of these homes are compared word by word along the whole
+   overlap; what agrees for at least a window is removed if the home is a smaller document.  So a
+   phrase that very many passages begin with costs no more than the homes that a document has.
 
 Hashes only say where to look: nothing is removed that was not compared.  Exact copies of whole
 texts are settled beforehand, since all their windows start in the first of them, so a group of
@@ -38,7 +39,7 @@ from letterlake.llm.jaccard import mixed
 WINDOW = 50
 #: Words of the passages of an automaton, about, and bytes of text that a task streams through one.
 SHARD_WORDS = 200_000
-STREAMED = 16_000_000
+STREAMED = 4_000_000
 _BASE = 0x9E3779B97F4A7C15
 _OTHER = 0xC2B2AE3D27D4EB4F
 _SPACE = np.zeros(256, bool)
@@ -148,7 +149,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(shard, id, text, ats) -> shard, id, and the words of each run of windows at ``ats``, joined by blanks."""
+    """(shard, home, id, text, ats) -> shard, home, id, and the words of each run of windows at ``ats``, joined by blanks."""
     for batch in batches:
         words = Words(batch.column("text"))
         rows, out = [], []
@@ -160,36 +161,37 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
                 out.append(words.array.slice(int(run[0]), int(run[-1] - run[0]) + window))
         joined = pc.binary_join(pa.array([x.to_pylist() for x in out], pa.list_(pa.string())), " ")
         rows = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("shard").take(rows), batch.column("id").take(rows), joined], names=["shard", "id", "text"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("shard", "home", "id")), joined], names=["shard", "home", "id", "text"])
 
 
 class Shard:
-    """The automaton of some passages (home and words joined by blanks)."""
+    """The automaton of some passages (home, document and words joined by blanks): each phrase leads to its places by home."""
 
-    def __init__(self, passages: list[tuple[object, str]], window: int):
+    def __init__(self, passages: list[tuple[int, object, str]], window: int):
         self.window, self.size = window, window // 2
-        self.homes = [home for home, _ in passages]
-        words = Words(pa.array([text for _, text in passages], pa.large_string()))
+        self.owners = [ident for _, ident, _ in passages]
+        words = Words(pa.array([text for *_, text in passages], pa.large_string()))
         coded = words.array.dictionary_encode()
         self.vocabulary, self.codes, self.bounds = coded.dictionary, coded.indices.to_numpy().astype(np.int64), words.bounds
-        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k in range(len(passages)):
+        found: dict[tuple[int, ...], dict[int, list[tuple[int, int]]]] = {}
+        for k, (home, *_) in enumerate(passages):
             for at in range(self.bounds[k], self.bounds[k + 1] - self.size + 1, self.size):
-                found.setdefault(tuple(self.codes[at : at + self.size].tolist()), []).append((k, int(at - self.bounds[k])))
+                found.setdefault(tuple(self.codes[at : at + self.size].tolist()), {}).setdefault(home, []).append((k, int(at - self.bounds[k])))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for phrase, places in found.items():
             self.automaton.add_word(phrase, places)
         self.automaton.make_automaton()
 
-    def spans(self, ident: object, text: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches of ``text`` (word numbers; -1 for words that no passage has) that passages of smaller documents cover."""
-        out, seen = [], set()
+    def spans(self, ident: object, homes: list[int], text: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of ``text`` (word numbers; -1 for words that no passage has) that passages of smaller documents among ``homes`` cover."""
+        out, seen, own_homes = [], set(), set(homes)
         unknown = len(self.vocabulary)
         for end, places in self.automaton.iter(tuple(np.where(text < 0, unknown, text).tolist())):
-            for k, at in places:
+            near = homes if len(homes) < len(places) else places
+            for k, at in (x for home in near for x in places.get(home, ()) if home in own_homes):
                 # text word t stands against passage word t - shift
                 shift = end - self.size + 1 - at
-                if (k, shift) in seen or not self.homes[k] < ident:
+                if (k, shift) in seen or not self.owners[k] < ident:
                     continue
                 seen.add((k, shift))
                 own = self.codes[self.bounds[k] : self.bounds[k + 1]]
@@ -202,17 +204,17 @@ class Shard:
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(shard, part, kind, id, digest, text), sorted by the first three: passages (kind 0), then documents (kind 1) -> id, digest, starts, ends."""
+    """(shard, part, kind, id, digest, homes, text), sorted by the first three: passages (kind 0), then documents (kind 1) -> id, digest, starts, ends."""
     own, passages, shard = None, [], None
     for batch in batches:
         names = list(zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), batch.column("kind").to_pylist()))
         begins = [k for k, name in enumerate(names) if not k or name != names[k - 1]]
         for lo, hi in zip(begins, [*begins[1:], len(names)]):
-            ids, texts = batch.column("id").slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo)
+            ids, texts, homes = (batch.column(c).slice(lo, hi - lo) for c in ("id", "text", "homes"))
             if names[lo][:2] != own:
                 own, passages, shard = names[lo][:2], [], None
             if names[lo][2] == 0:
-                passages += zip(ids.to_pylist(), texts.to_pylist())
+                passages += zip((x[0] for x in homes.to_pylist()), ids.to_pylist(), texts.to_pylist())
                 continue
             if shard is None:
                 shard, passages = Shard(passages, window), []
@@ -220,7 +222,8 @@ def _streamed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             for at, end in chunks(texts, STREAMED):
                 words = Words(texts.slice(at, end - at))
                 numbers = pc.index_in(words.array, value_set=shard.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
-                spans = [sorted(set(shard.spans(ident, numbers[words.bounds[k] : words.bounds[k + 1]]))) for k, ident in enumerate(ids.slice(at, end - at).to_pylist())]
+                each = enumerate(zip(ids.slice(at, end - at).to_pylist(), homes.slice(at, end - at).to_pylist()))
+                spans = [sorted(set(shard.spans(ident, near, numbers[words.bounds[k] : words.bounds[k + 1]]))) for k, (ident, near) in each]
                 rows = pa.array([k for k, x in enumerate(spans) if x], pa.int64())
                 starts, ends = (pa.array([[x[side] for x in spans[k]] for k in rows.to_pylist()], pa.list_(pa.int32())) for side in (0, 1))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, end - at).take(rows), batch.column("digest").slice(lo + at, end - at).take(rows), starts, ends], names=["id", "digest", "starts", "ends"])
@@ -287,14 +290,15 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, shard_words: int = SH
     total, size = homes.agg(F.sum("n"), F.count(F.lit(1))).first()
     shards = max(1, -(-size // shard_words))
     shard = F.pmod(F.xxhash64("id", "digest"), F.lit(shards)).cast("int")
-    own = materialise(own.withColumn("shard", shard), "passages-own")
-    passages = texts.join(small(own.drop("many")), ["id", "digest"]).select("shard", "id", "text", "ats")
-    passages = materialise(passages.mapInArrow(lambda batches: _passages(batches, window), T.StructType([T.StructField("shard", T.IntegerType()), kind, T.StructField("text", T.StringType())])), "passages-texts")
-    # which documents share windows with the homes of which shard
+    own = materialise(own.withColumn("shard", shard).withColumn("home", F.xxhash64("id", "digest")), "passages-own")
+    passages = texts.join(small(own.drop("many")), ["id", "digest"]).select("shard", "home", "id", "text", "ats")
+    passages = materialise(passages.mapInArrow(lambda batches: _passages(batches, window), T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("home", T.LongType()), kind, T.StructField("text", T.StringType())])), "passages-texts")
+    # which documents share windows with which homes of which shard
     needs = spread_join(windows, homes, ["a", "b"], "n", total or 0, wide=True).where(F.col("id") > F.col("home.id"))
-    needs = needs.select("id", "digest", F.pmod(F.xxhash64(F.col("home.id"), F.col("home.digest")), F.lit(shards)).cast("int").alias("shard")).distinct()
+    needs = needs.select("id", "digest", F.xxhash64(F.col("home.id"), F.col("home.digest")).alias("home")).distinct()
+    needs = needs.groupBy("id", "digest", F.pmod(F.col("home"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list("home").alias("homes"))
     needs = materialise(needs, "passages-needs")
-    routed = texts.join(small(needs), ["id", "digest"]).select("shard", "id", "digest", "text")
+    routed = texts.join(small(needs), ["id", "digest"]).select("shard", "id", "digest", "homes", "text")
     # as many parts of a shard as its documents need tasks
     per = small(needs.groupBy("shard").agg(F.count(F.lit(1)).alias("docs")))
     average = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 1
@@ -302,7 +306,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, shard_words: int = SH
     per = materialise(per.select("shard", parts.alias("parts")), "passages-parts")
     routed = routed.join(F.broadcast(per) if shards <= 100_000 else per, "shard").withColumn("part", F.pmod(F.xxhash64("id", "digest"), F.col("parts")).cast("int"))
     patterns = passages.join(F.broadcast(per) if shards <= 100_000 else per, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = patterns.select("shard", "part", F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("digest"), "text").unionByName(routed.select("shard", "part", F.lit(1).alias("kind"), "id", "digest", "text"))
+    both = patterns.select("shard", "part", F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("digest"), F.array("home").alias("homes"), "text").unionByName(routed.select("shard", "part", F.lit(1).alias("kind"), "id", "digest", "homes", "text"))
     both = both.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
     ints = T.ArrayType(T.IntegerType())
     return both.mapInArrow(lambda batches: _streamed(batches, window), T.StructType([kind, T.StructField("digest", T.LongType()), T.StructField("starts", ints), T.StructField("ends", ints)]))
