@@ -136,11 +136,14 @@ class Coder:
         return pc.coalesce(found, spelt)
 
     def joined(self, languages: list[str], suffixes: list[list[str]]) -> pa.Array:
-        out = []
+        sizes = [len(words) for words in suffixes]
         langs = self.coded_languages(pa.array(languages, pa.string())).to_pylist()
-        for lang, words in zip(langs, suffixes):
-            codes = self.coded(pa.array([w.encode() for w in words], pa.large_binary())).to_pylist()
-            out.append(lang + b"".join(codes[: codes.index(None)] if None in codes else codes))
+        codes = self.coded(pa.array([w.encode() for words in suffixes for w in words], pa.large_binary())).to_pylist()
+        out, at = [], 0
+        for lang, size in zip(langs, sizes):
+            own = codes[at : at + size]
+            out.append(lang + b"".join(own[: own.index(None)] if None in own else own))
+            at += size
         return pa.array(out, pa.large_binary())
 
     @staticmethod
