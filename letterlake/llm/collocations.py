@@ -35,7 +35,7 @@ WORD_BYTES = 64
 #: One suffix of so many is drawn for the ranges, and the most of them that are looked at; ranges per partition.
 EVERY, SAMPLE, RANGES = 1_024, 100_000, 8
 #: Text bytes that a task turns into suffixes at once.
-TEXT_BYTES = 12_000_000
+TEXT_BYTES = 3_000_000
 #: First byte of what is spelt out and the byte after it, and bytes of a suffix by which its range is found.
 SPELT, END, HEAD = b"\xff", b" ", 18
 
