@@ -5,8 +5,11 @@ All of it goes through Spark's own file readers, so a path may be in any store t
 
 from __future__ import annotations
 
+import contextlib
 import sqlite3
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,23 +89,53 @@ def legacy_state(spark: SparkSession, path: str) -> DataFrame:
     return df.where("last_run IS NOT NULL OR resume IS NOT NULL")
 
 
-def legacy_database(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of an old SQLite file (local to the driver), joined to names; no snapshots where the table is missing."""
-    asked = {
-        "message": ("SELECT message_id, store_id FROM message", "message_id long, store_id string"),
-        "mailbox": ("SELECT message_id, name FROM message_mailbox JOIN mailbox USING (mailbox_id)", "message_id long, mailbox string"),
-        "folder": ("SELECT message_id, name FROM message_label JOIN label USING (label_id)", "message_id long, folder string"),
-        "snapshot": ("SELECT m.name, l.name, date FROM snapshot JOIN mailbox m USING (mailbox_id) JOIN label l USING (label_id)", "mailbox string, folder string, date string"),
-    }
+#: Rows of an old database that one task reads.
+LEGACY_ROWS = 200_000
+_LEGACY = {
+    "message": ("message", "SELECT t.message_id, t.store_id FROM message t", "message_id long, store_id string"),
+    "mailbox": ("message_mailbox", "SELECT t.message_id, name FROM message_mailbox t JOIN mailbox USING (mailbox_id)", "message_id long, mailbox string"),
+    "folder": ("message_label", "SELECT t.message_id, name FROM message_label t JOIN label USING (label_id)", "message_id long, folder string"),
+    "snapshot": ("snapshot", "SELECT m.name, l.name, t.date FROM snapshot t JOIN mailbox m USING (mailbox_id) JOIN label l USING (label_id)", "mailbox string, folder string, date string"),
+}
+
+
+def _opened(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+
+
+def legacy_database(spark: SparkSession, path: str, rows: int = LEGACY_ROWS) -> dict[str, DataFrame]:
+    """The tables of an old SQLite file, joined to names; no snapshots where the table is missing.
+
+    The file must lie in a folder that driver and executors share.  The driver asks for the row
+    numbers that a table has; tasks read ranges of ``rows`` of them.
+    """
     out = {}
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+    with contextlib.closing(_opened(path)) as con:
         there = {r[0] for r in con.execute("SELECT name FROM sqlite_master")}
-        for name, (query, ddl) in asked.items():
-            rows = con.execute(query).fetchall() if name != "snapshot" or "snapshot" in there else []
-            out[name] = spark.createDataFrame(rows, ddl)
+        for name, (table, asked, ddl) in _LEGACY.items():
+            low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone() if table in there or name != "snapshot" else (None, None)
+            if low is None:
+                out[name] = spark.createDataFrame([], ddl)
+                continue
+            starts = spark.range(low, high + 1, rows, numPartitions=-(-(high + 1 - low) // rows))
+            out[name] = starts.mapInPandas(_rows_of(path, f"{asked} WHERE t.rowid BETWEEN ? AND ?", ddl, rows), ddl)
     return out
 
 
+def _rows_of(path: str, asked: str, ddl: str, rows: int):
+    names = [c.split()[0] for c in ddl.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in batch["id"]:
+                with contextlib.closing(_opened(path)) as con:
+                    found = con.execute(asked, (int(low), int(low) + rows - 1))
+                    while part := found.fetchmany(10_000):
+                        yield pd.DataFrame(part, columns=names, dtype=object)
+
+    return run
+
+
 def classified(listing: DataFrame, now, min_age_hours: int = 24) -> DataFrame:
     """``listing`` (name, modified, ...) with ``kind``: entry, stale or live leftover, quarantined or foreign."""
     own = entry_hash(F.regexp_replace("name", r"\.[^.]+\.tmp\z", ""))

@@ -69,3 +69,23 @@ def test_no_message_is_read_twice_for_its_id(spark, tmp_path):
     (tmp_path / "archive" / "mail").mkdir()
     # nor does the table stand for messages that are gone
     assert [r.missing for r in a.verify("me", options).collect()] == [2]
+
+
+def test_an_old_database_in_ranges(spark, tmp_path):
+    import sqlite3
+
+    from letterlake.sources import archive
+
+    path = tmp_path / "old.db"
+    with sqlite3.connect(path) as con:
+        con.executescript("CREATE TABLE mailbox (mailbox_id INTEGER PRIMARY KEY, name TEXT); CREATE TABLE label (label_id INTEGER PRIMARY KEY, name TEXT); CREATE TABLE message (message_id INTEGER PRIMARY KEY, store_id TEXT); CREATE TABLE message_mailbox (message_id INTEGER, mailbox_id INTEGER); CREATE TABLE message_label (message_id INTEGER, label_id INTEGER);")
+        con.executemany("INSERT INTO mailbox VALUES (?, ?)", [(1, "a"), (2, "b")])
+        con.executemany("INSERT INTO label VALUES (?, ?)", [(1, "in"), (2, "out")])
+        con.executemany("INSERT INTO message VALUES (?, ?)", [(k * 3, f"s{k}") for k in range(-2, 23)])
+        con.executemany("INSERT INTO message_mailbox VALUES (?, ?)", [(k * 3, 1 + k % 2) for k in range(-2, 23)])
+    for rows in (4, 1_000):
+        found = archive.legacy_database(spark, str(path), rows)
+        assert sorted(tuple(r) for r in found["message"].collect()) == [(k * 3, f"s{k}") for k in range(-2, 23)]
+        assert sorted(tuple(r) for r in found["mailbox"].collect()) == [(k * 3, "ab"[k % 2]) for k in range(-2, 23)]
+        assert found["folder"].count() == 0 and found["snapshot"].count() == 0
+    assert archive.legacy_database(spark, str(path), 4)["message"].rdd.getNumPartitions() == 19
