@@ -105,14 +105,19 @@ class Projection:
         tables["recorded"] = self.spark.read.schema("mailbox string, folder string, log string").parquet(f"{self.root}/{at['version']}/recorded")
         return tables
 
-    def _commit(self, frames: dict[str, DataFrame]) -> None:
+    def folded(self, stream: str) -> int:
+        """The last batch of a stream that was folded in; -1 where there is none."""
+        return (self._pointer() or {}).get("batches", {}).get(stream, -1)
+
+    def _commit(self, frames: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
         version = f"v-{uuid.uuid4().hex}"
+        batches = (self._pointer() or {}).get("batches", {}) | (dict([batch]) if batch else {})
         for name, df in frames.items():
             df.write.parquet(f"{self.root}/{version}/{name}")
         fs, path = self._path("_current")
         with_tmp = self._path(f"_current-{version}")[1]
         out = fs.create(with_tmp)
-        out.write(bytearray(json.dumps({"version": version, "schema_version": schema.SCHEMA_VERSION}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "schema_version": schema.SCHEMA_VERSION, "batches": batches}).encode()))
         out.close()
         # one step: a reader finds the old pointer or the new one
         jvm = self.spark.sparkContext._jvm
@@ -127,18 +132,24 @@ class Projection:
             if name.startswith("v-") and name not in keep:
                 fs.delete(status.getPath(), True)
 
-    def create(self, store: DataFrame, log_file: DataFrame, observation: DataFrame, heads: DataFrame, force: bool = False) -> None:
+    def create(self, store: DataFrame, log_file: DataFrame, observation: DataFrame, heads: DataFrame, force: bool = False, batch: tuple[str, int] | None = None) -> None:
         """Build from scratch; refuses to replace an existing projection unless forced."""
         if self.exists() and not force:
             raise FileExistsError(self.root)
         todo = unapplied(log_file, self.spark.createDataFrame([], "hash string"))
         own = observation.join(todo.select(F.col("hash").alias("log_hash")), "log_hash", "left_semi")
-        self._commit({**build(store, own), "applied": todo.select("hash").distinct(), "recorded": heads.select("mailbox", "folder", "log")})
+        self._commit({**build(store, own), "applied": todo.select("hash").distinct(), "recorded": heads.select("mailbox", "folder", "log")}, batch)
+
+    def refresh(self, store: DataFrame, log_file: DataFrame, observation: DataFrame, heads: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Fold in the log files that are new, and return how many; never changes or deletes messages.
 
-    def refresh(self, store: DataFrame, log_file: DataFrame, observation: DataFrame, heads: DataFrame) -> int:
-        """Fold in the log files that are new, and return how many; never changes or deletes messages."""
+        ``batch`` (stream, number) goes into the ledger that the pointer holds, in the same step as
+        the new version; a batch that is there is not folded in again.
+        """
+        if batch and self.folded(batch[0]) >= batch[1]:
+            return 0
         if not self.exists():
-            self.create(store, log_file, observation, heads)
+            self.create(store, log_file, observation, heads, batch=batch)
             return self.frames()["applied"].count()
         old = self.frames()
         todo = unapplied(log_file, old["applied"])
@@ -148,7 +159,7 @@ class Projection:
             new = build(store, own, old["message"].select("store_id"))
             merged = {name: old[name].union(new[name].select(*old[name].columns)) for name in ("message", "sender", "recipient")}
             merged["location"] = old["location"].union(new["location"].select(*old["location"].columns)).distinct()
-            self._commit({**merged, "applied": old["applied"].union(todo.select("hash")).distinct(), "recorded": heads.select("mailbox", "folder", "log")})
+            self._commit({**merged, "applied": old["applied"].union(todo.select("hash")).distinct(), "recorded": heads.select("mailbox", "folder", "log")}, batch)
         return n
 
     def drop(self) -> bool:

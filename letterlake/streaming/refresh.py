@@ -2,7 +2,8 @@
 
 The file stream reads each path once, so a file that is repaired in place is not seen again; the
 batch refresh of ``Projection`` does see it and is the default.  Old files must not be ignored,
-hence ``maxFileAge``.  A batch may come twice; folding one in again changes nothing.
+hence ``maxFileAge``.  A batch may come twice: its number is written with the version it made, in one
+step, so a batch that was folded in is not looked at again, and one that was not is folded in whole.
 """
 
 from __future__ import annotations
@@ -38,6 +39,6 @@ def refresh_stream(spark: SparkSession, root: str, projection: Projection, store
     """Fold all log files that are there into ``projection`` and stop."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        projection.refresh(store, *parsed(batch), heads)
+        projection.refresh(store, *parsed(batch), heads, batch=(checkpoint, number))
 
     return log_stream(spark, root).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -89,3 +89,38 @@ def test_an_old_database_in_ranges(spark, tmp_path):
         assert sorted(tuple(r) for r in found["mailbox"].collect()) == [(k * 3, "ab"[k % 2]) for k in range(-2, 23)]
         assert found["folder"].count() == 0 and found["snapshot"].count() == 0
     assert archive.legacy_database(spark, str(path), 4)["message"].rdd.getNumPartitions() == 19
+
+
+def test_a_batch_counts_once_and_a_crash_changes_nothing(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from letterlake.plans.projection import Projection
+
+    a = archive_of(spark, tmp_path, 2)
+    log_file, observation = a.log()
+    view = Projection(spark, str(tmp_path / "view"))
+    given = a.store(), log_file, observation, a.heads()
+    assert view.refresh(*given, batch=("s", 0)) == 1 and view.folded("s") == 0 and view.folded("other") == -1
+    a.add(spark.createDataFrame([(message(7),)], "content binary"), "me", "Sent")
+    log_file, observation = a.log()
+    given = a.store(), log_file, observation, a.heads()
+    before = view._pointer()
+    # the tables are written, and then the pointer cannot be moved
+    with monkeypatch.context() as m:
+        m.setattr(Projection, "exists", lambda self: True)
+        real = Projection._path
+
+        def broken(self, name):
+            if name.startswith("_current-"):
+                raise OSError("stopped")
+            return real(self, name)
+
+        m.setattr(Projection, "_path", broken)
+        with pytest.raises(OSError, match="stopped"):
+            view.refresh(*given, batch=("s", 1))
+    assert view._pointer() == before and view.frames()["message"].count() == 2
+    assert view.refresh(*given, batch=("s", 1)) == 1 and view.frames()["message"].count() == 3
+    # the same batch again, and an older one: neither is looked at
+    for number in (1, 0):
+        assert view.refresh(*given, batch=("s", number)) == 0
+    assert view.folded("s") == 1 and view.refresh(*given) == 0 and view.folded("s") == 1
