@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from letterlake import schema
 from letterlake.functions.mail import with_headers
 
+#: Folders that a table may be spread over before it is written anew in one.
+MOST_PARTS = 32
 TABLES = {"message": schema.MESSAGE, "sender": schema.ADDRESS, "recipient": schema.ADDRESS, "location": schema.LOCATION}
 
 
@@ -73,10 +75,12 @@ def behind(heads: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 class Projection:
-    """A projection kept as Parquet versions below ``root``; a pointer table names the current one.
+    """A projection kept as Parquet folders below ``root``; a pointer file names those that are current.
 
-    Writers put a whole new version beside the old one and then replace the pointer in one step, so
-    readers see one or the other; versions before the last two are deleted.  One writer at a time.
+    A version is a list of folders for each table.  A refresh writes a folder with its new rows and
+    then replaces the pointer in one step, so readers see the old version or the new one; tables in
+    ``MOST_PARTS`` folders are written anew in one.  Folders that neither the last two versions
+    name are deleted.  One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -100,24 +104,29 @@ class Projection:
             raise FileNotFoundError(f"no projection in {self.root}")
         if at["schema_version"] != schema.SCHEMA_VERSION:
             raise ValueError(f"projection of shape {at['schema_version']}; rebuild it")
-        tables = {n: self.spark.read.schema(s).parquet(f"{self.root}/{at['version']}/{n}") for n, s in TABLES.items()}
-        tables["applied"] = self.spark.read.schema("hash string").parquet(f"{self.root}/{at['version']}/applied")
-        tables["recorded"] = self.spark.read.schema("mailbox string, folder string, log string").parquet(f"{self.root}/{at['version']}/recorded")
-        return tables
+        kinds = TABLES | {"applied": "hash string", "recorded": "mailbox string, folder string, log string"}
+        return {n: self.spark.read.schema(s).parquet(*(f"{self.root}/{part}/{n}" for part in self._parts(at)[n])) for n, s in kinds.items()}
+
+    @staticmethod
+    def _parts(pointer: dict) -> dict[str, list[str]]:
+        """The folders of each table; a pointer without any stands for one folder."""
+        return pointer.get("parts") or {n: [pointer["version"]] for n in (*TABLES, "applied", "recorded")}
 
     def folded(self, stream: str) -> int:
         """The last batch of a stream that was folded in; -1 where there is none."""
         return (self._pointer() or {}).get("batches", {}).get(stream, -1)
 
-    def _commit(self, frames: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
+    def _commit(self, frames: dict[str, DataFrame], batch: tuple[str, int] | None = None, kept: dict[str, list[str]] | None = None) -> None:
+        """A version of ``frames`` and of the folders ``kept`` of each table."""
         version = f"v-{uuid.uuid4().hex}"
         batches = (self._pointer() or {}).get("batches", {}) | (dict([batch]) if batch else {})
+        parts = {name: [*(kept or {}).get(name, []), version] for name in frames}
         for name, df in frames.items():
             df.write.parquet(f"{self.root}/{version}/{name}")
         fs, path = self._path("_current")
         with_tmp = self._path(f"_current-{version}")[1]
         out = fs.create(with_tmp)
-        out.write(bytearray(json.dumps({"version": version, "schema_version": schema.SCHEMA_VERSION, "batches": batches}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "schema_version": schema.SCHEMA_VERSION, "parts": parts, "batches": batches}).encode()))
         out.close()
         # one step: a reader finds the old pointer or the new one
         jvm = self.spark.sparkContext._jvm
@@ -126,7 +135,7 @@ class Projection:
         before = self._pointer()
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(with_tmp, path, overwrite)
         # readers of the version before may still be at work; older ones go
-        keep = {version, (before or {}).get("version")}
+        keep = {part for own in (parts, self._parts(before) if before else {}) for folders in own.values() for part in folders}
         for status in fs.listStatus(self._path("")[1]):
             name = status.getPath().getName()
             if name.startswith("v-") and name not in keep:
@@ -157,9 +166,16 @@ class Projection:
         if n:
             own = observation.join(todo.select(F.col("hash").alias("log_hash")), "log_hash", "left_semi")
             new = build(store, own, old["message"].select("store_id"))
-            merged = {name: old[name].union(new[name].select(*old[name].columns)) for name in ("message", "sender", "recipient")}
-            merged["location"] = old["location"].union(new["location"].select(*old["location"].columns)).distinct()
-            self._commit({**merged, "applied": old["applied"].union(todo.select("hash")).distinct(), "recorded": heads.select("mailbox", "folder", "log")}, batch)
+            # places are told from those that are there by what they are, null halves too
+            same = F.xxhash64("store_id", "mailbox", F.col("mailbox").isNull(), "folder", F.col("folder").isNull())
+            there = old["location"].join(new["location"].select("store_id").distinct(), "store_id", "left_semi").withColumn("k", same)
+            met = new["location"].withColumn("k", same).alias("a").join(there.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.store_id") == F.col("b.store_id")) & F.col("a.mailbox").eqNullSafe(F.col("b.mailbox")) & F.col("a.folder").eqNullSafe(F.col("b.folder")), "left_anti")
+            new = {**new, "location": met.drop("k"), "applied": todo.select("hash").distinct(), "recorded": heads.select("mailbox", "folder", "log")}
+            new = {name: df.select(*old[name].columns) for name, df in new.items()}
+            kept = {name: folders for name, folders in self._parts(self._pointer()).items() if name != "recorded"}
+            if max(map(len, kept.values())) >= MOST_PARTS:
+                new, kept = {name: old[name].union(df) if name != "recorded" else df for name, df in new.items()}, None
+            self._commit(new, batch, kept)
         return n
 
     def drop(self) -> bool:

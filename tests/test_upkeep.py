@@ -124,3 +124,25 @@ def test_a_batch_counts_once_and_a_crash_changes_nothing(spark, tmp_path, monkey
     for number in (1, 0):
         assert view.refresh(*given, batch=("s", number)) == 0
     assert view.folded("s") == 1 and view.refresh(*given) == 0 and view.folded("s") == 1
+
+
+def test_a_refresh_writes_new_rows_only(spark, tmp_path, monkeypatch):
+    from letterlake.plans import projection
+
+    monkeypatch.setattr(projection, "MOST_PARTS", 3)
+    a = archive_of(spark, tmp_path, 3)
+    a.create_db()
+    root, sizes = tmp_path / "archive" / "view", []
+    for k in range(5, 9):
+        a.add(spark.createDataFrame([(message(k),), (message(0),)], "content binary"), "me", "Sent" if k % 2 else None)
+        before = {p.name for p in root.iterdir()}
+        assert a.refresh_db() == 1 and a.refresh_db() == 0
+        fresh = [p for p in root.iterdir() if p.name not in before and p.name.startswith("v-")]
+        sizes.append(spark.read.parquet(str(fresh[0] / "message")).count())
+        frames = a.projection.frames()
+        assert frames["message"].count() == 3 + k - 4 == frames["message"].select("store_id").distinct().count()
+        assert frames["location"].count() == frames["location"].distinct().count() == 3 + (k - 4) + (1 if k == 5 else 2)
+        assert a.freshness().count() == 0 and a.search(limit=-1).count() == 3 + k - 4
+    # every third folder is the whole table
+    assert sizes == [1, 1, 6, 1]
+    assert len([p for p in root.iterdir() if p.name.startswith("v-")]) <= 4
