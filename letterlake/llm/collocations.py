@@ -6,7 +6,7 @@ their prefixes: a prefix that the next suffix lacks is complete and leaves the s
 the counted phrases are joined afterwards.
 
 Before the shuffle, suffixes end where a word stands that is too rare for any phrase, and equal
-ones of a task's chunk are added up.  Words are coded in three bytes by a table of the most
+ones of a task's chunk are added up.  Words are coded in two or three bytes by a table of the most
 frequent ones; it has at most ``TABLE_WORDS`` words of at most ``TABLE_BYTES`` bytes, and frequent
 words that it lacks are spelt out, so nothing depends on its size.  First words that stand in much
 of the text are cut further by their next words: suffixes are dealt out in ranges between
@@ -37,7 +37,9 @@ EVERY, SAMPLE, RANGES = 1_024, 100_000, 8
 #: Text bytes that a task turns into suffixes at once.
 TEXT_BYTES = 3_000_000
 #: First byte of what is spelt out and the byte after it, and bytes of a suffix by which its range is found.
-SPELT, END, HEAD = b"\xff", b" ", 18
+SPELT, END, HEAD = b"\xff", b" ", 12
+#: Numbers that have two bytes, the first below 0x80; others have three.
+SHORT = 1 << 15
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
@@ -101,10 +103,9 @@ def _shifted(values: pa.Array, piece: np.ndarray, at: np.ndarray, k: int, stop:
 
 
 class Coder:
-    """Suffixes as bytes: language, then words; each a code of three bytes, or spelt out between ``SPELT`` and ``END``.
+    """Suffixes as bytes: language, then words; each a code of two or three bytes, or spelt out between ``SPELT`` and ``END``.
 
-    Codes begin with another byte than ``SPELT`` and no word has a blank, so no code is the
-    beginning of another, and suffixes with a common beginning of words lie together when sorted.
+    The first byte tells how long a code is and no word has a blank, so no code is the beginning of another, and suffixes with a common beginning of words lie together when sorted.
     """
 
     def __init__(self, words: list[str], complete: bool, languages: list[str], drawn: list[tuple[str, str]], ranges: int):
@@ -117,10 +118,17 @@ class Coder:
 
     @staticmethod
     def codes(numbers: np.ndarray) -> pa.Array:
-        """Three bytes each; null below zero."""
-        spelt = np.ascontiguousarray((numbers + 1).astype(">u4")).view(np.uint8).reshape(-1, 4)[:, 1:]
-        out = pa.FixedSizeBinaryArray.from_buffers(pa.binary(3), len(numbers), [None, pa.py_buffer(np.ascontiguousarray(spelt))]).cast(pa.large_binary())
-        return pc.if_else(pa.array(numbers >= 0), out, pa.scalar(None, pa.large_binary()))
+        """Two bytes each, or three; null below zero."""
+        sizes = np.where(numbers < 0, 0, np.where(numbers < SHORT, 2, 3))
+        places = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(sizes, out=places[1:])
+        out = np.zeros(places[-1], np.uint8)
+        for size, first in ((2, 0), (3, 0x80 << 16)):
+            rows = np.flatnonzero(sizes == size)
+            for k in range(size):
+                out[places[rows] + k] = (numbers[rows] + first >> 8 * (size - 1 - k)) & 0xFF
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(numbers), [None, pa.py_buffer(places), pa.py_buffer(out)])
+        return pc.if_else(pa.array(numbers >= 0), found, pa.scalar(None, pa.large_binary()))
 
     def coded(self, words: pa.Array) -> pa.Array:
         """Codes of words; null for words that are too rare."""
@@ -173,8 +181,10 @@ class Coder:
         first = self.coded_languages(lang.dictionary).take(pa.array(lang.indices.to_numpy()[tokens.row[at]]))
         parts = [_shifted(codes, tokens.piece, at, k, stop) for k in range(max_words)]
         found = pc.binary_join_element_wise(first, *parts, pa.scalar(b"", pa.large_binary()), null_handling="skip").value_counts()
-        keys = found.field(0)
-        return np.searchsorted(self.borders, self.heads(keys), "right"), keys, found.field(1).to_numpy()
+        keys, heads = found.field(0), self.heads(found.field(0))
+        # neighbours that begin alike take less room in the shuffle
+        order = np.argsort(heads.view(np.uint8).reshape(-1, HEAD)[:, :8].copy().view(">u8").ravel().astype(np.uint64), kind="stable")
+        return np.searchsorted(self.borders, heads[order], "right"), keys.take(pa.array(order)), found.field(1).to_numpy()[order]
 
     def parsed(self, keys: pa.Array, max_words: int) -> tuple[np.ndarray, pa.Array]:
         """Numbers of language and words of each key (0: none), and the spelt ones, numbered from 2 ** 24."""
@@ -187,8 +197,12 @@ class Coder:
             live = np.flatnonzero(at < offsets[1:])
             literal = data[at[live]] == SPELT[0]
             some = live[~literal]
-            out[some, d] = (data[at[some]].astype(np.int64) << 16) | (data[at[some] + 1].astype(np.int64) << 8) | data[at[some] + 2]
-            at[some] += 3
+            short = data[at[some]] < 0x80
+            wide, some = some[~short], some[short]
+            out[some, d] = (data[at[some]].astype(np.int64) << 8 | data[at[some] + 1]) + 1
+            out[wide, d] = ((data[at[wide]].astype(np.int64) & 0x7F) << 16 | data[at[wide] + 1].astype(np.int64) << 8 | data[at[wide] + 2]) + 1
+            at[some] += 2
+            at[wide] += 3
             for row in live[literal].tolist():
                 end = int(ends[np.searchsorted(ends, at[row])])
                 out[row, d] = (1 << 24) + len(spelt)
