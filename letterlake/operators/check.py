@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Doublings of a chain walk: chains of up to 2 ** MOST_ROUNDS files.
@@ -47,13 +47,18 @@ def reached(heads: DataFrame, log_file: DataFrame, cut=None) -> DataFrame:
     return found.select("hash", "place.mailbox", "place.folder")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable where the session has a checkpoint folder; else (in tests) through the warehouse."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; where none is set a local session (in tests) has one in the warehouse."""
     if spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_letterlake_checkpoints")
+    return spark.sparkContext.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` out of a reliable checkpoint."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

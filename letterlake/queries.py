@@ -344,8 +344,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from letterlake.sources import mailbox
 
     mailbox.register(spark)
-    check._cut(spark.range(1))
-    root = f"{spark.sparkContext.getCheckpointDir()}/streamed-{uuid.uuid4().hex}"
+    root = f"{check.shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
     messages = spark.readStream.format("mail_uid").options(**_server(sf_dir)).load()
     messages.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema(messages.schema).parquet(f"{root}/table")
