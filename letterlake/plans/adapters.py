@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Events of a file and bytes of a row group of the server's table, and uids that the server reads ahead.
+SERVED_ROWS, SERVED_BYTES = 1_000_000, 1 << 20
+LEAST_AHEAD, MOST_AHEAD = 20_000, 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,11 +66,25 @@ def event_scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return listing.withColumn("validity", (1 + F.length("mailbox") % 2).cast("long")), heads
 
 
+def served(events: DataFrame, root: str) -> str:
+    """The events as a server keeps its mail, by folder and uid in small row groups, so that a page is read without the others; a new folder below ``root``."""
+    path = f"{root}/served-{uuid.uuid4().hex}"
+    kept = events.where("event_type IS NOT NULL AND event_id IS NOT NULL").select("event_type", "event_id", "user_id", "ts", "props")
+    files = max(1, -(-kept.count() // SERVED_ROWS))
+    kept.repartitionByRange(files, "event_type", "event_id").sortWithinPartitions("event_type", "event_id").write.option("parquet.block.size", SERVED_BYTES).parquet(path)
+    return path
+
+
 class EventServer:
-    """The events as a mail server: types are folders, ``event_id + 1`` is the uid, properties are the contents."""
+    """The events as a mail server: types are folders, ``event_id + 1`` is the uid, properties are the contents.
+
+    ``path`` is their table, best as ``served`` writes it.  Messages are read some thousand uids
+    ahead, and requests that follow one another are answered from what is held.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
+        self.width, self.held = LEAST_AHEAD, None
 
     def folders(self) -> list[str]:
         return sorted({kind for kind, _ in _tops(self.path)})
@@ -75,27 +95,69 @@ class EventServer:
     def top(self, folder: str) -> int:
         return max((uid for kind, uid in _tops(self.path) if kind == folder), default=0)
 
-    def _between(self, folder: str, low: int, high: int, columns: list[str]) -> list[dict]:
+    def _hold(self, folder: str, low: int, high: int) -> None:
+        """Have a folder's messages from ``low`` to ``high`` at hand, and some beyond: more where uids are sparse."""
+        if self.held is not None and self.held[0] == folder and self.held[1] <= low and high < self.held[2]:
+            return
         import pyarrow.compute as pc
-        import pyarrow.parquet as pq
 
-        asked = (pc.field("event_type") == folder) & (pc.field("event_id") >= low - 1) & (pc.field("event_id") < high)
-        return pq.read_table(self.path, columns=["event_id", *columns], filters=asked).to_pylist()
+        end = max(high + 1, low + self.width)
+        asked = (pc.field("event_type") == folder) & (pc.field("event_id") >= low - 1) & (pc.field("event_id") < end - 1)
+        rows = _events(self.path).to_table(columns=["event_id", "user_id", "ts", "props"], filter=asked, use_threads=False).sort_by("event_id")
+        self.held = folder, low, end
+        self.uids = rows["event_id"].to_numpy() + 1
+        self.rows, self.bodies = rows.select(["event_id", "user_id", "ts"]), rows["props"].combine_chunks()
+        if len(rows) < LEAST_AHEAD // 4:
+            self.width = min(self.width * 2, MOST_AHEAD)
+        elif len(rows) > LEAST_AHEAD:
+            self.width = max(self.width // 2, LEAST_AHEAD)
+
+    def following(self, folder: str, low: int, high: int) -> int | None:
+        """The first uid from ``low`` to ``high`` that there is."""
+        while low <= high:
+            self._hold(folder, low, low)
+            at = self.uids.searchsorted(low)
+            if at < len(self.uids):
+                return int(self.uids[at]) if self.uids[at] <= high else None
+            low = self.held[2]
+        return None
 
     def listing(self, folder: str, low: int, high: int) -> list[tuple[int, str, str]]:
-        rows = self._between(folder, low, high, ["user_id", "ts", "props"])
-        # what a task is about to fetch comes with the page
-        self.page = {r["event_id"] + 1: (r["props"] or "").encode() for r in rows}
-        return [(r["event_id"] + 1, f"<{r['event_id']}@{r['user_id']}>", str(r["ts"])) for r in rows]
+        self._hold(folder, low, high)
+        a, b = self.uids.searchsorted([low, high + 1])
+        return [(r["event_id"] + 1, f"<{r['event_id']}@{r['user_id']}>", str(r["ts"])) for r in self.rows.slice(a, b - a).to_pylist()]
 
     def fetch(self, folder: str, msg_id: str) -> bytes:
-        return self.page[int(msg_id)]
+        uid = int(msg_id)
+        self._hold(folder, uid, uid)
+        at = self.uids.searchsorted(uid)
+        if at == len(self.uids) or self.uids[at] != uid:
+            raise LookupError(msg_id)
+        return (self.bodies[int(at)].as_py() or "").encode()
 
 
 @functools.lru_cache(8)
-def _tops(path: str) -> tuple[tuple[str, int], ...]:
-    """Folders and their highest uids."""
-    import pyarrow.parquet as pq
+def _events(path: str):
+    """The table as a dataset, which keeps the footers that it has read."""
+    import pyarrow.dataset as ds
+
+    return ds.dataset(path, format="parquet")
+
 
-    found = pq.read_table(path, columns=["event_type", "event_id"]).group_by("event_type").aggregate([("event_id", "max")]).to_pylist()
-    return tuple((r["event_type"], r["event_id_max"] + 1) for r in found if r["event_type"] is not None)
+@functools.lru_cache(8)
+def _tops(path: str) -> tuple[tuple[str, int], ...]:
+    """Folders and their highest uids, from the statistics of row groups with one folder; others are read, one at a time."""
+    tops: dict[str, int] = {}
+    for file in _events(path).get_fragments():
+        place = {file.metadata.schema.column(k).path: k for k in range(file.metadata.num_columns)}
+        for number in range(file.metadata.num_row_groups):
+            kinds, ids = (file.metadata.row_group(number).column(place[c]).statistics for c in ("event_type", "event_id"))
+            if kinds and ids and kinds.has_min_max and ids.has_min_max and kinds.min == kinds.max:
+                found = [(kinds.max, ids.max)]
+            else:
+                own = file.subset(row_group_ids=[number]).to_table(columns=["event_type", "event_id"]).group_by("event_type").aggregate([("event_id", "max")])
+                found = zip(own["event_type"].to_pylist(), own["event_id_max"].to_pylist())
+            for kind, top in found:
+                if kind is not None and top is not None:
+                    tops[kind] = max(tops.get(kind, 0), top + 1)
+    return tuple(tops.items())

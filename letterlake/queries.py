@@ -325,15 +325,16 @@ def _legacy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- events as a mail server -------------------------------------------------------------------
 
 
-def _server(sf_dir: str) -> dict[str, str]:
-    return {"client": "letterlake.plans.adapters:EventServer", "path": f"{sf_dir}/events.parquet"}
+def _server(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    path = adapters.served(adapters.table(spark, sf_dir, "events"), check.shared_dir(spark))
+    return {"client": "letterlake.plans.adapters:EventServer", "path": path}
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from letterlake.sources import mailbox
 
     mailbox.register(spark)
-    found = spark.read.format("mail_uid").options(**_server(sf_dir)).load()
+    found = spark.read.format("mail_uid").options(**_server(spark, sf_dir)).load()
     return found.where(F.col("folder").isin("click", "view") & (F.col("ord") > 2_000)).select("folder", "ord", "message_id")
 
 
@@ -345,7 +346,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mailbox.register(spark)
     root = f"{check.shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
-    messages = spark.readStream.format("mail_uid").options(**_server(sf_dir)).load()
+    messages = spark.readStream.format("mail_uid").options(**_server(spark, sf_dir)).load()
     messages.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema(messages.schema).parquet(f"{root}/table")
     return got.groupBy("folder").agg(F.count(F.lit(1)).alias("messages"), F.max("ord").alias("top"), F.sum(F.length("content")).cast("long").alias("bytes"), F.count_distinct("message_id").alias("ids"))

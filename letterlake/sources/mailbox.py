@@ -4,6 +4,8 @@ A server is reached through a client that the option ``client`` names (``module:
 with the other options).  A client has ``folders()``, ``validity(folder)``, ``top(folder)`` (the
 highest uid given so far), ``listing(folder, low, high)`` (uid, message_id, date) and
 ``fetch(folder, msg_id)``; one with change links has ``delta(folder, link)`` instead of the uids.
+A client that can name the first uid there is has ``following(folder, low, high)`` (none where
+there is none), which spares requests over uids that were never given or are gone.
 
 Offsets are the resume points: for ``mail_uid`` each folder's validity and highest uid, for
 ``mail_delta`` the link that the last round ended with.  The driver asks for these numbers only;
@@ -140,10 +142,16 @@ def ranges(folder: str, validity: int, above: int, top: int, chunk: int) -> list
 def _listed(server, asked: Budget, part: Uids, chunk: int) -> Iterator[tuple]:
     if asked.ask(lambda: server.validity(part.folder)) != part.validity:
         raise ResumeLost(f"{part.folder}: uids were renumbered")
-    for low in range(part.low, part.high + 1, chunk):
+    following, low = getattr(server, "following", None), part.low
+    while low <= part.high:
+        if following is not None:
+            low = asked.ask(lambda: following(part.folder, low, part.high))  # noqa: B023
+            if low is None:
+                return
         high = min(low + chunk - 1, part.high)
         # servers may answer with the last message even where its uid is not asked for
         yield from (m for m in asked.ask(lambda: server.listing(part.folder, low, high)) if low <= m[0] <= high)  # noqa: B023
+        low = high + 1
 
 
 class _UidStream(DataSourceStreamReader):

@@ -204,3 +204,35 @@ def test_the_events_in_several_partitions(spark):
     assert spark.read.format("mail_uid").options(client="letterlake.plans.adapters:EventServer", path=f"{sf}/events.parquet", chunk="100").load().rdd.getNumPartitions() > 5
     total = spark.read.parquet(f"{sf}/events.parquet").count()
     assert sum(r.messages for r in QUERIES["mailbox_stream"](spark, sf).collect()) == total
+
+
+def test_the_server_of_events_reads_on_and_skips_gaps(spark, tmp_path, monkeypatch):
+    from letterlake.plans import adapters
+
+    # two runs of uids far apart, in falling order and with rows that are no messages
+    ids = [*range(999, -1, -1), *range(3_000_000_499, 3_000_000_000 - 1, -1)]
+    rows = [(i, i % 7, "a" if i % 3 else "b/ö", f"p{i}") for i in ids] + [(None, 1, "a", "x"), (5_000, 1, None, "x")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    path = adapters.served(events, f"file://{tmp_path}")
+    told = {"asked": 0, "read": 0}
+
+    class Counted(adapters.EventServer):
+        def listing(self, folder, low, high):
+            told["asked"] += 1
+            return super().listing(folder, low, high)
+
+        def _hold(self, *asked):
+            before = self.held
+            super()._hold(*asked)
+            told["read"] += self.held is not before
+
+    monkeypatch.setattr(adapters, "EventServer", Counted)
+    options = {"client": "letterlake.plans.adapters:EventServer", "path": path, "chunk": "50"}
+    reader = mailbox._UidStream(options)
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    got = [r for p in parts for r in reader.read(p)]
+    assert sorted((r[0], r[2], r[3], r[5]) for r in got) == sorted((kind, i + 1, f"<{i}@{user}>", body.encode()) for i, user, kind, body in rows if i is not None and kind is not None)
+    # before, every 50 uids were a request (120 million here), and each request read the table
+    assert told["asked"] <= 100 and told["read"] <= 20_000 and reader.latestOffset()["folders"]["a"]["uid"] == 3_000_000_500
+    with pytest.raises(LookupError):
+        adapters.EventServer(options).fetch("a", "7777")
