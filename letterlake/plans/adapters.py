@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a task sorts and joins.
+TASK_ROWS = 500_000
 #: Events of a file and bytes of a row group of the server's table, and uids that the server reads ahead.
 SERVED_ROWS, SERVED_BYTES = 1_000_000, 1 << 20
 LEAST_AHEAD, MOST_AHEAD = 20_000, 1_000_000
@@ -18,15 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` dealt out by ``key`` for a step over ``rows`` rows, so that a task has about ``TASK_ROWS`` of them; few rows are left to Spark.
+
+    Spark deals by bytes as they are written, and columns of keys and flags grow to many times that when they are sorted.
+    """
+    if rows <= TASK_ROWS:
+        return df
+    return df.repartition(max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def order_mail(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Orders as messages: customers write, suppliers of the items receive, segments are mailboxes."""
     orders, items, customers = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    n_orders, n_items = orders.count(), items.count()
     key = lambda c: F.sha2(F.col(c).cast("string"), 256).alias("store_id")
     date = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
     message = orders.select(key("o_orderkey"), F.concat(F.lit("<"), F.col("o_custkey").cast("string"), F.lit("@mail>")).alias("email_id"), date.alias("date"), F.col("o_orderpriority").alias("subject"))
-    sender = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(key("o_orderkey"), F.lower("c_name").alias("address"))
-    recipient = items.select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("@supply")).alias("address")).distinct().select(key("l_orderkey"), "address")
-    placed = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    owned = dealt(orders.select("o_orderkey", "o_custkey"), "o_custkey", n_orders).join(dealt(customers, "c_custkey", n_orders), F.col("o_custkey") == F.col("c_custkey"))
+    sender = owned.select(key("o_orderkey"), F.lower("c_name").alias("address"))
+    received = items.select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("@supply")).alias("address"))
+    recipient = dealt(received, "l_orderkey", n_items).distinct().select(key("l_orderkey"), "address")
+    lines = dealt(items.select("l_orderkey", "l_returnflag", "l_linestatus"), "l_orderkey", n_items)
+    placed = lines.join(dealt(owned.select("o_orderkey", "c_mktsegment"), "o_orderkey", n_items), F.col("l_orderkey") == F.col("o_orderkey"))
     location = placed.select("l_orderkey", F.when(F.col("l_returnflag") != "N", F.col("c_mktsegment")).alias("mailbox"), F.col("l_linestatus").alias("folder")).distinct()
     return {"message": message, "sender": sender, "recipient": recipient, "location": location.select(key("l_orderkey"), "mailbox", "folder")}
 
