@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterlake.llm.common import Words, chunks, materialise, small, spread_join, without
+from letterlake.llm.common import Words, chunks, is_small, materialise, small, spread_join, without
 from letterlake.llm.components import components, in_blocks, stars, with_group
 
 #: Words of an n-gram; a shorter text with words is one n-gram.
@@ -105,12 +105,13 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int, number: int, rows: int) -
 
 
 def _grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """digest and text to digest and the sorted n-gram set, as bytes."""
+    """Instead of the text (column 0), last: the sorted n-gram set, as bytes."""
     for batch in batches:
-        for lo, hi in chunks(batch.column(1)):
-            h, bounds = ngrams(Words(batch.column(1).slice(lo, hi - lo)), n)
+        for lo, hi in chunks(batch.column(0)):
+            piece = batch.slice(lo, hi - lo)
+            h, bounds = ngrams(Words(piece.column(0)), n)
             sets = [np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["digest", "grams"])
+            yield pa.RecordBatch.from_arrays([*piece.columns[1:], pa.array(sets, pa.binary())], names=[*piece.schema.names[1:], "grams"])
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,21 +217,29 @@ def _classes(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float,
     schema = f"id {dict(docs.dtypes)[doc_id]}, digest long, bytes long, key string, buckets array<long>"
     signed = materialise(base.mapInArrow(lambda batches: _signed(batches, n, number, rows), schema), "jaccard-signed")
     with_key = signed.where("key IS NOT NULL")
-    # one row per n-gram set: the text with the smallest digest stands for it
-    sets = with_key.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("digest").alias("digest"), F.max("bytes").alias("bytes"))
-    sets = materialise(sets, "jaccard-sets")
+    # one row per n-gram set: the text with the smallest digest (of the document with its smallest id) stands for it
+    sets = with_key.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("digest", "id")).alias("first"))
+    sets = materialise(sets.select("key", "rep", "copies", F.col("first.digest").alias("digest"), F.col("first.id").alias("own")), "jaccard-sets")
     # candidates by a short hash of the key: two keys that share one are candidates too, and are compared
     members = with_key.select(F.xxhash64("key").alias("item"), F.explode("buckets").alias("bucket"))
     near = small(materialise(components(stars(members)), "jaccard-near"))
     near = sets.join(near, F.xxhash64("key") == F.col("node")).withColumnRenamed("key", "item")
     near = materialise(near, "jaccard-candidates")
-    texts = docs.select(digest.alias("digest"), F.col(text).alias("text")).join(small(near.select("digest")), "digest", "left_semi")
-    grams = texts.mapInArrow(lambda batches: _grams(batches, n), "digest long, grams binary")
-    grams = materialise(grams.groupBy("digest").agg(F.first("grams").alias("grams")), "jaccard-grams")
+    # each set is computed where its text lies and is shuffled once: to meet the set of its component's smallest member
+    texts = docs.select(F.col(text).alias("text"), digest.alias("__digest"), F.col(doc_id).alias("__id"))
+    texts = texts.join(small(near.select("digest", "own", "root", "node", "item", "copies")), (F.col("__digest") == F.col("digest")) & F.col("__id").eqNullSafe(F.col("own")))
+    grams = texts.select("text", "root", "node", "item", "copies").mapInArrow(lambda batches: _grams(batches, n), "root long, node long, item string, copies long, grams binary")
+    grams, total = materialise(grams, "jaccard-grams"), near.count()
+    if grams.count() > total:
+        # rows with the same id and text
+        grams = materialise(grams.dropDuplicates(["item"]), "jaccard-grams")
     # each set goes to its blocks as its difference from the set of the component's smallest member
-    base = materialise(near.where("node = root").groupBy("root").agg(F.min("digest").alias("digest")).join(grams, "digest").select("root", F.col("grams").alias("base")), "jaccard-base")
-    coded = with_group(near.select("root", "item", "copies", "digest").join(grams, "digest"), "root", base).select("root", "item", "copies", "grams", "base")
-    coded = materialise(coded.mapInArrow(_differences, "root long, item string, copies long, size long, common long, whole long, rest binary, bytes long"), "jaccard-coded")
+    base = grams.where("node = root").groupBy("root").agg(F.min_by("grams", "item").alias("base"))
+    base = materialise(base.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"), "jaccard-base")
+    grams = grams.select("root", "item", "copies", "grams")
+    coded = grams.join(F.broadcast(base.drop("n")), "root") if is_small(base.drop("n")) else spread_join(grams, base, ["root"], "n", total, wide=True)
+    coded = coded.select("root", "item", "copies", "grams", "base").mapInArrow(_differences, "root long, item string, copies long, size long, common long, whole long, rest binary, bytes long")
+    coded = materialise(coded, "jaccard-coded")
     groups = in_blocks(coded, BLOCK_ROWS, BLOCK_BYTES)
     groups = groups.select("root", "i", "j", "item", "block", "copies", "size", "common", "whole", "rest").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     linked = materialise(groups.mapInArrow(lambda batches: _linked(batches, threshold), "item string, links long, to string"), "jaccard-links")
