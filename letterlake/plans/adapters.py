@@ -41,8 +41,9 @@ def order_mail(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     sender = owned.select(key("o_orderkey"), F.lower("c_name").alias("address"))
     received = items.select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("@supply")).alias("address"))
     recipient = dealt(received, "l_orderkey", n_items).distinct().select(key("l_orderkey"), "address")
-    lines = dealt(items.select("l_orderkey", "l_returnflag", "l_linestatus"), "l_orderkey", n_items)
-    placed = lines.join(dealt(owned.select("o_orderkey", "c_mktsegment"), "o_orderkey", n_items), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = dealt(items.select("l_orderkey", "l_returnflag", "l_linestatus"), "l_orderkey", max(n_items, n_orders))
+    # a task has few orders, which need no sorting
+    placed = lines.join(dealt(owned.select("o_orderkey", "c_mktsegment"), "o_orderkey", max(n_items, n_orders)).hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
     location = placed.select("l_orderkey", F.when(F.col("l_returnflag") != "N", F.col("c_mktsegment")).alias("mailbox"), F.col("l_linestatus").alias("folder")).distinct()
     return {"message": message, "sender": sender, "recipient": recipient, "location": location.select(key("l_orderkey"), "mailbox", "folder")}
 
